@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm.common import table
+from memloom.llm.decontam import contaminated, contamination
 from memloom.llm.pfor import read_token_files, write_token_files
 from memloom.llm.simhash import simhash_components
 
@@ -25,10 +26,33 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op8_token_files": op8_token_files,
+    "op9_decontamination": op9_decontamination,
 }
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 #: DuckDB SQL for the queries that SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontamination": rf"""
+with docs as (select row_number() over () as u, doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ITEM_WORD}'), []) as w from documents),
+items as (select item_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ITEM_WORD}'), []) as w from benchmark),
+cuts as (select item_id, w, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as s from items where len(w) > 0),
+wins as (select distinct item_id, k, array_to_string(w[s : s + k - 1], ' ') as phrase from cuts),
+sizes as (select distinct k from wins),
+starts as (select u, w, k, unnest(range(1, len(w) - k + 2)) as s from docs, sizes where len(w) >= k),
+hits as (select u, s, k, item_id from (select u, s, k, array_to_string(w[s : s + k - 1], ' ') as phrase from starts) join wins using (k, phrase)),
+marked as (select u, count(distinct p) as n_hit from (select u, unnest(range(s, s + k)) as p from hits) group by u),
+owned as (select u, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct u, cast(item_id as varchar) as id from hits) group by u)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join marked using (u) left join owned using (u)""",
+}
