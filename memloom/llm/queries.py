@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from memloom.llm.common import table
 from memloom.llm.decontam import contaminated, contamination
 from memloom.llm.pfor import read_token_files, write_token_files
+from memloom.llm.secrets import find_secrets
 from memloom.llm.simhash import simhash_components
 
 #: The id that ends every document in token files.
@@ -22,6 +23,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID))
 
@@ -33,6 +39,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
+    "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
