@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm.common import table
 from memloom.llm.decontam import contaminated, contamination
+from memloom.llm.mixing import SCHEDULES, _segments, mix
 from memloom.llm.pfor import read_token_files, write_token_files
 from memloom.llm.secrets import find_secrets
 from memloom.llm.simhash import simhash_components
@@ -37,16 +38,34 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
+    "op10_mixing": op10_mixing,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def _position_sql() -> str:
+    """The inverse of each schedule's demand at y, by place in the cycle."""
+    cases = []
+    for place, knots in enumerate(SCHEDULES):
+        for t0, length, w, slope, done in reversed(_segments(knots)):
+            need = f"(y - {done!r}::double)"
+            t = f"{need} / {w!r}::double" if slope == 0 else f"{need} * 2.0::double / ({w!r}::double + sqrt(greatest(0.0::double, {w * w!r}::double + {2 * slope!r}::double * {need})))"
+            cases.append(f"when place = {place} and (y >= {done!r}::double or {t0!r} = 0.0) then {t0!r}::double + least(greatest({t}, 0.0::double), {length!r}::double)")
+    return "case " + " ".join(cases) + " end"
+
+
 #: DuckDB SQL for the queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {
     "op9_decontamination": rf"""
@@ -62,4 +81,22 @@ owned as (select u, count(*) as n_items, string_agg(id, ',' order by id) as ids
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
     coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from docs left join marked using (u) left join owned using (u)""",
+    "op10_mixing": rf"""
+with docs as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(concat(coalesce(doc_id::varchar, ''), '|', coalesce(text, ''))) as key from documents),
+totals as (select source, sum(size)::bigint as source_size from docs group by source),
+ranked as (select *, row_number() over (order by source nulls last) - 1 as rank from totals),
+weighed as (select *, rank % 3 as place, rank % 3 + 1 as w from ranked),
+shared as (select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over (order by source_size / w, rank rows between unbounded preceding and 1 preceding), 0))::double
+    / sum(w) over (order by source_size / w, rank rows between current row and unbounded following) as share from weighed),
+settled as (select *, (select arg_min(share, (source_size / w, rank)) from shared where source_size * 3 >= share * w) as level from shared),
+facts as (select source, place, source_size, least(level * w, (source_size * 3)::double) as target from settled),
+parts as (select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as full_rounds from facts),
+runs as (select d.doc_id, d.source, d.size, d.key, p.place, p.source_size, p.target, p.full_rounds, p.target - p.full_rounds * p.source_size as rest,
+    sum(d.size) over (partition by d.source order by d.key)::bigint as till, sum(d.size) over (partition by d.source, d.key)::bigint as own
+    from docs d join parts p on d.source is not distinct from p.source),
+chosen as (select *, (2 * till - own)::double <= rest * 2 as extra from runs),
+counted as (select *, coalesce(max(case when extra then till end) over (partition by source), 0) as extra_words,
+    full_rounds + case when extra and full_rounds < 3 then 1 else 0 end as copies from chosen),
+shares as (select *, (till - own + size / 2) / (source_size * full_rounds + extra_words)::double as y, copies * size as taken from counted)
+select doc_id, size, source_size, target, taken, case when taken > 0 then {_position_sql()} end as position from shares""",
 }
