@@ -14,10 +14,18 @@ from memloom.llm.mixing import SCHEDULES, _segments, mix
 from memloom.llm.pfor import read_token_files, write_token_files
 from memloom.llm.secrets import find_secrets
 from memloom.llm.simhash import simhash_components
+from memloom.llm.url_templates import judge
 
 #: The id that ends every document in token files.
 END_ID = 2
 
+#: The contract's rules on hosts and paths.
+URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+
+
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
@@ -43,6 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_templates": op1_url_templates,
     "op4_simhash": op4_simhash,
     "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
