@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.llm.chat import rotate
 from memloom.llm.common import table
 from memloom.llm.decontam import contaminated, contamination
 from memloom.llm.mixing import SCHEDULES, _segments, mix
@@ -32,6 +33,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return rotate(table(spark, sf_dir, "conversations")).withColumn("masks", spans)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -53,6 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
     "op4_simhash": op4_simhash,
+    "op5_chat_rotation": op5_chat_rotation,
     "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
@@ -77,6 +84,17 @@ def _position_sql() -> str:
 
 #: DuckDB SQL for the queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {
+    "op5_chat_rotation": """
+with said as (select distinct conv_id, coalesce(floor(turn / 256), -1)::bigint as part, turn, role, coalesce(text, '') as text from conversations where conv_id is not null),
+speakers as (select distinct conv_id, role as perspective from said where role <> 'system'),
+views as (select said.*, perspective, coalesce(role = perspective, false) as own,
+    case when role is null then '<|user|>' when role = perspective then '<|assistant|>' when role = 'system' then '<|system|>' else '<|user name=' || role || '|>' end || chr(10) as opening,
+    text || '<|end|>' || chr(10) as body from said join speakers using (conv_id)),
+ends as (select *, sum(length(opening) + length(body)) over (partition by conv_id, part, perspective order by turn nulls first, role nulls first, text rows unbounded preceding) as till,
+    row_number() over (partition by conv_id, part, perspective order by turn nulls first, role nulls first, text) as k from views)
+select conv_id, part, perspective, count(*) as n_turns, string_agg(opening || body, '' order by k) as rendered,
+    coalesce(string_agg((till - length(body))::bigint || ':' || till::bigint, ',' order by k) filter (where own), '') as masks
+from ends group by conv_id, part, perspective""",
     "op9_decontamination": rf"""
 with docs as (select row_number() over () as u, doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ITEM_WORD}'), []) as w from documents),
 items as (select item_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ITEM_WORD}'), []) as w from benchmark),
