@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm.chat import rotate
-from memloom.llm.common import table
+from memloom.llm.common import scratch, stored, table
 from memloom.llm.decontam import contaminated, contamination
 from memloom.llm.mixing import SCHEDULES, _segments, mix
 from memloom.llm.pfor import read_token_files, write_token_files
 from memloom.llm.secrets import find_secrets
 from memloom.llm.simhash import simhash_components
+from memloom.llm.token_ledger import Ledger, count_tokens
 from memloom.llm.url_templates import judge
 
 #: The id that ends every document in token files.
@@ -38,6 +39,23 @@ def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations")).withColumn("masks", spans)
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents come in; those labelled of low quality go; those not in English move to a
+    tokenizer for many languages. The last batch is committed twice, which changes nothing."""
+    counts = stored(count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "not (lang <=> 'en')"), "counts")
+    low = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct().withColumn("low", F.lit(True))
+    old = {"old_tokenizer": F.lit(None).cast("string"), "old_tokens": F.lit(None).cast("long")}
+    first = counts.withColumn("tokenizer", F.lit("byte_bpe_50k"))
+    marked = first.join(low, "doc_id", "left")
+    moved = marked.where("low is null and other_tokens is not null").withColumns({"old_tokenizer": F.col("tokenizer"), "old_tokens": F.col("tokens"), "tokenizer": F.lit("byte_bpe_multi_50k"), "tokens": F.col("other_tokens")})
+    ledger = Ledger(spark, scratch(spark, "ledger"))
+    ledger.commit("batch1", first.withColumns({"op": F.lit("insert"), **old}))
+    ledger.commit("batch2", marked.where("low").withColumns({"op": F.lit("delete"), **old}))
+    for _ in range(2):
+        ledger.commit("batch3", moved.withColumn("op", F.lit("revise")))
+    return ledger.totals()
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -60,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
     "op4_simhash": op4_simhash,
     "op5_chat_rotation": op5_chat_rotation,
+    "op6_token_rollup": op6_token_rollup,
     "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
