@@ -16,6 +16,7 @@ from memloom.llm.pfor import read_token_files, write_token_files
 from memloom.llm.secrets import find_secrets
 from memloom.llm.simhash import simhash_components
 from memloom.llm.token_ledger import Ledger, count_tokens
+from memloom.llm.toxicity import toxicity
 from memloom.llm.url_templates import judge
 from memloom.llm.webp import text_media
 
@@ -35,6 +36,10 @@ def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -83,6 +88,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
     "op2_webp": op2_webp,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_chat_rotation": op5_chat_rotation,
     "op6_token_rollup": op6_token_rollup,
