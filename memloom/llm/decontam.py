@@ -145,8 +145,14 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_wor
         yield Block(items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect())
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, and others) that aren't contaminated."""
+    out = contamination(docs, benchmark).where(contaminated()).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(out, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark")), "left_anti")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, n_words, n_hit, items): for every row of docs its words, those inside benchmark windows, and the sorted item ids (strings)."""
+    """(doc_id, mark, n_words, n_hit, items): for every row of docs a hash of its text, its words, those inside benchmark windows, and the sorted item ids (strings)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("t"))
     words, found = None, []
     for block in benchmark_blocks(benchmark, item_id, item_text, block_words):
@@ -162,14 +168,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             owners = docs.sparkSession.createDataFrame([(w, [str(i) for i in ids if i is not None]) for w, ids in enumerate(block.items)], "win int, ids array<string>")
             found.append(phrase_matches(_shifted(index, block, anchors)).join(F.broadcast(owners), "win").select("doc_id", "mark", "start", "size", "ids"))
     if not found:
-        return words.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return words.select("doc_id", "mark", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     hits = reduce(DataFrame.union, found).groupBy("doc_id", "mark").agg(
         F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items")
     )  # a document's own windows: bounded by its length
     covered = "aggregate(spans, struct(0 as till, 0L as n), (a, s) -> struct(greatest(a.till, s.start + s.size) as till, a.n + greatest(0, s.start + s.size - greatest(a.till, s.start)) as n), a -> a.n)"
     hits = hits.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.expr(covered).alias("n_hit"), "items")
     return words.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        "doc_id", "mark", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 

@@ -30,9 +30,13 @@ SCHEDULES = (((0.0, 3.0), (0.5, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 1.0)), ((0
 PIECE_DIGITS = 3
 
 
+def order_key(id_col: str, text_col: str) -> Column:
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, key) of every row."""
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))))
+    key = order_key(id_col, text_col)
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
 
@@ -116,7 +120,11 @@ def _placed(sizes: DataFrame) -> DataFrame:
     return rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).withColumn("before", F.col("till") - F.col("own"))
 
 
-def copies_by_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(source, full, last_key): a document of the source is taken full times, and once more if its key is last_key or less."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: every row as often as `mix` says, so rows that it doesn't take are gone."""
     placed = _placed(stored(measured(docs, id_col, text_col, source_col), "sizes"))
-    return placed.groupBy("source").agg(F.max("full").alias("full"), F.max(F.when(F.col("copies") > F.col("full"), F.col("key"))).alias("last_key"))
+    last = F.max(F.when(F.col("copies") > F.col("full"), F.col("key")))
+    rules = placed.groupBy("source").agg(F.max("full").alias("__full"), last.alias("__last")).withColumnRenamed("source", "__source")
+    rows = docs.join(rules, F.col(source_col).eqNullSafe(F.col("__source")))
+    copies = F.col("__full") + F.when(order_key(id_col, text_col) <= F.col("__last"), 1).otherwise(0)
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).drop("__full", "__last", "__source", "__copy")

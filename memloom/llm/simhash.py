@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.common import connected_components, stored
@@ -178,3 +178,144 @@ def components(fps: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): whole-text SimHash and the groups that links at distance 2 or less make."""
     return components(stored(fingerprints(docs, id_col, text_col), "simhash"))
+
+
+# --- near-duplicates by the texts' own similarity, for filtering ---
+
+#: Words in a shingle, and the Jaccard similarity of shingle sets from which texts are near-duplicates.
+NEAR_SHINGLE, SIMILAR = 5, 0.8
+#: The long fingerprint for candidates: 64-bit words, and the least letters of words that it is made of.
+NEAR_WORDS, LEAST_LETTERS = 4, 5
+#: Texts as similar as SIMILAR differed in 32 of 256 bits at most on the samples we measured; candidates may in NEAR_LIMIT.
+USUAL_MOST, NEAR_LIMIT, NEAR_RADIUS, MISSED = 32, 40, 24, 0.05
+
+
+def banding(n: int) -> tuple[int, int]:
+    """(bits of a band, bands) for n texts: as many bits as keep chance meetings to a few for each text, and as
+    many bands as let texts USUAL_MOST bits apart miss all of them with a chance of MISSED at most."""
+    bits = max(20, int(np.ceil(np.log2(max(2, n)))) - 2)
+    return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - USUAL_MOST / (64 * NEAR_WORDS)) ** bits))))
+
+
+def long_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, fps): the MD5 of the text and SimHashes of its distinct longer words by NEAR_WORDS seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = []
+            for text in batch.column(1).to_pylist():
+                words = set((text or b"").lower().split())
+                each.append(list({w for w in words if len(w) >= LEAST_LETTERS} or words))
+            counts = np.fromiter(map(len, each), np.int64, len(each))
+            fps = [majority_bits(np.fromiter((xxhash.xxh64_intdigest(w, s) for x in each for w in x), np.uint64, int(counts.sum())), counts) for s in range(NEAR_WORDS)]
+            fps = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(fps, 1).view(np.int64).ravel()), NEAR_WORDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], ["doc_id", "digest", "fps"])
+
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), digest(text_col).alias("digest")).mapInArrow(run, "doc_id long, digest string, fps array<long>")
+
+
+def digest(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def hub_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a large bucket with its hubs: the row nearest to the majority of what is left is paired with all rows
+    within NEAR_LIMIT, and rows within NEAR_RADIUS leave; so copies of one text meet at that text."""
+    left, hubs, others = np.arange(len(fps)), [], []
+    while len(left):
+        bits = np.unpackbits(fps[left].view(np.uint8), axis=1).sum(0, dtype=np.int64) * 2 > len(left)
+        center = left[np.bitwise_count(fps[left] ^ np.packbits(bits).view(np.uint64)).sum(1, dtype=np.int64).argmin()]
+        far = np.bitwise_count(fps ^ fps[center]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(far <= NEAR_LIMIT)
+        near = near[near != center]
+        hubs.append(np.full(len(near), center))
+        others.append(near)
+        left = left[(far[left] > NEAR_RADIUS) & (left != center)]
+    return np.concatenate(hubs), np.concatenate(others)
+
+
+def candidate_pairs(reps: DataFrame, n: int) -> DataFrame:
+    """(a, b) of reps (rep, fps) that share a band and pass the pivot table and the Hamming limit."""
+    bits, bands = banding(n)
+    rng = np.random.default_rng(SEED)
+    picks = np.stack([rng.permutation(64 * NEAR_WORDS)[:bits] for _ in range(bands)])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, NEAR_WORDS)
+            on = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            for i in range(0, len(fps), 4096):
+                part, rep, own = on[i : i + 4096], batch.column(0)[i : i + 4096].to_numpy(zero_copy_only=False), fps[i : i + 4096]
+                keys = np.stack([(part[:, p] << np.arange(bits)).sum(1) * bands + k for k, p in enumerate(picks)], 1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(rep, bands)), *(pa.array(np.repeat(own[:, w], bands)) for w in range(NEAR_WORDS))], ["key", "rep", *names])
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "key"):
+            keys, reps = rows.column("key").to_numpy(), rows.column("rep").to_numpy()
+            fps = np.stack([rows.column(c).to_numpy() for c in names], 1).view(np.uint64)
+            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+            size = np.diff(starts)
+            own = np.repeat(size, size)
+            small = np.flatnonzero((own > 1) & (own <= PAIRWISE))
+            a, b = close_pairs(fps[small], keys[small], NEAR_LIMIT, PAIRWISE)
+            found = [(small[a], small[b])]
+            for s in np.flatnonzero(size > PAIRWISE):
+                x, y = hub_pairs(fps[starts[s] : starts[s + 1]])
+                found.append((x + starts[s], y + starts[s]))
+            a, b = (reps[np.concatenate(x)] for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    names = [f"f{w}" for w in range(NEAR_WORDS)]
+    dealt = reps.select("rep", "fps").mapInArrow(keyed, "key long, rep long, " + ", ".join(f"{c} long" for c in names))
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(paired, "a long, b long").distinct()
+
+
+def shingle_set(text: bytes | None) -> set[int]:
+    return set(shingle_hashes(text or b"", NEAR_SHINGLE, SEED))
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) whose whole texts (rep, t) have a Jaccard similarity of SIMILAR or more."""
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                x, y = shingle_set(x), shingle_set(y)
+                met = len(x & y)
+                good.append(met >= SIMILAR * (len(x) + len(y) - met) and met > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, group): equal texts, and texts that similarities of SIMILAR or more join, have one group, the
+    least doc_id in it. Null ids have no group. Rows that repeat id and text come once; several texts of one id are tied.
+
+    Buckets of up to PAIRWISE texts are compared pair by pair; larger ones through hubs (`hub_pairs`)."""
+    known = stored(long_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "near")
+    reps = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "reps")
+    # the texts of an id that comes with several are one node, so they are tied together
+    pairs = stored(candidate_pairs(reps, reps.count()), "pairs")
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    marked = reps.select("rep", "digest").join(wanted, "rep", "left_semi").withColumnRenamed("digest", "__digest")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("t"), digest(text_col).alias("__digest"))
+    texts = texts.join(marked, ["rep", "__digest"], "left_semi").dropDuplicates(["rep", "__digest"])
+    roots = connected_components(similar_pairs(pairs, stored(texts, "texts")))
+    rooted = reps.join(roots, reps.rep == roots.node, "left").select("digest", F.coalesce("root", "rep").alias("group"))
+    return known.select("doc_id", "digest").distinct().join(rooted, "digest")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near-duplicates: of each group the row with the least id stays, once; rows with a null id all stay."""
+    groups = near_duplicate_groups(docs, id_col, text_col)
+    kept = groups.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.digest").alias("__digest"))
+    own = docs.withColumn("__row_digest", digest(text_col))
+    stay = own.join(kept, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__row_digest") == F.col("__digest")), "left_semi")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if not repeated.isEmpty():
+        stay = stay.dropDuplicates([id_col, "__row_digest"])
+    return stay.drop("__row_digest").union(docs.where(F.col(id_col).isNull()))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 64, 48, 8, 8, 8
 SAMPLE, SAMPLE_CHARS, LEAST_DOCS, ROUNDS, BATCH, RATE, DECAY, SEED = 4000, 20_000, 20, 6, 128, 0.01, 0.02, 7
@@ -272,22 +273,33 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return [bytes(r.t or b"") for r in rows], np.array([r.toxic for r in rows], np.int64)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs' (doc_id, held_out, score, predicted): score is 0 to 1, higher where the label 1 is likelier."""
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with __score (0 to 1, higher where the label 1 is likelier) and __predicted (1 from ACCEPT on)."""
     texts, known = training_sample(docs, labels)
     model = train(texts, known) if len(texts) and known.any() and not known.all() else None
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most one row for each frequent word or trigram of the sample
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         reader = Reader(model) if model else None
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
+            texts, scores = batch.column(place).cast(pa.binary()), np.zeros(batch.num_rows)
             for i in range(0, batch.num_rows if reader else 0, LANES):
-                codes, counts = reader.codes(batch.column(1).slice(i, LANES).to_pylist())
+                codes, counts = reader.codes(texts.slice(i, LANES).to_pylist())
                 logits = best_logits(model.p, reader.table, codes, counts)[0].astype(float)
                 scores[i : i + LANES] = 1 / (1 + np.exp(-np.clip(model.scale * logits + model.shift, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= ACCEPT).astype(np.int32))], ["doc_id", "score", "predicted"])
+            added = [pa.array(scores), pa.array((scores >= ACCEPT).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "__score", "__predicted"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType()), StructField("__predicted", IntegerType())]))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of docs."""
+    return scored(docs.select("doc_id", "text"), labels).select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that aren't predicted toxic."""
+    return scored(docs, labels).where("__predicted = 0").drop("__score", "__predicted")
