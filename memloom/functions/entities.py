@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions.text import LEFT, RIGHT
+from memloom.functions.text import LEFT, RIGHT, bind
 
 WINDOW, LEAST_COUNT, LEAST_LETTERS, MOST, MOST_SALIENT = 5000, 2, 3, 25, 5
 # Words that begin sentences or name days, months and roles; never entities.
@@ -28,7 +30,8 @@ COMPOUNDS = (
 )
 _LONGEST_FIRST = sorted(COMPOUNDS, key=lambda c: -len(c.encode()))
 #: All compounds in one pattern: at a place the longest wins.
-COMPOUND = rf"(?i){LEFT}({'|'.join(re.escape(c).replace('/', '/') for c in _LONGEST_FIRST)}){RIGHT}"
+FIRST_WORDS = sorted({re.split("[ -]", c)[0].lower() for c in COMPOUNDS})
+COMPOUND = rf"(?i){LEFT}({'|'.join(re.escape(c) for c in _LONGEST_FIRST)}){RIGHT}"
 
 
 def _canonical(found: Column) -> Column:
@@ -38,10 +41,19 @@ def _canonical(found: Column) -> Column:
 
 def mentions(text: Column) -> Column:
     """All entity mentions in the first WINDOW characters: compounds, then single words outside them."""
-    window = F.substring(text, 1, WINDOW)
-    words = F.regexp_extract_all(F.regexp_replace(window, COMPOUND, " "), F.lit(r"(\p{Lu}\p{L}*)"), 1)
-    words = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
-    return F.concat(_canonical(F.regexp_extract_all(window, F.lit(COMPOUND), 1)), words)
+    word = F.lit(r"(\p{Lu}\p{L}*)")
+
+    def found(window: Column) -> Column:
+        # a compound needs its first word, which is cheaper to look for
+        some = reduce(or_, (F.contains(F.lower(window), F.lit(w)) for w in FIRST_WORDS))
+        plain = F.regexp_extract_all(window, word, 1)
+        return F.when(some, F.concat(_canonical(F.regexp_extract_all(window, F.lit(COMPOUND), 1)), _named(F.regexp_extract_all(F.regexp_replace(window, COMPOUND, " "), word, 1)))).otherwise(_named(plain))
+
+    return bind(F.substring(text, 1, WINDOW), found)
+
+
+def _named(words: Column) -> Column:
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def frequencies(rows: DataFrame, key: str, text: str, common: DataFrame | None = None) -> DataFrame:

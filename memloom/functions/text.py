@@ -6,6 +6,8 @@ word boundaries: boundaries are explicit, white space is listed, and lines end a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,26 +33,32 @@ def tokens(text: Column) -> Column:
 # --- chunks ---
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fixed_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """rows with (chunk_index, chunk): trimmed windows of size characters, each overlap into the last; a last window
     under least characters is joined to the one before."""
     overlap = min(max(0, overlap), size - 1)
     step = size - overlap
-    whole = rows.withColumn("__t", trimmed(F.col(text)))
-    n = F.length("__t")
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1)
-    starts = F.when(count > 0, F.sequence(F.lit(0), count.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.struct(trimmed(F.substring(F.col("__t"), i * step + 1, F.lit(size))).alias("piece"), ((n - i * step < least) & (i > 0)).alias("rest")))
-    windows = F.filter(windows, lambda w: (w["piece"] != "") | w["rest"])
+    can_rest = least > overlap  # else a short window would lie inside the one before
 
     def fold(done: Column, w: Column) -> Column:
         last = F.element_at(done, -1)
         joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(trimmed(F.concat(last, F.lit(" "), w["piece"]))))
         return F.when(w["rest"] & (F.size(done) > 0), joined).otherwise(F.concat(done, F.array(w["piece"])))
 
-    can_rest = least > overlap  # else a short window would lie inside the one before
-    chunks = F.aggregate(windows, F.array().cast("array<string>"), fold) if can_rest else F.transform(windows, lambda w: w["piece"])
-    return whole.select(*rows.columns, F.posexplode(chunks).alias("chunk_index", "chunk"))
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1)
+        starts = F.when(count > 0, F.sequence(F.lit(0), count.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        windows = F.transform(starts, lambda i: F.struct(trimmed(F.substring(t, i * step + 1, F.lit(size))).alias("piece"), ((n - i * step < least) & (i > 0)).alias("rest")))
+        windows = F.filter(windows, lambda w: (w["piece"] != "") | w["rest"])
+        return F.aggregate(windows, F.array().cast("array<string>"), fold) if can_rest else F.transform(windows, lambda w: w["piece"])
+
+    return rows.select(*rows.columns, F.posexplode(bind(trimmed(F.col(text)), cut)).alias("chunk_index", "chunk"))
 
 
 def stride_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK) -> DataFrame:
@@ -64,36 +72,39 @@ def boundary_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, over
     """rows with (chunk_index, chunk, line_start, line_end): windows that end at the last blank line, else the last line
     end, in their back half; the next starts overlap before. Chunks under least characters are left out."""
     overlap = min(max(0, overlap), size - 1)
-    whole = rows.withColumn("__t", trimmed(F.col(text))).withColumn("__n", F.length("__t"))
     # a cut lies past the middle, so a step advances by half a window less the overlap at least
-    steps = F.ceil(F.col("__n") / max(1, size // 2 + 1 - overlap)) + 1
+    advance = max(1, size // 2 + 1 - overlap)
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+
+        def step(state: Column, _: Column) -> Column:
+            start, full = state["start"], F.least(state["start"] + size, n)
+
+            def ending(back: Column) -> Column:
+                blank, line = F.instr(back, "\n\n"), F.instr(back, "\n")
+                blank_at, line_at = full - blank - 1, full - line  # where the mark begins
+                return F.when((blank > 0) & (blank_at > start + size // 2), blank_at).when((line > 0) & (line_at > start + size // 2), line_at).otherwise(full)
 
-    def step(state: Column, _: Column) -> Column:
-        start = state["start"]
-        full = F.least(start + size, F.col("__n"))
-        window = F.substring(F.col("__t"), start + 1, full - start)
-        back = F.reverse(window)
+            end = F.when(full >= n, full).otherwise(bind(F.reverse(F.substring(t, start + 1, full - start)), ending))
 
-        def last(mark: str) -> Column:  # where mark begins last, from the text's start; -1 if nowhere
-            at = F.instr(back, mark)
-            return F.when(at > 0, full - at - (len(mark) - 1)).otherwise(F.lit(-1))
+            def moved(e: Column) -> Column:
+                following = F.when(e < n, e - overlap).otherwise(e)
+                return F.struct(following.cast("int").alias("start"), F.concat(state["cuts"], F.array(F.struct(start.alias("start"), e.cast("int").alias("end")))).alias("cuts"))
 
-        blank, line = last("\n\n"), last("\n")
-        end = F.when(full >= F.col("__n"), full).when(blank > start + size // 2, blank).when(line > start + size // 2, line).otherwise(full)
-        moved = F.struct(start.alias("start"), end.alias("end"))
-        following = F.when(end < F.col("__n"), end - overlap).otherwise(end)
-        return F.when(start >= F.col("__n"), state).otherwise(F.struct(following.cast("int").alias("start"), F.concat(state["cuts"], F.array(moved)).alias("cuts")))
+            return F.when(start >= n, state).otherwise(bind(end, moved))
 
-    begin = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("cuts"))
-    cuts = F.aggregate(F.sequence(F.lit(1), steps.cast("int")), begin, step, lambda s: s["cuts"])
+        def lines(upto: Column) -> Column:
+            head = F.substring(t, F.lit(1), upto)
+            return (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
-    def lines(upto: Column) -> Column:
-        head = F.substring(F.col("__t"), F.lit(1), upto)
-        return (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("int")
+        begin = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("cuts"))
+        cuts = F.aggregate(F.sequence(F.lit(1), (F.ceil(n / advance) + 1).cast("int")), begin, step, lambda s: s["cuts"])
+        pieces = F.transform(cuts, lambda c: F.struct(trimmed(F.substring(t, c["start"] + 1, c["end"] - c["start"])).alias("chunk"), lines(c["start"]).alias("line_start"), lines(c["end"]).alias("line_end")))
+        return F.filter(pieces, lambda c: F.length(c["chunk"]) >= least)
 
-    pieces = F.transform("__cuts", lambda c: F.struct(trimmed(F.substring(F.col("__t"), c["start"] + 1, c["end"] - c["start"])).alias("chunk"), lines(c["start"]).alias("line_start"), lines(c["end"]).alias("line_end")))
-    cut = whole.withColumn("__cuts", cuts).withColumn("__chunks", F.when(F.col("__n") > 0, F.filter(pieces, lambda c: F.length(c["chunk"]) >= least)))
-    return cut.select(*rows.columns, F.posexplode("__chunks").alias("chunk_index", "__c")).select(*rows.columns, "chunk_index", "__c.chunk", "__c.line_start", "__c.line_end")
+    whole = rows.select(*rows.columns, F.posexplode(bind(trimmed(F.col(text)), cut)).alias("chunk_index", "__c"))
+    return whole.select(*rows.columns, "chunk_index", "__c.chunk", "__c.line_start", "__c.line_end")
 
 
 # --- dates ---
@@ -134,7 +145,7 @@ def find_date(text: Column) -> Column:
             F.lit(""),
         )
 
-    return F.get(F.transform(F.array(text), dates), F.lit(0))
+    return bind(text, dates)
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:

@@ -26,7 +26,7 @@ select concat('t_', cast(event_id as string)) as id, concat('user_', cast(user_i
     coalesce(cast(cast(lead(ts) over (partition by user_id, event_type order by ts, event_id) as date) as string), '') as valid_to
 from events"""
 REQUESTS = """
-select concat('team-', cast(user_id as string)) as team_id, substr(cast(cast(ts as date) as string), 1, 7) as period, cast(ts as string) as at, event_id from events"""
+select concat('team-', cast(user_id as string)) as team_id, substr(cast(cast(ts as date) as string), 1, 7) as period, cast(ts as string) as moment, event_id from events"""
 VECTORS = """
 select d.team_id as namespace, d.id as id, e.embedding as vec, d.doc_id from drawers d join embeddings e on d.doc_id = e.vec_id"""
 VIEWS = {"drawers": DRAWERS, "journal": JOURNAL, "facts": FACTS, "requests": REQUESTS, "vectors": VECTORS}
