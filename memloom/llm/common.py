@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_HELD: dict = {}
+
+
+def held(name: tuple, make: Callable[[], object]) -> object:
+    """The one large cache of a Python worker, made if it isn't there; another name drops it, as workers outlive stages."""
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node that can be reached.
 

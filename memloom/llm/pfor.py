@@ -30,7 +30,7 @@ from memloom.llm.tokens import tokenizer
 BLOCK, QUANTILE, MAGIC = 128, 0.9, 0x31_52_4F_46_50  # PFOR1
 NULL_ID = np.iinfo(np.int64).min
 #: Characters of text that a segment covers, but for one longer text.
-SEGMENT_CHARS = 8_000_000
+SEGMENT_CHARS = 4_000_000
 
 
 def _pack(diffs: np.ndarray, width: int) -> np.ndarray:

@@ -9,12 +9,13 @@ Python and the library class differently, go through the library whole.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from memloom.llm.common import held
+
 #: The pre-tokens of a text without ODD characters.
 PIECES = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ODD = regex.compile(r"[\x01\x1c-\x1f\p{Nl}\p{No}]")
@@ -22,7 +23,7 @@ ODD_ASCII = re.compile(r"[\x01\x1c-\x1f]")
 #: White space that is not one space or one line feed between other characters.
 RUNS, WIDE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c"), re.compile(r"[^\S\x00-\x7f]")
 #: Distinct stretches that a worker keeps.
-CACHE = 1_500_000
+CACHE = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -96,6 +97,5 @@ class PieceTokenizer:
         return ids, counts
 
 
-@lru_cache(4)
 def tokenizer(path: str) -> PieceTokenizer:
-    return PieceTokenizer(path)
+    return held(("tokenizer", path), lambda: PieceTokenizer(path))

@@ -16,6 +16,7 @@ is never held out.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from memloom.llm.common import held
+
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 64, 48, 8, 8, 8
 SAMPLE, SAMPLE_CHARS, LEAST_DOCS, ROUNDS, BATCH, RATE, DECAY, SEED = 4000, 20_000, 20, 6, 128, 0.01, 0.02, 7
-MOST_TRIGRAMS, ACCEPT = 24, 0.7
+MOST_TRIGRAMS, ACCEPT = 16, 0.7
 #: Distinct words that a worker keeps, and windows that it reads at once.
-CACHE, LANES = 400_000, 2048
+CACHE, LANES = 150_000, 512
 FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -67,7 +70,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _inputs(p: dict, word: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gate inputs of words (rows of word, and of tri padded with -1), the vectors they come from, and the trigram counts."""
     n = np.maximum(1, (tri >= 0).sum(1, keepdims=True)).astype(np.float32)
-    chars = (p["char"][tri] * (tri >= 0)[..., None]).sum(1) / n
+    chars = np.zeros((len(tri), CHAR_DIM), np.float32)
+    for column in tri.T:
+        chars += p["char"][column] * (column >= 0)[:, None]
+    chars /= n
     vectors = np.concatenate([p["word"][word], chars], 1)
     return vectors @ p["W"] + p["b"], vectors, n
 
@@ -157,7 +163,7 @@ class Reader:
 
 
 def encode_words(words: list[bytes], rows: dict, chars: dict) -> tuple[np.ndarray, np.ndarray]:
-    tri = np.full((len(words), MOST_TRIGRAMS), -1, np.int64)
+    tri = np.full((len(words), MOST_TRIGRAMS), -1, np.int32)
     for i, w in enumerate(words):
         own = [chars.get(t, 0) for t in trigrams(w)]
         tri[i, : len(own)] = own
@@ -194,10 +200,13 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS) -> Model
 
 def _fit(texts: list[bytes], labels: np.ndarray, rounds: int) -> Model:
     rng = np.random.default_rng(SEED)
-    each = [words_of(t) for t in texts]
     seen: dict[bytes, list[int]] = {}
     grams: dict[bytes, int] = {}
-    for words, label in zip(each, labels.tolist(), strict=True):
+    row: dict[bytes, int] = {}
+    each = []
+    for text, label in zip(texts, labels.tolist(), strict=True):
+        words = words_of(text)
+        each.append(np.fromiter((row.setdefault(w, len(row)) for w in words), np.int32, len(words)))
         for w in set(words):
             seen.setdefault(w, [0, 0])[label] += 1
         for g in {g for w in set(words) for g in trigrams(w)}:
@@ -210,11 +219,10 @@ def _fit(texts: list[bytes], labels: np.ndarray, rounds: int) -> Model:
     for w, i in vocabulary.items():  # a first guess for one dimension: the smoothed log-odds of the label where the word occurs
         clean, toxic = seen[w]
         p["word"][i, 0] = np.clip(np.log((toxic + 0.5) / totals[1]) - np.log((clean + 0.5) / totals[0]), -3, 3) / 2
-    distinct = list(seen)
-    row = {w: i for i, w in enumerate(distinct)}
-    word, tri = encode_words(distinct, vocabulary, chars)
+    word, tri = encode_words(list(row), vocabulary, chars)
     counts = np.fromiter(map(len, each), np.int64, len(each))
-    codes = np.fromiter((row[w] for words in each for w in words), np.int64, int(counts.sum()))
+    codes = np.concatenate(each)
+    del seen, grams, row, each
     doc, first, n = windows(counts)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
@@ -278,11 +286,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts, known = training_sample(docs, labels)
     model = train(texts, known) if len(texts) and known.any() and not known.all() else None
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most one row for each frequent word or trigram of the sample
-    place = docs.columns.index("text")
+    place, mark = docs.columns.index("text"), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        reader = Reader(model) if model else None
+        reader = held(("toxicity", mark), lambda: Reader(model)) if model else None
         for batch in batches:
             texts, scores = batch.column(place).cast(pa.binary()), np.zeros(batch.num_rows)
             for i in range(0, batch.num_rows if reader else 0, LANES):
