@@ -30,6 +30,8 @@ from memloom.llm.common import held
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 64, 48, 8, 8, 8
 SAMPLE, SAMPLE_CHARS, LEAST_DOCS, ROUNDS, BATCH, RATE, DECAY, SEED = 4000, 20_000, 20, 6, 128, 0.01, 0.02, 7
+#: Small samples take more rounds, for this many steps at least, and count words of fewer documents.
+LEAST_STEPS = 100
 MOST_TRIGRAMS, ACCEPT = 16, 0.7
 #: Distinct words that a worker keeps, and windows that it reads at once.
 CACHE, LANES = 150_000, 512
@@ -200,6 +202,8 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS) -> Model
 
 def _fit(texts: list[bytes], labels: np.ndarray, rounds: int) -> Model:
     rng = np.random.default_rng(SEED)
+    rounds = max(rounds, -(-LEAST_STEPS // max(1, len(texts) // BATCH)))
+    least = max(4, min(LEAST_DOCS, len(texts) // 100))
     seen: dict[bytes, list[int]] = {}
     grams: dict[bytes, int] = {}
     row: dict[bytes, int] = {}
@@ -211,8 +215,8 @@ def _fit(texts: list[bytes], labels: np.ndarray, rounds: int) -> Model:
             seen.setdefault(w, [0, 0])[label] += 1
         for g in {g for w in set(words) for g in trigrams(w)}:
             grams[g] = grams.get(g, 0) + 1
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if sum(n) >= LEAST_DOCS))}
-    chars = {g: i + 1 for i, g in enumerate(sorted(g for g, n in grams.items() if n >= LEAST_DOCS))}
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in seen.items() if sum(n) >= least))}
+    chars = {g: i + 1 for i, g in enumerate(sorted(g for g, n in grams.items() if n >= least))}
     draw = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
     p = {"word": draw(len(vocabulary) + 1, WORD_DIM, s=0.1), "char": draw(len(chars) + 1, CHAR_DIM, s=0.1), "W": draw(WORD_DIM + CHAR_DIM, 6 * HIDDEN, s=0.3), "b": np.zeros(6 * HIDDEN, np.float32), "U": draw(2, HIDDEN, 3 * HIDDEN, s=0.2), "A": draw(2 * HIDDEN, HIDDEN, s=0.3), "v": draw(HIDDEN, s=0.3), "o": draw(2 * HIDDEN, s=0.3), "c": np.zeros(1, np.float32)}
     totals = np.bincount(labels, minlength=2) + 1
@@ -258,12 +262,13 @@ def _fit(texts: list[bytes], labels: np.ndarray, rounds: int) -> Model:
 
 
 def calibration(logits: np.ndarray, labels: np.ndarray) -> dict[str, float]:
-    """scale and shift of the logistic fit of labels on logits, by Newton's method with a small ridge."""
+    """scale and shift of the logistic fit of labels on logits, by Newton's method with a ridge toward leaving them as they are."""
     a, x = np.array([1.0, 0.0]), np.stack([logits, np.ones_like(logits)], 1)
-    for _ in range(30):
+    for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        a = a - np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (q - labels) + 1e-2 * (a - [1, 0]))
-    return {"scale": max(float(a[0]), 1e-3), "shift": float(a[1])}
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(2), x.T @ (q - labels) + a - [1, 0])
+        a = a - np.clip(step, -0.5, 0.5)  # short steps, so it can't run away where labels are cleanly apart
+    return {"scale": float(np.clip(a[0], 0.05, 5)), "shift": float(a[1])}
 
 
 def held_out(id_col: str = "doc_id") -> Column:
