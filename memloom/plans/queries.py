@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memloom.functions import ids
 from memloom.functions import text as tx
 from memloom.functions.entities import STOP_WORDS, drawer_entities, frequencies, salient_entities
-from memloom.functions.pointers import packed, pointer_lines
+from memloom.functions.pointers import locator, packed, pointer_lines
 from memloom.functions.vectors import byte_histogram, distance, similarity
 from memloom.operators import drawers as dw
 from memloom.operators import facts as kg
@@ -657,3 +657,67 @@ def _(s, d):
     return windowed(read(s, d, "events")).select("start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
+
+
+# --- wire views, filters and the rest of the writes ---
+
+
+@register("p1_drawer_views", "select id, wing, room, nullif(source_file, '') as source_file, substr(content, 1, 300) as preview, filed_at, nullif(content_date, '') as content_date from drawers", ("drawers",))
+def _(s, d):
+    return view(s, d, "drawers").select("id", "wing", "room", F.nullif("source_file", F.lit("")).alias("source_file"), tx.preview(F.col("content")).alias("preview"), "filed_at", F.nullif("content_date", F.lit("")).alias("content_date"))
+
+
+@register("p1_hallway_views", f"with {ENTITY_DRAWERS} select wing, entity_a, entity_b, together as co_occurrence_count, entity_a || ' ↔ ' || entity_b || ' (co-occur in ' || together || ' drawers across ' || len(rooms) || ' rooms: ' || array_to_string(rooms, ', ') || ')' as label from halls")
+def _(s, d):
+    return graph.list_hallways(graph.hallways(entity_drawers(s, d))).select("wing", "entity_a", "entity_b", F.col("together").alias("co_occurrence_count"), "label")
+
+
+@register("p5_fact_values", r"select doc_id, length(v) between 1 and 128 and not contains(v, chr(0)) as ok from (select doc_id, regexp_replace(substr(text, 1, 100 + doc_id % 60), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as v from documents)")
+def _(s, d):
+    return read(s, d, "documents").select("doc_id", tx.valid_fact_value(F.expr("substr(text, 1, 100 + doc_id % 60)")).alias("ok"))
+
+
+@register("p7_filtered_hits", f"with {QUERY}, n as (select v.id, {COSINE} as score from vectors v, q where namespace = '{TEAM}') select id, room from n join drawers using (id) where room = 'general' and greatest(0.0, least(2.0, 1 - score::double)) <= 1.0", ("drawers", "vectors"))
+def _(s, d):
+    vec = F.array(*map(F.lit, query_vector(s, d)))
+    near = view(s, d, "vectors").where(F.col("namespace") == TEAM).select("id", distance(retrieval.cosine(F.col("vec"), vec)).alias("distance"))
+    return near.join(team(s, d), "id").where("room = 'general' and distance <= 1.0").select("id", "room")
+
+
+@register("t12_locators", "select doc_id, case when doc_id % 3 = 0 then '2024-01-01' else '2023-05-05' end || ':L1-L' || (length(text) - length(replace(text, chr(10), '')) + 1) as place from documents")
+def _(s, d):
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    known = F.when(F.col("doc_id") % 3 == 0, "").otherwise("2023-05-05")
+    return read(s, d, "documents").select("doc_id", locator(known, F.lit("2024-01-01"), F.lit(1), lines).alias("place"))
+
+
+@register("j8_room_neighbours", "select distinct a.room, b.room as other from drawers a join drawers b using (wing) where a.room <> b.room and a.room <> 'general' and b.room <> 'general'", ("drawers",))
+def _(s, d):
+    places = graph.room_wings(view(s, d, "drawers")).select("room", "wing")
+    return places.join(places.withColumnRenamed("room", "other"), "wing").where("room <> other").select("room", "other").distinct()
+
+
+@register("j16_my_teams", "select distinct c_nationkey as team_id from customer where c_custkey % 10 = 1")
+def _(s, d):
+    rows = read(s, d, "customer")
+    teams = rows.select(F.col("c_nationkey").alias("team_id")).distinct().withColumn("created_at", F.lit(NOW))
+    memberships = rows.where("c_custkey % 10 = 1").select(F.col("c_nationkey").alias("team_id"), F.lit("me").alias("user_id"))
+    return tenancy.my_teams(memberships, teams, "me").select("team_id")
+
+
+@register("w9_embed_pending", f"select id, octet_length(encode(content)) as bytes from drawers where team_id = '{TEAM}' and id not in (select id from vectors) order by filed_at, id limit 64", ("drawers", "vectors"))
+def _(s, d):
+    made, _stamped = dw.embed_pending(embedded(s, d), byte_histogram(F.col("content")), NOW, TEAM)
+    return made.select("id", F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double")).cast("long").alias("bytes"))
+
+
+@register("w17_skillset", "select arg_max(c_name, c_custkey) as content, count(*) as version from customer where c_mktsegment = 'BUILDING'")
+def _(s, d):
+    rows = read(s, d, "customer").select((F.col("c_mktsegment") == "BUILDING").alias("is_super"), F.col("c_name").alias("content"), F.col("c_custkey").alias("at"), F.lit(0).alias("id"))
+    return tenancy.skillset(rows)
+
+
+@register("w21_members", "select c_custkey as user_id, case when c_custkey = 1 then 'admin' when c_custkey % 4 = 0 then 'admin' else 'member' end as role from customer where c_custkey <> 2")
+def _(s, d):
+    rows = read(s, d, "customer").select(F.lit("t").alias("team_id"), F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 4 == 0, "admin").otherwise("member").alias("role"))
+    return tenancy.set_role(tenancy.set_role(rows, "t", 1, "admin"), "t", 2, None).select("user_id", "role")
