@@ -17,7 +17,7 @@ from memloom.llm.secrets import find_secrets
 from memloom.llm.simhash import simhash_components
 from memloom.llm.token_ledger import Ledger, count_tokens
 from memloom.llm.toxicity import toxicity
-from memloom.llm.url_templates import judge
+from memloom.llm.url_templates import ACCEPT, DEPTH, MIN_SHARE, PRIOR_N, VALUE, Z, judge
 from memloom.llm.webp import text_media
 
 #: The id that ends every document in token files.
@@ -114,8 +114,43 @@ def _position_sql() -> str:
     return "case " + " ".join(cases) + " end"
 
 
+def _templates_sql() -> str:
+    """op1 level by level, as `url_templates` documents it."""
+    fits = [f"when (host = '{d}' or host like '%.{d}') and starts_with(path, '/{p}') then '{{}}'" for r, _ in sorted(URL_RULES, key=lambda r: (-len(r[0]), r[0])) for d, _, p in [r.partition("/")]]
+    ruled = sorted(URL_RULES, key=lambda r: (-len(r[0]), r[0]))
+    rule, verdict = (" ".join(f.format(r[k]) for f, r in zip(fits, ruled, strict=True)) for k in (0, 1))
+    steps = [f"""
+cut as (select *, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+hosted as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from cut),
+ruled as (select *, case {rule} end as rule, case {verdict} end as ruled from hosted),
+p0 as (select host, path, list_filter(string_split(path, '/'), lambda x: x <> '') as segs, count(*) as n, count(*) filter (where ruled = 'allow') as good, count(*) filter (where ruled = 'block') as bad, '/' as node from ruled group by host, path)"""]
+    for k in range(DEPTH + 1):
+        segment = f"segs[{k + 1}]" if k < DEPTH else f"case when len(segs) > {DEPTH} then '**' end"
+        order = "partition by host, node, rate is null order by rate, segment"
+        steps.append(f"""
+h{k} as (select *, {segment} as segment from p{k}),
+c{k} as (select host, node, segment, sum(n) as n, sum(good) as good, sum(bad) as bad, sum(sum(n)) over (partition by host, node) as all_n from h{k} where segment is not null group by host, node, segment),
+s{k} as (select *, case when regexp_matches(segment, '{VALUE}') then '*' || regexp_extract(segment, '(\\.[A-Za-z0-9]{{1,5}})?$') end as shape from c{k}),
+r{k} as (select host, node, segment, good, good + bad as labelled, case when good + bad > 0 then good::double / (good + bad) end as rate from s{k} where shape is null and not (n < {MIN_SHARE} * all_n and segment <> '**')),
+g{k} as (select *, lag(labelled) over ({order}) as bn, lag(good) over ({order}) as bg from r{k}),
+a{k} as (select *, coalesce(rate - bg::double / bn > {Z} * sqrt((good + bg)::double / (labelled + bn) * (1 - (good + bg)::double / (labelled + bn)) * (1::double / labelled + 1::double / bn)), false) as apart from g{k}),
+u{k} as (select *, sum(apart::int) over ({order}) as grp from a{k}),
+m{k} as (select host, node, rate is null as blank, grp, string_agg(segment, '|' order by segment) as names from u{k} group by all),
+b{k} as (select host, node, segment, case when contains(names, '|') then '{{' || names || '}}' else segment end as branch from u{k} join m{k} using (host, node, grp) where (rate is null) = blank
+    union all select host, node, segment, coalesce(shape, '*') from s{k} where shape is not null or (n < {MIN_SHARE} * all_n and segment <> '**')),
+p{k + 1} as (select h.host, h.path, h.segs, h.n, h.good, h.bad, case when branch is null then h.node else h.node || case when h.node = '/' then '' else '/' end || branch end as node from h{k} h left join b{k} b on h.host = b.host and h.node = b.node and h.segment = b.segment)""")
+    return "with" + ",".join(steps) + f""",
+t as (select host, node as template, sum(good) as good, sum(bad) as bad from p{DEPTH + 1} group by all),
+o as (select coalesce(sum(good), 0) + {PRIOR_N} as g, coalesce(sum(bad), 0) as b from t),
+hp as (select host, (sum(good) + {PRIOR_N} * (g / (g + b))) / (sum(good) + sum(bad) + {PRIOR_N}) as prior from t, o group by host, g, b),
+j as (select host, template, good + bad as labelled, ((good + {PRIOR_N} * prior) / (good + bad + {PRIOR_N}))::double as purity from t join hp using (host))
+select page_id, ruled.host, ruled.path, rule, coalesce(ruled, case when labelled > 0 and purity < {ACCEPT} then 'block' else 'allow' end) as verdict, template, purity
+from ruled join p{DEPTH + 1} p on ruled.host = p.host and ruled.path = p.path join j on p.host = j.host and p.node = j.template"""
+
+
 #: DuckDB SQL for the queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {
+    "op1_url_templates": _templates_sql(),
     "op5_chat_rotation": """
 with said as (select distinct conv_id, coalesce(floor(turn / 256), -1)::bigint as part, turn, role, coalesce(text, '') as text from conversations where conv_id is not null),
 speakers as (select distinct conv_id, role as perspective from said where role <> 'system'),
