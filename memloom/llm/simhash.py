@@ -187,7 +187,9 @@ NEAR_SHINGLE, SIMILAR = 5, 0.8
 #: The long fingerprint for candidates: 64-bit words, and the least letters of words that it is made of.
 NEAR_WORDS, LEAST_LETTERS = 4, 5
 #: Texts as similar as SIMILAR differed in 32 of 256 bits at most on the samples we measured; candidates may in NEAR_LIMIT.
-USUAL_MOST, NEAR_LIMIT, NEAR_RADIUS, MISSED = 32, 40, 24, 0.05
+USUAL_MOST, NEAR_LIMIT, MISSED = 32, 40, 0.05
+#: Buckets over this many texts go through hubs and nearest rows.
+NEAR_PAIRWISE, NEAREST, STRETCH = 16, 4, 4096
 
 
 def banding(n: int) -> tuple[int, int]:
@@ -219,20 +221,38 @@ def digest(text_col: str) -> Column:
     return F.md5(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def nearest_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row of a large bucket with its NEAREST nearest others within NEAR_LIMIT, sought in stretches of the sorted rows."""
+    order, a, b = np.lexsort(fps.T[::-1]), [], []
+    for i in range(0, len(order), STRETCH):
+        rows = order[i : i + STRETCH]
+        for j in range(0, len(rows), 128):
+            own = rows[j : j + 128]
+            far = np.bitwise_count(fps[own, None] ^ fps[rows]).sum(2, dtype=np.int16)
+            far[np.arange(len(own)), np.arange(j, j + len(own))] = 64 * NEAR_WORDS
+            best = np.argpartition(far, min(NEAREST, far.shape[1]) - 1, axis=1)[:, :NEAREST]
+            x, k = np.nonzero(np.take_along_axis(far, best, 1) <= NEAR_LIMIT)
+            a.append(own[x])
+            b.append(rows[best[x, k]])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def hub_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a large bucket with its hubs: the row nearest to the majority of what is left is paired with all rows
-    within NEAR_LIMIT, and rows within NEAR_RADIUS leave; so copies of one text meet at that text."""
-    left, hubs, others = np.arange(len(fps)), [], []
+    """Pairs of a large bucket, a few for each row. The row nearest to the majority of what is left is a hub: all rows
+    within NEAR_LIMIT are paired with it and leave, so edited copies meet at the text that was edited least. Copies of
+    copies meet as nearest rows."""
+    left = np.arange(len(fps))
+    a, b = ([x] for x in nearest_pairs(fps))
     while len(left):
         bits = np.unpackbits(fps[left].view(np.uint8), axis=1).sum(0, dtype=np.int64) * 2 > len(left)
         center = left[np.bitwise_count(fps[left] ^ np.packbits(bits).view(np.uint64)).sum(1, dtype=np.int64).argmin()]
         far = np.bitwise_count(fps ^ fps[center]).sum(1, dtype=np.int64)
         near = np.flatnonzero(far <= NEAR_LIMIT)
         near = near[near != center]
-        hubs.append(np.full(len(near), center))
-        others.append(near)
-        left = left[(far[left] > NEAR_RADIUS) & (left != center)]
-    return np.concatenate(hubs), np.concatenate(others)
+        a.append(np.full(len(near), center))
+        b.append(near)
+        left = left[(far[left] > NEAR_LIMIT) & (left != center)]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def candidate_pairs(reps: DataFrame, n: int) -> DataFrame:
@@ -257,10 +277,10 @@ def candidate_pairs(reps: DataFrame, n: int) -> DataFrame:
             starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
             size = np.diff(starts)
             own = np.repeat(size, size)
-            small = np.flatnonzero((own > 1) & (own <= PAIRWISE))
-            a, b = close_pairs(fps[small], keys[small], NEAR_LIMIT, PAIRWISE)
+            small = np.flatnonzero((own > 1) & (own <= NEAR_PAIRWISE))
+            a, b = close_pairs(fps[small], keys[small], NEAR_LIMIT, NEAR_PAIRWISE)
             found = [(small[a], small[b])]
-            for s in np.flatnonzero(size > PAIRWISE):
+            for s in np.flatnonzero(size > NEAR_PAIRWISE):
                 x, y = hub_pairs(fps[starts[s] : starts[s + 1]])
                 found.append((x + starts[s], y + starts[s]))
             a, b = (reps[np.concatenate(x)] for x in zip(*found, strict=True))
@@ -295,7 +315,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(doc_id, digest, group): equal texts, and texts that similarities of SIMILAR or more join, have one group, the
     least doc_id in it. Null ids have no group. Rows that repeat id and text come once; several texts of one id are tied.
 
-    Buckets of up to PAIRWISE texts are compared pair by pair; larger ones through hubs (`hub_pairs`)."""
+    Buckets of up to NEAR_PAIRWISE texts are compared pair by pair; larger ones through hubs (`hub_pairs`)."""
     known = stored(long_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "near")
     reps = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "reps")
     # the texts of an id that comes with several are one node, so they are tied together
