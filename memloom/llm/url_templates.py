@@ -54,23 +54,26 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
-def _segment(k: int) -> Column:
-    """The k-th segment of the path; from DEPTH on one tail; null beyond the last."""
-    return F.get("segments", F.lit(k)) if k < DEPTH else F.when(F.size("segments") > DEPTH, F.lit("**"))
+def _split(paths: DataFrame, k: int) -> DataFrame:
+    """paths with the segment at level k (from DEPTH on one tail; null beyond the last) and whether it is a value; values
+    are their wildcard at once, so a host with countless of them has one row for all."""
+    raw = F.get("segments", F.lit(k)) if k < DEPTH else F.when(F.size("segments") > DEPTH, F.lit("**"))
+    value = F.coalesce(raw.rlike(VALUE), F.lit(False))
+    wildcard = F.concat(F.lit("*"), F.regexp_extract(raw, r"(\.[A-Za-z0-9]{1,5})?$", 0))
+    return paths.withColumns({"segment": F.when(value, wildcard).otherwise(raw), "value": value})
 
 
-def _level(paths: DataFrame, k: int) -> DataFrame:
-    """(host, node, segment, branch): the branch that each segment of a node at level k belongs to.
+def _level(paths: DataFrame) -> DataFrame:
+    """(host, node, segment, value, branch): the branch that each segment of a node belongs to.
 
-    paths: (host, node, segments, n, good, bad), one row for each distinct path so far.
+    paths: (host, node, segment, value, n, good, bad), one row for each distinct path so far.
     """
-    here = paths.withColumn("segment", _segment(k)).where("segment is not null")
-    shape = F.when(F.col("segment").rlike(VALUE), F.concat(F.lit("*"), F.regexp_extract("segment", r"(\.[A-Za-z0-9]{1,5})?$", 0)))
-    counts = here.groupBy("host", "node", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad"))).withColumn("shape", shape)
+    here = paths.where("segment is not null")
+    counts = here.groupBy("host", "node", "segment", "value").agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
     parents = counts.groupBy("host", "node").agg(F.sum("n").alias("all_n"))
     counts = counts.join(parents, ["host", "node"])
     rare = (F.col("n") < MIN_SHARE * F.col("all_n")) & (F.col("segment") != "**")
-    counts = counts.withColumn("literal", F.col("shape").isNull() & ~rare)
+    counts = counts.withColumn("literal", ~F.col("value") & ~rare)
     # at most 1 / MIN_SHARE literal branches for each parent
     literal = counts.where("literal").withColumn("labelled", F.col("good") + F.col("bad"))
     literal = literal.withColumn("rate", F.col("good") / F.when(F.col("labelled") > 0, F.col("labelled")))
@@ -81,8 +84,9 @@ def _level(paths: DataFrame, k: int) -> DataFrame:
     apart = F.coalesce((F.col("rate") - before_good / before_n) > Z * error, F.lit(False))
     literal = literal.withColumn("group", F.sum(apart.cast("int")).over(order))
     named = F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set("segment").over(Window.partitionBy("host", "node", F.col("rate").isNull(), "group"))), "|"), F.lit("}"))
-    literal = literal.select("host", "node", "segment", F.when(F.contains(named, F.lit("|")), named).otherwise(F.col("segment")).alias("branch"))
-    return literal.union(counts.where("not literal").select("host", "node", "segment", F.coalesce("shape", F.lit("*")).alias("branch")))
+    literal = literal.select("host", "node", "segment", "value", F.when(F.contains(named, F.lit("|")), named).otherwise(F.col("segment")).alias("branch"))
+    rest = counts.where("not literal").select("host", "node", "segment", "value", F.when(F.col("value"), F.col("segment")).otherwise("*").alias("branch"))
+    return literal.union(rest)
 
 
 def learn_templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,9 +97,9 @@ def learn_templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     paths = stored(paths.withColumn("segments", F.expr("filter(split(path, '/'), x -> x <> '')")).withColumn("node", F.lit("/")), "paths")
     deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
     for k in range(min(DEPTH + 1, deepest)):
-        level = _level(paths, k).withColumnRenamed("node", "up")
-        joined = paths.withColumn("segment", _segment(k)).withColumnRenamed("node", "up").join(level, ["host", "up", "segment"], "left")
-        paths = joined.withColumn("node", F.when(F.col("branch").isNull(), F.col("up")).otherwise(F.concat("up", F.when(F.col("up") == "/", "").otherwise("/"), "branch"))).drop("up", "segment", "branch")
+        cut = _split(paths, k)
+        joined = cut.withColumnRenamed("node", "up").join(_level(cut).withColumnRenamed("node", "up"), ["host", "up", "segment", "value"], "left")
+        paths = joined.withColumn("node", F.when(F.col("branch").isNull(), F.col("up")).otherwise(F.concat("up", F.when(F.col("up") == "/", "").otherwise("/"), "branch"))).drop("up", "segment", "value", "branch")
         paths = stored(paths, "paths") if k % 2 else paths
     paths = stored(paths.withColumnRenamed("node", "template"), "paths")
     sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
