@@ -190,6 +190,8 @@ NEAR_WORDS, LEAST_LETTERS = 4, 5
 USUAL_MOST, NEAR_LIMIT, MISSED = 32, 40, 0.05
 #: Buckets over this many texts go through hubs and nearest rows.
 NEAR_PAIRWISE, NEAREST, STRETCH = 16, 4, 4096
+#: The sample that tells common shingles: documents at least, the least share of all, and the most shingles that are told.
+SAMPLED, SAMPLED_SHARE, MOST_COMMON = 10_000, 0.01, 200_000
 
 
 def banding(n: int) -> tuple[int, int]:
@@ -311,22 +313,123 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are frequent in a sample of docs (rep, t; about n rows), sorted, and the rank of each: the most frequent is last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(shingle_hashes(text or b"", NEAR_SHINGLE, SEED), np.uint64)).view(np.int64))], ["h"])
+
+    share = min(1.0, max(SAMPLED_SHARE, SAMPLED / max(1, n)))
+    sample = docs.where(F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * share)).select("t")
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    told = counts.orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).orderBy("n", "h").select("h").toArrow()  # at most MOST_COMMON numbers
+    hashes = told.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], order
+
+
+def prefix_of(text: bytes | None, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the first shingles of a text in one order for all texts, the number of its shingles): rare ones by their hashes, then
+    common ones by rank. Two sets of similarity SIMILAR share one of as many first shingles as SIMILAR leaves out, and one."""
+    own = np.unique(np.array(shingle_hashes(text or b"", NEAR_SHINGLE, SEED), np.uint64))
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        told = common[at] == own
+        at = at[told]
+        own = np.concatenate([own[~told], common[at[np.argsort(rank[at])]]])
+    return own[: int(len(own) * (1 - SIMILAR) + 1e-6) + 1], len(own)
+
+
+def apart_pairs(keys: np.ndarray, group: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of equal key (keys are sorted) and different group that may be similar: where a shingle is the first that
+    two texts share, no more than what follows it in both is shared."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    length = np.diff(np.append(starts, len(keys)))
+    mixed = np.repeat(np.logical_or.reduceat(group != np.repeat(group[starts], length), starts), length)
+    own = np.repeat(length, length)
+    after = size - at
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (group[i] != group[j]) & ((1 + SIMILAR) * np.minimum(after[i], after[j]) >= SIMILAR * (size[i] + size[j]) - 1e-6)
+
+    small = np.flatnonzero(mixed & (own <= PAIRWISE))
+    for gap in range(1, PAIRWISE):
+        i = np.flatnonzero(keys[small[gap:]] == keys[small[:-gap]])
+        if not len(i):
+            break
+        i, j = small[i], small[i + gap]
+        met = may(i, j)
+        yield i[met], j[met]
+    for s, n in zip(starts.tolist(), length.tolist(), strict=True):
+        if n > PAIRWISE and mixed[s]:
+            names, which, counts = np.unique(group[s : s + n], return_inverse=True, return_counts=True)
+            others = s + np.flatnonzero(which != counts.argmax())  # of two groups one at least isn't the largest
+            for k in range(0, len(others), max(1, (1 << 20) // n)):
+                i, j = (x.ravel() for x in np.meshgrid(others[k : k + max(1, (1 << 20) // n)], np.arange(s, s + n), indexing="ij"))
+                met = may(i, j)
+                yield i[met], j[met]
+
+
+def missed_pairs(texts: DataFrame, n: int) -> DataFrame:
+    """(a, b) of all texts (rep, group, t; about n rows) of different groups that may have a similarity of SIMILAR or more: an
+    equi-join on the first shingles of each text, rarest first, so none is lost."""
+    common, rank = common_shingles(texts, n)
+    shared = texts.sparkSession.sparkContext.broadcast((common, rank))  # at most MOST_COMMON pairs of numbers
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                firsts, sizes = zip(*(prefix_of(t, common, rank) for t in part.column("t").to_pylist()), strict=True)
+                each = np.fromiter(map(len, firsts), np.int64, len(firsts))
+                # a text without words has no shingles, and no similar texts
+                each[np.array(sizes) == 0] = 0
+                at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+                columns = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), each) for c in ("rep", "group")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), *map(pa.array, columns), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(at.astype(np.int32))], ["key", "rep", "group", "size", "at"])
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "key"):
+            keys, reps, group, size, at = (rows.column(c).to_numpy() for c in ("key", "rep", "group", "size", "at"))
+            for i, j in apart_pairs(keys, group, size.astype(np.int64), at):
+                if len(i):
+                    a, b = np.unique(np.stack([np.maximum(reps[i], reps[j]), np.minimum(reps[i], reps[j])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt = texts.select("rep", "group", "t").mapInArrow(keyed, "key long, rep long, group long, size int, at int")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(paired, "a long, b long").distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, group): equal texts, and texts that similarities of SIMILAR or more join, have one group, the
     least doc_id in it. Null ids have no group. Rows that repeat id and text come once; several texts of one id are tied.
 
-    Buckets of up to NEAR_PAIRWISE texts are compared pair by pair; larger ones through hubs (`hub_pairs`)."""
+    Bands of long fingerprints find most links cheaply: buckets of up to NEAR_PAIRWISE texts are compared pair by pair, larger
+    ones through hubs (`hub_pairs`). Then `missed_pairs` joins what may still be similar but lies in different groups, so
+    the groups are those of all pairs."""
     known = stored(long_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "near")
     reps = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "reps")
     # the texts of an id that comes with several are one node, so they are tied together
-    pairs = stored(candidate_pairs(reps, reps.count()), "pairs")
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    marked = reps.select("rep", "digest").join(wanted, "rep", "left_semi").withColumnRenamed("digest", "__digest")
+    n = reps.count()
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("t"), digest(text_col).alias("__digest"))
-    texts = texts.join(marked, ["rep", "__digest"], "left_semi").dropDuplicates(["rep", "__digest"])
-    roots = connected_components(similar_pairs(pairs, stored(texts, "texts")))
-    rooted = reps.join(roots, reps.rep == roots.node, "left").select("digest", F.coalesce("root", "rep").alias("group"))
-    return known.select("doc_id", "digest").distinct().join(rooted, "digest")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+        marked = reps.select("rep", "digest").join(wanted, "rep", "left_semi").withColumnRenamed("digest", "__digest")
+        return similar_pairs(pairs, stored(texts.join(marked, ["rep", "__digest"], "left_semi").dropDuplicates(["rep", "__digest"]), "texts"))
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        return reps.join(roots, reps.rep == roots.node, "left").select("rep", "digest", F.coalesce("root", "rep").alias("group"))
+
+    roots = connected_components(links(stored(candidate_pairs(reps, n), "pairs")))
+    firsts = stored(rooted(roots), "firsts").withColumnRenamed("digest", "__digest")
+    missed = stored(missed_pairs(texts.join(firsts, ["rep", "__digest"]), n), "missed")
+    if not missed.isEmpty():
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links(missed)))
+    return known.select("doc_id", "digest").distinct().join(rooted(roots).select("digest", "group"), "digest")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

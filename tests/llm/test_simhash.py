@@ -98,6 +98,28 @@ def test_near_duplicates_match_brute_force(spark):
     assert kept.where("doc_id is null").count() == 2
 
 
+def kept_and_wanted(spark, texts):
+    kept = sh.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or jaccard(texts[i], texts[j]) >= sh.SIMILAR]
+    return sorted(r.doc_id for r in kept.collect()), sorted(set(roots(range(len(texts)), linked).values()))
+
+
+def test_near_copies_meet_among_pages_of_one_fingerprint(spark):
+    rng = random.Random(21)
+    long_words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(40)]
+    pages = []
+    for _ in range(200):  # the same long words in another order, so all fingerprints are equal, and short fields
+        order = rng.sample(long_words, len(long_words))
+        pages.append([w for word in order for w in (word, str(rng.randrange(1000)))])
+    texts = [" ".join(p) for p in pages]
+    for k in range(0, 200, 5):
+        copy = list(pages[k])
+        copy[-1] = "zz"
+        texts.append(" ".join(copy))
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want and len(want) == 200
+
+
 @pytest.mark.parametrize("run", [sh.simhash_components, sh.one_of_each])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
