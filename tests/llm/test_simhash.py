@@ -120,6 +120,19 @@ def test_near_copies_meet_among_pages_of_one_fingerprint(spark):
     assert got == want and len(want) == 200
 
 
+def test_short_near_copies_meet(spark):
+    rng = random.Random(22)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000)]
+    texts = []
+    for i in range(300):  # few long words, so one that is appended moves many bits
+        words = rng.sample(vocabulary, 1 + i % 6)
+        words += [f"{rng.randrange(36**2):x}" for _ in range(8)]
+        rng.shuffle(words)
+        texts += [" ".join(words), " ".join([*words, rng.choice(vocabulary)])]
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want and len(want) < 400
+
+
 @pytest.mark.parametrize("run", [sh.simhash_components, sh.one_of_each])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
