@@ -1,9 +1,10 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters as a vector of its own (words of the training sample only) beside the mean of its
-character trigrams' vectors. All windows of WINDOW words, each STRIDE after the last, are read in
-both directions; attention pools a window's states to one logit; a document's score is its highest
-window's logit, calibrated on the training sample.
+character trigrams' vectors. Texts are read in both directions; attention pools the states of each
+window of WINDOW words to one logit; a document's score is the highest logit of its windows, one at
+every start, calibrated on the training sample. Only training takes windows that are each STRIDE
+after the last, and reads each by itself.
 
 Training takes a bounded sample of labelled rows (SAMPLE documents of at most SAMPLE_CHARS
 characters, drawn by a hash of the id). Each round takes the window of every document that scores
@@ -22,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -33,8 +35,8 @@ SAMPLE, SAMPLE_CHARS, LEAST_DOCS, ROUNDS, BATCH, RATE, DECAY, SEED = 4000, 20_00
 #: Small samples take more rounds, for this many steps at least, and count words of fewer documents.
 LEAST_STEPS = 100
 MOST_TRIGRAMS, ACCEPT = 16, 0.7
-#: Distinct words that a worker keeps, and windows that it reads at once.
-CACHE, LANES = 150_000, 512
+#: Distinct words that a worker keeps, windows that training reads at once, and bytes of texts (or one text) that scoring does.
+CACHE, LANES, READ_BYTES = 150_000, 512, 8_000_000
 FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -172,6 +174,50 @@ def encode_words(words: list[bytes], rows: dict, chars: dict) -> tuple[np.ndarra
     return np.fromiter((rows.get(w, 0) for w in words), np.int64, len(words)), tri
 
 
+def window_sums(x: np.ndarray) -> np.ndarray:
+    """The sum of each run of WINDOW numbers of x, added by doubling, so that nothing cancels out."""
+    out, done, width = np.zeros(len(x) - WINDOW + 1), 0, 1
+    while width <= WINDOW:
+        if WINDOW & width:
+            out += x[done : done + len(out)]
+            done += width
+        x = x[:-width] + x[width:] if width * 2 <= WINDOW else x
+        width *= 2
+    return out
+
+
+def text_logits(p: dict, table: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each document's highest logit over the windows at every start. The recurrence runs once over a document in both
+    directions, and all windows share its states, so what stands before a passage doesn't move the windows that hold it."""
+    first, order = np.cumsum(counts) - counts, np.argsort(-counts, kind="stable")
+    states = np.zeros((len(codes), 2 * HIDDEN), np.float32)
+    h = np.zeros((2, len(counts), HIDDEN), np.float32)
+    begin, last, longest_first = first[order], (first + counts - 1)[order], counts[order]
+    for t in range(int(counts.max(initial=0))):
+        lanes = int(np.searchsorted(-longest_first, -t))  # documents of more than t words
+        ahead, back = begin[:lanes] + t, last[:lanes] - t
+        x = np.stack([table[codes[ahead], : 3 * HIDDEN], table[codes[back], 3 * HIDDEN :]])
+        h = h[:, :lanes]
+        own = h @ p["U"]
+        gates = _sigmoid(x[..., : 2 * HIDDEN] + own[..., : 2 * HIDDEN])
+        z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
+        h = h + (1 - z) * (np.tanh(x[..., 2 * HIDDEN :] + r * own[..., 2 * HIDDEN :]) - h)
+        states[ahead, :HIDDEN], states[back, HIDDEN:] = h
+    room = np.maximum(counts, WINDOW)  # short documents are one window
+    place = np.cumsum(room) - room
+    at = np.arange(len(codes)) + np.repeat(place - first, counts)
+    weight, pull = np.zeros(int(room.sum())), np.zeros(int(room.sum()))
+    for i in range(0, len(codes), 65_536):
+        part = states[i : i + 65_536]
+        weight[at[i : i + 65_536]] = w = np.exp((np.tanh(part @ p["A"]) @ p["v"]).astype(float))
+        pull[at[i : i + 65_536]] = w * (part @ p["o"])
+    weight = window_sums(weight) if len(weight) else weight
+    logits = np.divide(window_sums(pull), weight, out=np.zeros_like(weight), where=weight > 0) if len(pull) else pull
+    inside = np.arange(len(logits)) - np.repeat(place, room)[: len(logits)]
+    logits[inside > np.repeat(room, room)[: len(logits)] - WINDOW] = -np.inf
+    return (np.maximum.reduceat(logits, place) if len(counts) else logits) + p["c"][0]
+
+
 def best_logits(model_p: dict, table: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
     """(each document's highest window logit, the window that has it, all windows)."""
     doc, first, n = spans = windows(counts)
@@ -196,7 +242,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS) -> Model
         model = _fit([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart], rounds)
         reader = Reader(model)
         codes, counts = reader.codes([t for t, a in zip(texts, apart, strict=True) if a])
-        return model._replace(**calibration(best_logits(model.p, reader.table, codes, counts)[0].astype(float), labels[apart]))
+        return model._replace(**calibration(text_logits(model.p, reader.table, codes, counts), labels[apart]))
     return _fit(texts, labels, rounds)
 
 
@@ -298,10 +344,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         reader = held(("toxicity", mark), lambda: Reader(model)) if model else None
         for batch in batches:
             texts, scores = batch.column(place).cast(pa.binary()), np.zeros(batch.num_rows)
-            for i in range(0, batch.num_rows if reader else 0, LANES):
-                codes, counts = reader.codes(texts.slice(i, LANES).to_pylist())
-                logits = best_logits(model.p, reader.table, codes, counts)[0].astype(float)
-                scores[i : i + LANES] = 1 / (1 + np.exp(-np.clip(model.scale * logits + model.shift, -30, 30)))
+            till = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = np.unique(np.searchsorted(till, np.arange(0, int(till[-1]) if len(till) else 0, READ_BYTES), "right"))
+            cuts = [0, *cuts[cuts > 0].tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False) if reader else ():
+                codes, counts = reader.codes(texts.slice(i, j - i).to_pylist())
+                logits = text_logits(model.p, reader.table, codes, counts)
+                scores[i:j] = 1 / (1 + np.exp(-np.clip(model.scale * logits + model.shift, -30, 30)))
             added = [pa.array(scores), pa.array((scores >= ACCEPT).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "__score", "__predicted"])
 

@@ -74,6 +74,25 @@ def test_windows_cover_and_overlap():
         assert covered == set(range(count))
 
 
+def test_windows_at_every_start_are_scored():
+    rng = np.random.default_rng(5)
+    size, counts = toxicity.HIDDEN, np.array([200, 0, 10, 64, 65, 131])
+    p = {"U": rng.standard_normal((2, size, 3 * size)), "A": rng.standard_normal((2 * size, size)), "v": rng.standard_normal(size) * 3, "o": rng.standard_normal(2 * size), "c": np.array([0.25])}
+    table, codes = rng.standard_normal((30, 6 * size)), rng.integers(0, 30, counts.sum())
+    got, want = toxicity.text_logits(p, table, codes, counts), []
+    for own in np.split(codes, np.cumsum(counts)[:-1]):
+        # the states of the whole text, then the attention of each window by itself
+        x, live, _ = toxicity.gather(table, own, np.array([0]), np.array([len(own)]))
+        states = toxicity.forward(p, x, live)[1][2][:, 0]
+        score, each = np.tanh(states @ p["A"]) @ p["v"], []
+        for a in range(max(1, len(own) - toxicity.WINDOW + 1)):
+            weight = np.exp(score[a : a + toxicity.WINDOW] - score[a : a + toxicity.WINDOW].max())
+            each.append(weight / weight.sum() @ (states[a : a + toxicity.WINDOW] @ p["o"]) + 0.25)
+        want.append(max(each) if len(own) else 0.25)
+    assert got == pytest.approx(want, abs=1e-4)
+    assert toxicity.text_logits(p, table, codes[:0], counts[:0]).tolist() == []
+
+
 def test_toxicity_learns_and_leaves_clean_alone(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
