@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as a vector of its own (words of the training sample only) beside the mean of its
+A word, or each overlapping piece of a long one, enters as a vector of its own (words of the training sample only) beside the mean of its
 character trigrams' vectors. Texts are read in both directions; attention pools the states of each
 window of WINDOW words to one logit; a document's score is the highest logit of its windows, one at
 every start, calibrated on the training sample. Only training takes windows that are each STRIDE
@@ -35,13 +35,19 @@ SAMPLE, SAMPLE_CHARS, LEAST_DOCS, ROUNDS, BATCH, RATE, DECAY, SEED = 4000, 20_00
 #: Small samples take more rounds, for this many steps at least, and count words of fewer documents.
 LEAST_STEPS = 100
 MOST_TRIGRAMS, ACCEPT = 16, 0.7
+#: Bytes of a piece of a long word: as many as have MOST_TRIGRAMS trigrams with the marks at both ends, so none is left out.
+PIECE = MOST_TRIGRAMS
 #: Distinct words that a worker keeps, windows that training reads at once, and bytes of texts (or one text) that scoring does.
 CACHE, LANES, READ_BYTES = 150_000, 512, 8_000_000
 FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(FOLD).split()
+    """The words of a text; one of over PIECE bytes as pieces of PIECE bytes that overlap by half, so that all of it is read."""
+    words = (text or b"").translate(FOLD).split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)]
 
 
 def trigrams(word: bytes) -> list[bytes]:

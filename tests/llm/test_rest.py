@@ -93,6 +93,15 @@ def test_windows_at_every_start_are_scored():
     assert toxicity.text_logits(p, table, codes[:0], counts[:0]).tolist() == []
 
 
+@pytest.mark.parametrize("word", ["a", "abcdefghijklmnop", "abcdefghijklmnopq", "Donaudampfschifffahrtsgesellschaft", "".join(map(chr, range(0x4E00, 0x4E60))) + "moron"])
+def test_all_trigrams_of_long_words_are_read(word):
+    whole = b"<" + word.lower().encode() + b">"
+    pieces = toxicity.words_of(word.encode())
+    read = {g for w in pieces for g in toxicity.trigrams(w)}
+    assert {whole[i : i + 3] for i in range(len(whole) - 2)} <= read
+    assert b"moron" not in whole or any(b"moron" in w for w in pieces)
+
+
 def test_toxicity_learns_and_leaves_clean_alone(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
