@@ -121,10 +121,11 @@ def _placed(sizes: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs as the mix takes them: every row as often as `mix` says, so rows that it doesn't take are gone."""
-    placed = _placed(stored(measured(docs, id_col, text_col, source_col), "sizes"))
-    last = F.max(F.when(F.col("copies") > F.col("full"), F.col("key")))
-    rules = placed.groupBy("source").agg(F.max("full").alias("__full"), last.alias("__last")).withColumnRenamed("source", "__source")
-    rows = docs.join(rules, F.col(source_col).eqNullSafe(F.col("__source")))
-    copies = F.col("__full") + F.when(order_key(id_col, text_col) <= F.col("__last"), 1).otherwise(0)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).drop("__full", "__last", "__source", "__copy")
+    """docs as the mix takes them: every row once for each of the positions that `mix` gives it, range-sorted by position, so
+    rows that it doesn't take are gone; taken rows without words have no position and come last."""
+    spots = mix(docs, id_col, text_col, source_col).where("copies > 0").dropDuplicates(["source", "key"])  # equal keys are taken alike
+    at = F.coalesce("positions", F.array_repeat(F.lit(None).cast("double"), F.col("copies").cast("int")))
+    spots = spots.select(F.col("source").alias("__source"), F.col("key").alias("__key"), at.alias("__at"))
+    rows = docs.withColumn("__row_key", order_key(id_col, text_col)).join(spots, (F.col("__row_key") == F.col("__key")) & F.col(source_col).eqNullSafe(F.col("__source")))
+    rows = rows.select(*docs.columns, "__row_key", F.explode("__at").alias("__position"))
+    return rows.orderBy(F.col("__position").asc_nulls_last(), "__row_key").select(*docs.columns)

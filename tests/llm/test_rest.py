@@ -286,6 +286,13 @@ def test_mixed_rows_repeat(spark):
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_rows_stand_at_their_positions(spark):
+    rows = [(i, "w " * (i % 7), "abc"[i % 3] if i % 10 else None) for i in range(300)] + [(4, "w w w w", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((p, r.key, r.doc_id) for r in mixing.mix(docs).collect() for p in r.positions or ())
+    assert [r.doc_id for r in mixing.mixed(docs).where("text <> ''").collect()] == [doc_id for _, _, doc_id in want]
+
+
 # --- pipeline ---
 
 
