@@ -7,13 +7,13 @@ outer text that it came from. A layer that was seen before at the same place is
 so the worklist ends for inputs that decode to themselves too.
 
 Defined cases: null is the empty text, with no spans; equal spans are kept once; base spans always
-stay; a compressed layer is read whole up to INFLATE bytes, which guards against bombs only.
+stay; bytes that aren't UTF-8 are replacement characters; compressed layers are read whole, in
+overlapping pieces.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -34,10 +34,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_MARKS = ("passw", "secret", "token", "api")
 PERCENT = re.compile("%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}={0,2}|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}={0,2}")
+#: A run of the letters of both alphabets, with what follows on the next lines.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 STRETCH = re.compile(r"\S+")
-UNREADABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
-INFLATE = 1 << 26
+BAD = re.compile("[\udc80-\udcff]")
+#: Starts of gzip, zlib, bzip2 and xz streams.
+STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+#: Bytes of an inflated piece, and those that the next piece repeats.
+INFLATE, OVERLAP = 1 << 24, 1 << 16
 
 Layer = tuple[str, np.ndarray, np.ndarray]
 
@@ -53,7 +58,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _from_pieces(pieces: list[tuple[str, int, int]], data: bool) -> Layer | None:
+def _from_pieces(pieces: list[tuple[str, int, int]], data: bool) -> Layer:
     """A layer from (characters, start, end) pieces; data: the characters are bytes of UTF-8 in part."""
     text = "".join(p[0] for p in pieces)
     starts = np.repeat([p[1] for p in pieces], [len(p[0]) for p in pieces])
@@ -61,19 +66,16 @@ def _from_pieces(pieces: list[tuple[str, int, int]], data: bool) -> Layer | None
     return (text, starts, ends) if not data else _utf8(text.encode("latin-1"), starts, ends)
 
 
-def _utf8(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer | None:
-    """The text of UTF-8 bytes, each of which stands for [start, end) outside; None if they aren't readable text."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    if UNREADABLE.search(text):
-        return None
-    lead = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return text, starts[lead], ends[np.append(lead[1:], len(data))[: len(lead)] - 1]
+def _utf8(data: bytes, starts: np.ndarray, ends: np.ndarray) -> Layer:
+    """The text of bytes, each of which stands for [start, end) outside; a byte that isn't UTF-8 is a replacement character."""
+    text = data.decode(errors="surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    one = (codes < 0x80) | ((codes >= 0xDC80) & (codes <= 0xDCFF))
+    lead = np.cumsum(np.where(one, 1, 2 + (codes >= 0x800).astype(np.int64) + (codes >= 0x10000)))
+    return BAD.sub("\ufffd", text), starts[np.concatenate(([0], lead[:-1]))[: len(lead)]], ends[lead - 1]
 
 
-def percent_layer(text: str) -> Layer | None:
+def percent_layer(text: str) -> Layer:
     """Percent signs decoded as UTF-8 bytes; other characters stay."""
     pieces, at = [], 0
     while at < len(text):
@@ -86,7 +88,7 @@ def percent_layer(text: str) -> Layer | None:
     return _from_pieces(pieces, data=True)
 
 
-def escape_layer(text: str) -> Layer | None:
+def escape_layer(text: str) -> Layer:
     pieces, at = [], 0
     for m in ESCAPE.finditer(text):
         code = int(m[1] or m[2] or m[3], 16)
@@ -97,44 +99,82 @@ def escape_layer(text: str) -> Layer | None:
     return _from_pieces(pieces, data=False)
 
 
-def inflate(data: bytes) -> bytes | None:
-    """What a gzip, zlib, bzip2 or xz stream holds; None for other bytes or broken streams."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, INFLATE)
-        if data[:1] == b"\x78" and int.from_bytes(data[:2]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, INFLATE)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, INFLATE)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, INFLATE)
-    except (zlib.error, OSError, ValueError, lzma.LZMAError):
-        pass
-    return None
-
-
-def base64_layer(text: str) -> Layer | None:
-    bare = text.rstrip("=")
-    bare = bare[: len(bare) - (len(bare) % 4 == 1)]
-    try:
-        data = base64.b64decode(bare + "=" * (-len(bare) % 4), altchars=b"-_" if "-" in bare or "_" in bare else None)
-    except (binascii.Error, ValueError):
-        return None
-    while (more := inflate(data)) is not None and more != data:
-        layer = _utf8(more, np.zeros(len(more), np.int64), np.full(len(more), len(text)))
-        if layer:
-            return layer
-        data = more
-    at = np.arange(len(data))
-    return _utf8(data, at * 4 // 3, np.minimum(len(text), (at + 1) * 4 // 3 + ((at + 1) % 3 != 0)))
+def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the gzip, zlib, bzip2 or xz streams at the start of chunks hold, member after member, up to where they break."""
+    data = next(chunks, b"")
+    while STREAM.match(data):
+        zipped = data[:1] in (b"\x1f", b"\x78")
+        stream = zlib.decompressobj(47) if zipped else bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor()
+        try:
+            while not stream.eof:
+                if data or (not zipped and not stream.needs_input):
+                    out = stream.decompress(data, INFLATE)
+                    data = stream.unconsumed_tail if zipped else b""
+                    if out:
+                        yield out
+                elif (data := next(chunks, b"")) == b"":
+                    return
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            return
+        data = stream.unused_data
+        while len(data) < 6 and (more := next(chunks, b"")):
+            data += more
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """Overlapping pieces of what data holds, and of what that holds where it is compressed too."""
+    depth, marks = 0, set()
+    while True:
+        depth += 1
+        chunks: Iterator[bytes] = iter([data])
+        for _ in range(depth):
+            chunks = inflate(chunks)
+        held, head, mark = b"", None, hashlib.sha256()
+        for chunk in chunks:
+            mark.update(chunk)
+            head = chunk if head is None else head
+            yield held + chunk
+            held = (held + chunk)[-OVERLAP:]
+        if not head or not STREAM.match(head) or mark.digest() in marks:
+            return
+        marks.add(mark.digest())
+
+
+def _promising(text: str) -> bool:
+    """Whether a layer has something to find or to unwrap."""
+    low = text.lower()
+    return any(m in low for m in (*ASSIGN_MARKS, "akia")) or any(p.search(text) for p in (HEX, PERCENT, ESCAPE, BASE64))
+
+
+def base64_layers(text: str) -> Iterator[Layer]:
+    """Layers of a run in base64, its lines joined, at all four alignments, for it may begin after any path or word; of both
+    alphabets alike. Compressed streams are sought at every byte; what they hold stands for all of the run from their start."""
+    at = np.concatenate([np.arange(m.start(), m.end()) for m in LETTERS.finditer(text)])
+    letters = "".join(LETTERS.findall(text)).replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        bare = letters[skip:]
+        bare = bare[: len(bare) - (len(bare) % 4 == 1)]
+        data = base64.b64decode(bare + "=" * (-len(bare) % 4))
+        n = np.arange(len(data))
+        starts, ends = at[skip + n * 4 // 3], at[skip + np.minimum(len(bare) - 1, ((n + 1) * 4 + 2) // 3 - 1)] + 1
+        layer = data.decode(errors="replace")
+        if _promising(layer):
+            yield _utf8(data, starts, ends)
+        for m in STREAM.finditer(data):
+            for piece in inflated(data[m.start() :]):
+                if _promising(piece.decode(errors="replace")):
+                    yield _utf8(piece, np.full(len(piece), starts[m.start()]), np.full(len(piece), len(text)))
 
 
 def layers(text: str) -> Iterator[Layer]:
     """The layers one step below text."""
-    for mark, pattern, unwrap in ((PERCENT, STRETCH, percent_layer), (ESCAPE, STRETCH, escape_layer), (None, BASE64, base64_layer)):
-        for m in pattern.finditer(text) if not mark or mark.search(text) else ():
-            if (not mark or mark.search(m[0])) and (layer := unwrap(m[0])) and layer[0] and layer[0] != m[0]:
+    for mark, unwrap in ((PERCENT, percent_layer), (ESCAPE, escape_layer)):
+        for m in STRETCH.finditer(text) if mark.search(text) else ():
+            if mark.search(m[0]) and (layer := unwrap(m[0]))[0] and layer[0] != m[0]:
                 yield layer[0], layer[1] + m.start(), layer[2] + m.start()
+    for m in BASE64.finditer(text):
+        for layer in base64_layers(m[0]):
+            yield layer[0], layer[1] + m.start(), layer[2] + m.start()
 
 
 def deep_scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

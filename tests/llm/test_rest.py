@@ -184,6 +184,25 @@ def test_percent_spans_are_exact():
     assert secrets.deep_scan(text)[1] == [(start, 0, text.index(" z"))]
 
 
+B64 = base64.b64encode(SECRET.encode()).decode()
+
+
+@pytest.mark.parametrize("text", [
+    "q=caf%E9&password%3Dhunter2222", "a%00b%1B&password%3Dhunter2222", "https://h.example.com/dl/" + B64, "some_name-" + B64, "abcdefghijklmnopqrst-" + B64, "abcdefghijklmnopqrst_x" + B64,
+    "\n".join(re.findall(".{1,76}", base64.b64encode(b"x" * 52 + SECRET.encode() + b"y " * 40).decode())), base64.b64encode(b"\xff\x00\x01" + SECRET.encode()).decode(),
+    base64.b64encode(gzip.compress(b"first ") + gzip.compress(SECRET.encode())).decode(), base64.b64encode(bz2.compress(gzip.compress(SECRET.encode()))).decode(), "files/" + base64.b64encode(zlib.compress(SECRET.encode())).decode(),
+    base64.b64encode(gzip.compress(b" " * (1 << 27) + SECRET.encode())).decode(),
+], ids=range(12))
+def test_layers_are_read_past_what_is_broken(text):
+    assert any(kind == 0 for _, kind, _ in secrets.deep_scan(text)[1]) and secrets.scan(text) == []
+
+
+def test_base64_spans_are_exact():
+    text = "é https://h.example.com/dl/" + base64.b64encode(b"abc" + SECRET.encode() + b" z").decode()
+    start = text.index("/dl/") + 4
+    assert (start + 4, 0, start + 4 + -(-len(SECRET) * 4 // 3)) in secrets.deep_scan(text)[1]
+
+
 def test_secret_rows(spark):
     loop = base64.b64encode(b"a" * 30).decode()
     texts = [None, "", SECRET, "%25" * 3000, loop, "x" * 200_000, "%" + "a" * 200_000]
