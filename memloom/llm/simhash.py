@@ -3,8 +3,7 @@
 A pivot table holds, for each fingerprint, its Hamming distances to fixed reference
 fingerprints. By the triangle inequality two fingerprints within distance d differ by at
 most d in every coordinate, so pairs are discarded by their maximum coordinate difference
-and only survivors are verified on the fingerprints themselves (and, in `near_duplicates`,
-on the texts).
+and only survivors are verified on the fingerprints themselves (and, in `near`, on the texts).
 
 Defined cases: null texts have no words; a text without words has fingerprint zero and is
 linked like any other; rows with equal texts share a fingerprint; rows with a null id keep
@@ -18,14 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.common import connected_components, stored
 
 SHINGLE, SEED, MAX_DISTANCE, N_PIVOTS = 3, 42, 2, 16
-#: Buckets over this many fingerprints are linked through hubs instead of pair by pair.
-PAIRWISE = 64
 LANES = np.uint64(0x0001_0001_0001_0001)
 MAX_LANE = 65_535
 
@@ -87,34 +84,21 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ p).sum(1, dtype=np.int16) for p in pivots(words=fps.shape[1])], 1)
 
 
-def close_pairs(fps: np.ndarray, run: np.ndarray, limit: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within runs of equal run (at most longest rows each) at Hamming distance of limit or less."""
-    table, left, right = pivot_table(fps), [], []
-    for gap in range(1, longest):
-        i = np.flatnonzero(run[gap:] == run[:-gap])
-        if not len(i):
+def close_pairs(fps: np.ndarray, table: np.ndarray, run: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within runs of equal run at Hamming distance of limit or less. Each run must be sorted by the table's first
+    coordinate: what lies further apart there is not paired. The maximum coordinate difference discards further pairs, one
+    coordinate at a time, and survivors are verified."""
+    at = np.arange(len(fps))
+    for gap in range(1, len(fps)):
+        at = at[at + gap < len(fps)]
+        at = at[(run[at + gap] == run[at]) & (table[at + gap, 0] - table[at, 0] <= limit)]  # sorted, so none comes back at a larger gap
+        if not len(at):
             break
-        for p in range(table.shape[1]):  # the maximum coordinate difference, one coordinate at a time
+        i = at
+        for p in range(1, table.shape[1]):
             i = i[np.abs(table[i, p] - table[i + gap, p]) <= limit]
-        i = i[np.bitwise_count(fps[i] ^ fps[i + gap]).sum(1) <= limit]
-        left.append(i)
-        right.append(i + gap)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def ball_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what lies within distance 2, in linear space: two fingerprints do if and only if
-    they share a value within distance 1 of both, so each such value links all its fingerprints to one."""
-    flips = np.concatenate(([0], np.uint64(1) << np.arange(64, dtype=np.uint64))).astype(np.uint64)
-    near = (fps[:, None] ^ flips).ravel()
-    owner = np.repeat(np.arange(len(fps)), len(flips))
-    order = np.lexsort((owner, near))
-    near, owner = near[order], owner[order]
-    first = np.concatenate(([True], near[1:] != near[:-1]))
-    hub = owner[first][np.cumsum(first) - 1]
-    links = np.unique(np.stack([hub, owner])[:, hub != owner], axis=1)
-    return links[0], links[1]
+        i = i[np.bitwise_count(fps[i] ^ fps[i + gap]) <= limit]
+        yield i, i + gap
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -137,33 +121,38 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def hamming_links(reps: DataFrame) -> DataFrame:
-    """(a, b) links between rows of reps (rep, fp; fp distinct) that join all fingerprints within distance 2.
+    """(a, b) links between rows of reps (rep, fp; fp distinct): all pairs at distance 2 or less.
 
-    Two fingerprints at distance 2 or less agree on at least two of their four 16-bit blocks, so each
-    row is dealt by its six pairs of blocks; no row is dropped, and a bucket is handled in linear space.
+    The pivot table is computed once for each fingerprint and goes with it. Two fingerprints at distance 2 or less
+    agree on at least six of their eight bytes, so each row is dealt by its 28 choices of six bytes and no pair is
+    lost. Rows of one bucket differ in the other two bytes only, so a bucket has 65,536 rows at most, of which each has
+    136 partners at most: a task's memory and the number of links are bounded however alike the fingerprints are.
     """
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    combos = [(i, j) for i in range(4) for j in range(i)]
-    key = F.explode(F.array(*[F.shiftleft(F.lit(c).cast("long"), 32) + F.shiftleft(block[i], 16) + block[j] for c, (i, j) in enumerate(combos)]))
-    dealt = reps.select("rep", "fp", key.alias("key")).repartition("key").sortWithinPartitions("key")
+    free = [(i, j) for i in range(8) for j in range(i)]
+    kept = [(~((0xFF << 8 * i) | (0xFF << 8 * j)) + 2**63) % 2**64 - 2**63 for i, j in free]
+    # the two free bytes are zero in the masked value; the hash takes the choice in
+    key = F.explode(F.array(*[F.xxhash64(F.lit(c), F.col("fp").bitwiseAND(F.lit(m))) for c, m in enumerate(kept)]))
+
+    def pivoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)[:, None]).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("fp"), pa.array(table[:, 0].astype(np.int32)), pa.array([x.tobytes() for x in table], pa.binary())], ["rep", "fp", "first", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, "key"):
             keys, fps, reps = (rows.column(c).to_numpy() for c in ("key", "fp", "rep"))
-            fps = fps.view(np.uint64)
-            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-            size = np.diff(starts)
-            own = np.repeat(size, size)
-            small = np.flatnonzero((own > 1) & (own <= PAIRWISE))
-            a, b = close_pairs(fps[small, None], keys[small], MAX_DISTANCE, PAIRWISE)
-            found = [(small[a], small[b])]
-            for s in np.flatnonzero(size > PAIRWISE):
-                x, y = ball_links(fps[starts[s] : starts[s + 1]])
-                found.append((x + starts[s], y + starts[s]))
-            a, b = (reps[np.concatenate(x)] for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+            met = np.zeros(len(keys), bool)  # whose key another row has too
+            met[1:] = keys[1:] == keys[:-1]
+            met[:-1] |= met[1:]
+            met = np.flatnonzero(met)
+            if len(met):
+                table = np.frombuffer(b"".join(rows.column("far").take(pa.array(met)).to_pylist()), np.uint8).reshape(len(met), -1).astype(np.int16)
+                for a, b in close_pairs(fps[met].view(np.uint64), table, keys[met], MAX_DISTANCE):
+                    a, b = reps[met[a]], reps[met[b]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    dealt = reps.select("rep", "fp").mapInArrow(pivoted, "rep long, fp long, first int, far binary").select("rep", "fp", "first", "far", key.alias("key"))
+    return dealt.repartition("key").sortWithinPartitions("key", "first").mapInArrow(run, "a long, b long")
 
 
 def components(fps: DataFrame) -> DataFrame:
@@ -178,267 +167,3 @@ def components(fps: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): whole-text SimHash and the groups that links at distance 2 or less make."""
     return components(stored(fingerprints(docs, id_col, text_col), "simhash"))
-
-
-# --- near-duplicates by the texts' own similarity, for filtering ---
-
-#: Words in a shingle, and the Jaccard similarity of shingle sets from which texts are near-duplicates.
-NEAR_SHINGLE, SIMILAR = 5, 0.8
-#: The long fingerprint for candidates: 64-bit words, and the least letters of words that it is made of.
-NEAR_WORDS, LEAST_LETTERS = 4, 5
-#: Texts as similar as SIMILAR differed in 32 of 256 bits at most on the samples we measured; candidates may in NEAR_LIMIT.
-USUAL_MOST, NEAR_LIMIT, MISSED = 32, 40, 0.05
-#: Buckets over this many texts go through hubs and nearest rows.
-NEAR_PAIRWISE, NEAREST, STRETCH = 16, 4, 4096
-#: The sample that tells common shingles: documents at least, the least share of all, and the most shingles that are told.
-SAMPLED, SAMPLED_SHARE, MOST_COMMON = 10_000, 0.01, 200_000
-
-
-def banding(n: int) -> tuple[int, int]:
-    """(bits of a band, bands) for n texts: as many bits as keep chance meetings to a few for each text, and as
-    many bands as let texts USUAL_MOST bits apart miss all of them with a chance of MISSED at most."""
-    bits = max(20, int(np.ceil(np.log2(max(2, n)))) - 2)
-    return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - USUAL_MOST / (64 * NEAR_WORDS)) ** bits))))
-
-
-def long_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, fps): the MD5 of the text and SimHashes of its distinct longer words by NEAR_WORDS seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = []
-            for text in batch.column(1).to_pylist():
-                words = set((text or b"").lower().split())
-                each.append(list({w for w in words if len(w) >= LEAST_LETTERS} or words))
-            counts = np.fromiter(map(len, each), np.int64, len(each))
-            fps = [majority_bits(np.fromiter((xxhash.xxh64_intdigest(w, s) for x in each for w in x), np.uint64, int(counts.sum())), counts) for s in range(NEAR_WORDS)]
-            fps = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(fps, 1).view(np.int64).ravel()), NEAR_WORDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), fps], ["doc_id", "digest", "fps"])
-
-    text = F.col(text_col).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), digest(text_col).alias("digest")).mapInArrow(run, "doc_id long, digest string, fps array<long>")
-
-
-def digest(text_col: str) -> Column:
-    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
-
-
-def nearest_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every row of a large bucket with its NEAREST nearest others within NEAR_LIMIT, sought in stretches of the sorted rows."""
-    order, a, b = np.lexsort(fps.T[::-1]), [], []
-    for i in range(0, len(order), STRETCH):
-        rows = order[i : i + STRETCH]
-        for j in range(0, len(rows), 128):
-            own = rows[j : j + 128]
-            far = np.bitwise_count(fps[own, None] ^ fps[rows]).sum(2, dtype=np.int16)
-            far[np.arange(len(own)), np.arange(j, j + len(own))] = 64 * NEAR_WORDS
-            best = np.argpartition(far, min(NEAREST, far.shape[1]) - 1, axis=1)[:, :NEAREST]
-            x, k = np.nonzero(np.take_along_axis(far, best, 1) <= NEAR_LIMIT)
-            a.append(own[x])
-            b.append(rows[best[x, k]])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def hub_pairs(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a large bucket, a few for each row. The row nearest to the majority of what is left is a hub: all rows
-    within NEAR_LIMIT are paired with it and leave, so edited copies meet at the text that was edited least. Copies of
-    copies meet as nearest rows."""
-    left = np.arange(len(fps))
-    a, b = ([x] for x in nearest_pairs(fps))
-    while len(left):
-        bits = np.unpackbits(fps[left].view(np.uint8), axis=1).sum(0, dtype=np.int64) * 2 > len(left)
-        center = left[np.bitwise_count(fps[left] ^ np.packbits(bits).view(np.uint64)).sum(1, dtype=np.int64).argmin()]
-        far = np.bitwise_count(fps ^ fps[center]).sum(1, dtype=np.int64)
-        near = np.flatnonzero(far <= NEAR_LIMIT)
-        near = near[near != center]
-        a.append(np.full(len(near), center))
-        b.append(near)
-        left = left[(far[left] > NEAR_LIMIT) & (left != center)]
-    return np.concatenate(a), np.concatenate(b)
-
-
-def candidate_pairs(reps: DataFrame, n: int) -> DataFrame:
-    """(a, b) of reps (rep, fps) that share a band and pass the pivot table and the Hamming limit."""
-    bits, bands = banding(n)
-    rng = np.random.default_rng(SEED)
-    picks = np.stack([rng.permutation(64 * NEAR_WORDS)[:bits] for _ in range(bands)])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, NEAR_WORDS)
-            on = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            for i in range(0, len(fps), 4096):
-                part, rep, own = on[i : i + 4096], batch.column(0)[i : i + 4096].to_numpy(zero_copy_only=False), fps[i : i + 4096]
-                keys = np.stack([(part[:, p] << np.arange(bits)).sum(1) * bands + k for k, p in enumerate(picks)], 1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(rep, bands)), *(pa.array(np.repeat(own[:, w], bands)) for w in range(NEAR_WORDS))], ["key", "rep", *names])
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, "key"):
-            keys, reps = rows.column("key").to_numpy(), rows.column("rep").to_numpy()
-            fps = np.stack([rows.column(c).to_numpy() for c in names], 1).view(np.uint64)
-            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-            size = np.diff(starts)
-            own = np.repeat(size, size)
-            small = np.flatnonzero((own > 1) & (own <= NEAR_PAIRWISE))
-            a, b = close_pairs(fps[small], keys[small], NEAR_LIMIT, NEAR_PAIRWISE)
-            found = [(small[a], small[b])]
-            for s in np.flatnonzero(size > NEAR_PAIRWISE):
-                x, y = hub_pairs(fps[starts[s] : starts[s + 1]])
-                found.append((x + starts[s], y + starts[s]))
-            a, b = (reps[np.concatenate(x)] for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    names = [f"f{w}" for w in range(NEAR_WORDS)]
-    dealt = reps.select("rep", "fps").mapInArrow(keyed, "key long, rep long, " + ", ".join(f"{c} long" for c in names))
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(paired, "a long, b long").distinct()
-
-
-def shingle_set(text: bytes | None) -> set[int]:
-    return set(shingle_hashes(text or b"", NEAR_SHINGLE, SEED))
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) whose whole texts (rep, t) have a Jaccard similarity of SIMILAR or more."""
-    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                x, y = shingle_set(x), shingle_set(y)
-                met = len(x & y)
-                good.append(met >= SIMILAR * (len(x) + len(y) - met) and met > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def common_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that are frequent in a sample of docs (rep, t; about n rows), sorted, and the rank of each: the most frequent is last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(shingle_hashes(text or b"", NEAR_SHINGLE, SEED), np.uint64)).view(np.int64))], ["h"])
-
-    share = min(1.0, max(SAMPLED_SHARE, SAMPLED / max(1, n)))
-    sample = docs.where(F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * share)).select("t")
-    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    told = counts.orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).orderBy("n", "h").select("h").toArrow()  # at most MOST_COMMON numbers
-    hashes = told.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], order
-
-
-def prefix_of(text: bytes | None, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """(the first shingles of a text in one order for all texts, the number of its shingles): rare ones by their hashes, then
-    common ones by rank. Two sets of similarity SIMILAR share one of as many first shingles as SIMILAR leaves out, and one."""
-    own = np.unique(np.array(shingle_hashes(text or b"", NEAR_SHINGLE, SEED), np.uint64))
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        told = common[at] == own
-        at = at[told]
-        own = np.concatenate([own[~told], common[at[np.argsort(rank[at])]]])
-    return own[: int(len(own) * (1 - SIMILAR) + 1e-6) + 1], len(own)
-
-
-def apart_pairs(keys: np.ndarray, group: np.ndarray, size: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of equal key (keys are sorted) and different group that may be similar: where a shingle is the first that
-    two texts share, no more than what follows it in both is shared."""
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    length = np.diff(np.append(starts, len(keys)))
-    mixed = np.repeat(np.logical_or.reduceat(group != np.repeat(group[starts], length), starts), length)
-    own = np.repeat(length, length)
-    after = size - at
-
-    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (group[i] != group[j]) & ((1 + SIMILAR) * np.minimum(after[i], after[j]) >= SIMILAR * (size[i] + size[j]) - 1e-6)
-
-    small = np.flatnonzero(mixed & (own <= PAIRWISE))
-    for gap in range(1, PAIRWISE):
-        i = np.flatnonzero(keys[small[gap:]] == keys[small[:-gap]])
-        if not len(i):
-            break
-        i, j = small[i], small[i + gap]
-        met = may(i, j)
-        yield i[met], j[met]
-    for s, n in zip(starts.tolist(), length.tolist(), strict=True):
-        if n > PAIRWISE and mixed[s]:
-            names, which, counts = np.unique(group[s : s + n], return_inverse=True, return_counts=True)
-            others = s + np.flatnonzero(which != counts.argmax())  # of two groups one at least isn't the largest
-            for k in range(0, len(others), max(1, (1 << 20) // n)):
-                i, j = (x.ravel() for x in np.meshgrid(others[k : k + max(1, (1 << 20) // n)], np.arange(s, s + n), indexing="ij"))
-                met = may(i, j)
-                yield i[met], j[met]
-
-
-def missed_pairs(texts: DataFrame, n: int) -> DataFrame:
-    """(a, b) of all texts (rep, group, t; about n rows) of different groups that may have a similarity of SIMILAR or more: an
-    equi-join on the first shingles of each text, rarest first, so none is lost."""
-    common, rank = common_shingles(texts, n)
-    shared = texts.sparkSession.sparkContext.broadcast((common, rank))  # at most MOST_COMMON pairs of numbers
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                firsts, sizes = zip(*(prefix_of(t, common, rank) for t in part.column("t").to_pylist()), strict=True)
-                each = np.fromiter(map(len, firsts), np.int64, len(firsts))
-                # a text without words has no shingles, and no similar texts
-                each[np.array(sizes) == 0] = 0
-                at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-                columns = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), each) for c in ("rep", "group")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), *map(pa.array, columns), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(at.astype(np.int32))], ["key", "rep", "group", "size", "at"])
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches, "key"):
-            keys, reps, group, size, at = (rows.column(c).to_numpy() for c in ("key", "rep", "group", "size", "at"))
-            for i, j in apart_pairs(keys, group, size.astype(np.int64), at):
-                if len(i):
-                    a, b = np.unique(np.stack([np.maximum(reps[i], reps[j]), np.minimum(reps[i], reps[j])]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    dealt = texts.select("rep", "group", "t").mapInArrow(keyed, "key long, rep long, group long, size int, at int")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(paired, "a long, b long").distinct()
-
-
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest, group): equal texts, and texts that similarities of SIMILAR or more join, have one group, the
-    least doc_id in it. Null ids have no group. Rows that repeat id and text come once; several texts of one id are tied.
-
-    Bands of long fingerprints find most links cheaply: buckets of up to NEAR_PAIRWISE texts are compared pair by pair, larger
-    ones through hubs (`hub_pairs`). Then `missed_pairs` joins what may still be similar but lies in different groups, so
-    the groups are those of all pairs."""
-    known = stored(long_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "near")
-    reps = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")), "reps")
-    # the texts of an id that comes with several are one node, so they are tied together
-    n = reps.count()
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("t"), digest(text_col).alias("__digest"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-        marked = reps.select("rep", "digest").join(wanted, "rep", "left_semi").withColumnRenamed("digest", "__digest")
-        return similar_pairs(pairs, stored(texts.join(marked, ["rep", "__digest"], "left_semi").dropDuplicates(["rep", "__digest"]), "texts"))
-
-    def rooted(roots: DataFrame) -> DataFrame:
-        return reps.join(roots, reps.rep == roots.node, "left").select("rep", "digest", F.coalesce("root", "rep").alias("group"))
-
-    roots = connected_components(links(stored(candidate_pairs(reps, n), "pairs")))
-    firsts = stored(rooted(roots), "firsts").withColumnRenamed("digest", "__digest")
-    missed = stored(missed_pairs(texts.join(firsts, ["rep", "__digest"]), n), "missed")
-    if not missed.isEmpty():
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links(missed)))
-    return known.select("doc_id", "digest").distinct().join(rooted(roots).select("digest", "group"), "digest")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each group the row with the least id stays, once; rows with a null id all stay."""
-    groups = near_duplicate_groups(docs, id_col, text_col)
-    kept = groups.groupBy("group").agg(F.min(F.struct("doc_id", "digest")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.digest").alias("__digest"))
-    own = docs.withColumn("__row_digest", digest(text_col))
-    stay = own.join(kept, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__row_digest") == F.col("__digest")), "left_semi")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    if not repeated.isEmpty():
-        stay = stay.dropDuplicates([id_col, "__row_digest"])
-    return stay.drop("__row_digest").union(docs.where(F.col(id_col).isNull()))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from memloom.llm import near
 from memloom.llm import simhash as sh
 
 SCHEMA = "doc_id long, text string, fp string"
@@ -70,7 +71,7 @@ def test_pivots_never_discard_a_close_pair():
 
 
 def jaccard(x, y):
-    a, b = sh.shingle_set(x.encode()), sh.shingle_set(y.encode())
+    a, b = near.shingle_set(x.encode()), near.shingle_set(y.encode())
     return len(a & b) / len(a | b) if a | b else 0
 
 
@@ -90,8 +91,8 @@ def test_near_duplicates_match_brute_force(spark):
         texts.append(" ".join(words))
     texts += ["", "short", "short"]
     rows = [(i, t, f"s{i}") for i, t in enumerate(texts)] + [(7, texts[7], "repeated"), (None, "short", "a"), (None, None, "b")]
-    kept = sh.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    linked = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or jaccard(texts[i], texts[j]) >= sh.SIMILAR]
+    kept = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or jaccard(texts[i], texts[j]) >= near.SIMILAR]
     want = roots(range(len(texts)), linked)
     assert kept.columns == ["doc_id", "text", "source"]
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
@@ -99,8 +100,8 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def kept_and_wanted(spark, texts):
-    kept = sh.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    linked = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or jaccard(texts[i], texts[j]) >= sh.SIMILAR]
+    kept = near.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or jaccard(texts[i], texts[j]) >= near.SIMILAR]
     return sorted(r.doc_id for r in kept.collect()), sorted(set(roots(range(len(texts)), linked).values()))
 
 
@@ -133,6 +134,6 @@ def test_short_near_copies_meet(spark):
     assert got == want and len(want) < 400
 
 
-@pytest.mark.parametrize("run", [sh.simhash_components, sh.one_of_each])
+@pytest.mark.parametrize("run", [sh.simhash_components, near.one_of_each])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
