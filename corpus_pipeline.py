@@ -16,7 +16,7 @@ from memloom.llm.decontam import without_contaminated
 from memloom.llm.mixing import mixed
 from memloom.llm.pfor import read_token_files, write_token_files
 from memloom.llm.queries import END_ID
-from memloom.llm.simhash import one_of_each
+from memloom.llm.near import one_of_each
 from memloom.llm.toxicity import without_toxic
 
 
