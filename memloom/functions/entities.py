@@ -14,10 +14,10 @@ from memloom.functions.text import LEFT, RIGHT, bind
 WINDOW, LEAST_COUNT, LEAST_LETTERS, MOST, MOST_SALIENT = 5000, 2, 3, 25, 5
 # Words that begin sentences or name days, months and roles; never entities.
 STOP_WORDS = (
-    "The This That These Those When Where What Why Who Which How After Before Then Now Here There And But Or Yet So If Else Yes No Maybe Okay "
-    "User Assistant System Tool Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August "
-    "September October November December"
-).split()
+    "The", "This", "That", "These", "Those", "When", "Where", "What", "Why", "Who", "Which", "How", "After", "Before", "Then", "Now", "Here", "There", "And", "But", "Or", "Yet", "So", "If", "Else",
+    "Yes", "No", "Maybe", "Okay", "User", "Assistant", "System", "Tool", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April", "May",
+    "June", "July", "August", "September", "October", "November", "December",
+)
 # Names of several words that count as one.
 COMPOUNDS = (
     "Claude Code", "Claude Desktop", "Claude Sonnet", "Claude Opus", "Claude Haiku", "Claude Sonnet 4.5", "Claude Sonnet 4.6", "Claude Opus 4.5", "Claude Opus 4.6",

@@ -38,9 +38,14 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fixed_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """rows with (chunk_index, chunk): trimmed windows of size characters, each overlap into the last; a last window
-    under least characters is joined to the one before."""
+def others(rows: DataFrame, *names: str) -> list[Column]:
+    """The columns of rows but for names, which new columns take."""
+    return [F.col(f"`{c}`") for c in rows.columns if c not in names]
+
+
+def fixed_pieces(text: Column, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> Column:
+    """Trimmed windows of size characters, each overlap into the last; a last window under least characters is joined to
+    the one before."""
     overlap = min(max(0, overlap), size - 1)
     step = size - overlap
     can_rest = least > overlap  # else a short window would lie inside the one before
@@ -58,14 +63,19 @@ def fixed_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, overlap
         windows = F.filter(windows, lambda w: (w["piece"] != "") | w["rest"])
         return F.aggregate(windows, F.array().cast("array<string>"), fold) if can_rest else F.transform(windows, lambda w: w["piece"])
 
-    return rows.select(*rows.columns, F.posexplode(bind(trimmed(F.col(text)), cut)).alias("chunk_index", "chunk"))
+    return bind(trimmed(text), cut)
+
+
+def fixed_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """rows with (chunk_index, chunk) of `fixed_pieces`; columns of these names are replaced."""
+    return rows.select(*others(rows, "chunk_index", "chunk"), F.posexplode(fixed_pieces(F.col(text), size, overlap, least)).alias("chunk_index", "chunk"))
 
 
 def stride_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK) -> DataFrame:
     """rows with (chunk_index, chunk): plain strides that give the text back when joined."""
     n = F.greatest(F.length(text), F.lit(1))
     starts = F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))
-    return rows.select(*rows.columns, F.posexplode(F.transform(starts, lambda i: F.substring(F.col(text), i * size + 1, F.lit(size)))).alias("chunk_index", "chunk"))
+    return rows.select(*others(rows, "chunk_index", "chunk"), F.posexplode(F.transform(starts, lambda i: F.substring(F.col(text), i * size + 1, F.lit(size)))).alias("chunk_index", "chunk"))
 
 
 def boundary_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
@@ -90,26 +100,28 @@ def boundary_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, over
 
             def moved(e: Column) -> Column:
                 following = F.when(e < n, e - overlap).otherwise(e)
-                return F.struct(following.cast("int").alias("start"), F.concat(state["cuts"], F.array(F.struct(start.alias("start"), e.cast("int").alias("end")))).alias("cuts"))
+                new = F.struct(start.alias("start"), e.cast("int").alias("end"), state["line"].alias("line_start"), (state["line"] + ends(start, e)).alias("line_end"))
+                return F.struct(following.cast("int").alias("start"), (state["line"] + ends(start, following)).alias("line"), F.concat(state["cuts"], F.array(new)).alias("cuts"))
 
             return F.when(start >= n, state).otherwise(bind(end, moved))
 
-        def lines(upto: Column) -> Column:
-            head = F.substring(t, F.lit(1), upto)
-            return (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("int")
+        def ends(first: Column, upto: Column) -> Column:  # line ends in a stretch, so lines are counted along, not from the start
+            part = F.substring(t, first + 1, (upto - first).cast("int"))
+            return (F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).cast("int")
 
-        begin = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,end:int>>").alias("cuts"))
+        begin = F.struct(F.lit(0).alias("start"), F.lit(1).alias("line"), F.array().cast("array<struct<start:int,end:int,line_start:int,line_end:int>>").alias("cuts"))
         cuts = F.aggregate(F.sequence(F.lit(1), (F.ceil(n / advance) + 1).cast("int")), begin, step, lambda s: s["cuts"])
-        pieces = F.transform(cuts, lambda c: F.struct(trimmed(F.substring(t, c["start"] + 1, c["end"] - c["start"])).alias("chunk"), lines(c["start"]).alias("line_start"), lines(c["end"]).alias("line_end")))
+        pieces = F.transform(cuts, lambda c: F.struct(trimmed(F.substring(t, c["start"] + 1, c["end"] - c["start"])).alias("chunk"), c["line_start"].alias("line_start"), c["line_end"].alias("line_end")))
         return F.filter(pieces, lambda c: F.length(c["chunk"]) >= least)
 
-    whole = rows.select(*rows.columns, F.posexplode(bind(trimmed(F.col(text)), cut)).alias("chunk_index", "__c"))
-    return whole.select(*rows.columns, "chunk_index", "__c.chunk", "__c.line_start", "__c.line_end")
+    rest = others(rows, "chunk_index", "chunk", "line_start", "line_end")
+    whole = rows.select(*rest, F.posexplode(bind(trimmed(F.col(text)), cut)).alias("chunk_index", "__c"))
+    return whole.select(*rest, "chunk_index", "__c.chunk", "__c.line_start", "__c.line_end")
 
 
 # --- dates ---
 
-# Month names and their forms.
+# Month names and the forms of dates.
 MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t)?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 BLANK = r"[\t\n\f\r ]"
 ISO = rf"{LEFT}(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){RIGHT}"
@@ -137,13 +149,14 @@ def find_date(text: Column) -> Column:
 
     def dates(t: Column) -> Column:  # in a lambda, so the text is worked out once
         iso, slash, month_first, day_first = ([F.regexp_extract(t, p, k) for k in (1, 2, 3)] for p in (ISO, SLASH, MONTH_FIRST, DAY_FIRST))
-        return F.coalesce(
+        found = F.coalesce(
             _date(*iso),
             F.when(slash[0].try_cast("int") > 12, _date(slash[2], slash[1], slash[0])).otherwise(_date(slash[2], slash[0], slash[1])),
             _date(month_first[2], _month(month_first[0]), month_first[1]),
             _date(day_first[2], _month(day_first[1]), day_first[0]),
             F.lit(""),
         )
+        return F.when(t.rlike(r"\d{4}"), found).otherwise("")  # every form has a year; most texts have none
 
     return bind(text, dates)
 

@@ -10,8 +10,18 @@ from pyspark.sql import functions as F
 
 from memloom.functions import ids
 from memloom.functions.entities import drawer_entities, frequencies, salient_entities
-from memloom.functions.pointers import locator, packed, pointer_lines
-from memloom.functions.text import boundary_chunks, content_date, fixed_chunks, stride_chunks, trimmed, valid_content, valid_name, valid_source
+from memloom.functions.pointers import MOST_IDS, locator, packed, pointer_lines
+from memloom.functions.text import boundary_chunks, content_date, fixed_pieces, stride_chunks, trimmed, valid_content, valid_name, valid_source
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint where a folder for it is set, else as it is."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext._jsc.sc()
+    if folder and not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir().isDefined() else df
 
 
 def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -48,10 +58,13 @@ def add(rows: DataFrame) -> DataFrame:
     """Drawers of rows (team_id, wing, room, source_file, content, filed_at, content_date): chunks with digests as ids; the
     first chunk is the parent of the others. Blank wings, rooms and contents are left out."""
     kept = rows.where((trimmed(F.col("wing")) != "") & (trimmed(F.col("room")) != "") & (trimmed(F.col("content")) != ""))
-    cut = fixed_chunks(kept, "content").drop("content").withColumnRenamed("chunk", "content")
-    out = cut.withColumn("id", ids.drawer_id(*(F.col(c) for c in ("team_id", "wing", "room", "source_file", "chunk_index", "content"))))
-    parent = F.first("id").over(Window.partitionBy("team_id", "wing", "room", "source_file", "filed_at").orderBy("chunk_index"))  # a source's own chunks
-    return out.withColumn("parent_id", F.when(F.col("chunk_index") > 0, parent).otherwise(""))
+    place = [F.col(c) for c in ("team_id", "wing", "room", "source_file")]
+    cut = kept.withColumns({"wing": trimmed(F.col("wing")), "room": trimmed(F.col("room")), "__pieces": fixed_pieces(F.col("content"))})
+    # an id is a digest of the row's own values, so the first chunk's is known before the chunks part
+    cut = cut.withColumn("__first", ids.drawer_id(*place, F.lit(0), F.get("__pieces", F.lit(0))))
+    rest = [c for c in kept.columns if c not in ("content", "chunk_index", "id", "parent_id")]
+    out = cut.select(*rest, "__first", F.posexplode("__pieces").alias("chunk_index", "content"))
+    return out.select(*rest, "chunk_index", "content", ids.drawer_id(*place, F.col("chunk_index"), F.col("content")).alias("id"), F.when(F.col("chunk_index") > 0, F.col("__first")).otherwise("").alias("parent_id"))
 
 
 def replace_sources(drawers: DataFrame, new: DataFrame) -> DataFrame:
@@ -79,15 +92,16 @@ def mine(docs: DataFrame, common: DataFrame | None = None) -> tuple[DataFrame, D
     good = docs.where(valid_name(F.col("wing")) & valid_name(F.col("room")) & valid_source(F.col("source_file")) & valid_content(F.col("content")))
     dated = good.withColumn("content_date", content_date(F.col("source_file"), F.col("content")))
     cut = boundary_chunks(dated, "content").drop("content").withColumnRenamed("chunk", "content")
-    drawers = cut.withColumn("id", ids.drawer_id(*(F.col(c) for c in ("team_id", "wing", "room", "source_file", "chunk_index", "content"))))
-    named = drawer_entities(frequencies(drawers.select("id", "content"), "id", "content", common), "id")
-    drawers = drawers.join(named, "id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    cut = kept(cut.withColumn("id", ids.drawer_id(*(F.col(c) for c in ("team_id", "wing", "room", "source_file", "chunk_index", "content")))))  # read for the chunks, their entities and the closets
+    named = drawer_entities(frequencies(cut.select("id", "content"), "id", "content", common), "id")
+    drawers = cut.join(named, "id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
     key = ["team_id", "wing", "room", "source_file"]
-    first = F.min_by(F.struct("line_start", "line_end"), "chunk_index")
-    chunks = drawers.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "id"))), lambda x: x["id"]).alias("ids"), first.alias("lines"))  # a source's chunks
-    whole = dated.withColumn("__k", ids.ended_digest(*map(F.col, key)))
+    firsts = F.sort_array(F.collect_list(F.when(F.col("chunk_index") < MOST_IDS, F.struct("chunk_index", "id"))))
+    least = F.min_by(F.struct("line_start", "line_end", "content_date"), "chunk_index")
+    chunks = cut.groupBy(*key).agg(F.transform(firsts, lambda x: x["id"]).alias("ids"), least.alias("lines"))
+    whole = good.withColumn("__k", ids.ended_digest(*map(F.col, key)))
     salient = salient_entities(frequencies(whole.select("__k", "content"), "__k", "content", common), "__k")
-    sources = whole.join(chunks, key).join(salient, "__k", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    sources = whole.join(chunks, key).join(salient, "__k", "left").withColumns({"entities": F.coalesce("entities", F.array().cast("array<string>")), "content_date": F.col("lines.content_date")})
     place = locator(F.col("content_date"), F.substring("filed_at", 1, 10), F.col("lines.line_start"), F.col("lines.line_end"))
     lines = pointer_lines(F.col("source_file"), F.col("ids"), F.col("content"), F.col("wing"), F.col("room"), place, F.col("entities"))
     docs_ = sources.select(*key, "filed_at", "entities", F.posexplode(packed(lines)).alias("seq", "document"))
@@ -104,27 +118,54 @@ def mined_into(drawers: DataFrame, closets: DataFrame, docs: DataFrame, common:
     return kept.unionByName(new_drawers, allowMissingColumns=True), kept_closets.unionByName(new_closets, allowMissingColumns=True)
 
 
-def absorb(drawers: DataFrame, records: DataFrame, now: str) -> tuple[DataFrame, int]:
-    """(drawers, rows taken) after an import: contents verbatim, blank wings, rooms or contents left out, what waits for a
-    vector or has one unchanged."""
-    good = records.where((trimmed(F.col("wing")) != "") & (trimmed(F.col("room")) != "") & (trimmed(F.col("content")) != ""))
-    good = good.withColumn("filed_at", F.coalesce(F.nullif("filed_at", F.lit("")), F.lit(now)))
-    good = good.withColumn("id", ids.drawer_id(*(F.col(c) for c in ("team_id", "wing", "room", "source_file", "chunk_index", "content"))))
-    return keep_latest(drawers, good, ["team_id", "id"], keep=("embedded_at",)), good.count()
+#: What a drawer's and a closet's id is made of, but for a mined closet's, which has its number in place of the document.
+DRAWER_KEY = ("team_id", "wing", "room", "source_file", "chunk_index", "content")
+CLOSET_KEY = ("team_id", "wing", "room", "source_file", "document")
+
+
+def _absorbable(records: DataFrame, body: str, now: str) -> DataFrame:
+    named = records.withColumns({c: trimmed(F.col(c)) for c in ("wing", "room")})
+    good = named.where((F.col("wing") != "") & (F.col("room") != "") & (trimmed(F.col(body)) != ""))
+    return good.withColumn("filed_at", F.coalesce(F.nullif(trimmed(F.col("filed_at")), F.lit("")), F.lit(now)))
+
+
+def absorb(drawers: DataFrame, records: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """(drawers, one row with the rows taken) after an import: contents verbatim, blank wings, rooms or contents left out, what
+    waits for a vector or has one unchanged."""
+    good = _absorbable(records, "content", now)
+    good = good.withColumn("id", ids.drawer_id(*map(F.col, DRAWER_KEY)))
+    return keep_latest(drawers, good, ["team_id", "id"], keep=("embedded_at",)), good.agg(F.count("*").alias("taken"))
 
 
-def copy_wing(drawers: DataFrame, vectors: DataFrame, from_team: str, to_team: str, wing: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(drawers, vectors, counts) that a copy of a wing brings to another team: new ids, vectors reused; rows without a vector
-    are skipped and counted."""
+def absorb_closets(closets: DataFrame, records: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """The same for closets (their text is `document`); an id is made of the document, so a repeated import changes nothing."""
+    good = _absorbable(records, "document", now)
+    good = good.withColumn("id", ids.closet_id(*map(F.col, CLOSET_KEY)))
+    return keep_latest(closets, good, ["team_id", "id"], keep=("embedded_at",)), good.agg(F.count("*").alias("taken"))
+
+
+def closets_by(closets: DataFrame, team: str, wing: str | None = None, source: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """A team's closets of a wing, of a source or with the ids of wanted."""
+    own = closets.where(F.col("team_id") == team)
+    for column, value in (("wing", wing), ("source_file", source)):
+        own = own.where(F.col(column) == value) if value is not None else own
+    return by_ids(own, wanted) if wanted is not None else own
+
+
+def copy_wing(rows: DataFrame, vectors: DataFrame, from_team: str, to_team: str, wing: str, closets: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, vectors, counts) that a copy of a wing's drawers, or its closets, brings to another team: new ids, no parents,
+    vectors reused; rows without a vector are skipped and counted. The vectors of closets are in a namespace of their own."""
     if not from_team or not to_team or from_team == to_team:
         raise ValueError("two different teams are needed")
-    own = drawers.where((F.col("team_id") == from_team) & (F.col("wing") == wing)).withColumnRenamed("id", "old_id")
-    have = vectors.where(F.col("namespace") == from_team).select(F.col("id").alias("old_id"), "vec")
+    space, key, make = ("::closets", CLOSET_KEY, ids.closet_id) if closets else ("", DRAWER_KEY, ids.drawer_id)
+    own = rows.where((F.col("team_id") == from_team) & (F.col("wing") == wing)).withColumnRenamed("id", "old_id")
+    have = vectors.where(F.col("namespace") == from_team + space).select(F.col("id").alias("old_id"), "vec")
     both = own.join(have, "old_id", "left").withColumn("team_id", F.lit(to_team))
-    both = both.withColumn("id", ids.drawer_id(*(F.col(c) for c in ("team_id", "wing", "room", "source_file", "chunk_index", "content"))))
+    both = both.withColumn("id", make(*map(F.col, key)))
+    both = both.withColumn("parent_id", F.lit("")) if "parent_id" in both.columns else both
     found = both.where("vec is not null")
     counts = both.agg(F.count("vec").alias("copied"), F.count_if(F.col("vec").isNull()).alias("skipped"))
-    return found.drop("vec", "old_id"), found.select(F.col("team_id").alias("namespace"), "id", "vec"), counts
+    return found.drop("vec", "old_id"), found.select(F.lit(to_team + space).alias("namespace"), "id", "vec"), counts
 
 
 def merge_wings(rows: DataFrame, sources: list[str], target: str) -> DataFrame:
@@ -159,19 +200,34 @@ def read_journal(journal: DataFrame, agent: str, wing: str | None = None, last:
     return own.orderBy(F.desc("filed_at"), "id").limit(last).join(F.broadcast(total))  # one row
 
 
-def embed_pending(rows: DataFrame, embedder: Column, now: str, team: str, batch: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(vectors, rows stamped) of a team's oldest rows without a vector."""
+def embed_pending(rows: DataFrame, embedder: Column, now: str, team: str, batch: int = 64, closets: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(vectors, rows stamped) of a team's oldest drawers, or closets, without a vector."""
     due = rows.where((F.col("team_id") == team) & F.col("embedded_at").isNull()).orderBy("filed_at", "id").limit(batch)
-    return due.select(F.col("team_id").alias("namespace"), "id", embedder.alias("vec")), due.withColumn("embedded_at", F.lit(now))
+    space = F.concat(F.col("team_id"), F.lit("::closets")) if closets else F.col("team_id")
+    return due.select(space.alias("namespace"), "id", embedder.alias("vec")), due.withColumn("embedded_at", F.lit(now))
 
 
-def upsert_tunnels(tunnels: DataFrame, new: DataFrame, drawers: DataFrame, now: str) -> DataFrame:
-    """tunnels with those of new (source_wing, source_room, target_wing, target_room, label) whose names are valid and rooms
-    exist; one that is there, in either direction, gets the new label and time only."""
+def embed_all_pending(rows: DataFrame, embedder: Column, now: str, batch: int = 64, closets: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(vectors, rows stamped) of one cycle over all teams: the oldest rows of each, batch at most."""
+    oldest = Window.partitionBy("team_id").orderBy("filed_at", "id")
+    due = rows.where(F.col("embedded_at").isNull()).withColumn("__n", F.row_number().over(oldest)).where(F.col("__n") <= batch).drop("__n")
+    space = F.concat(F.col("team_id"), F.lit("::closets")) if closets else F.col("team_id")
+    return due.select(space.alias("namespace"), "id", embedder.alias("vec")), due.withColumn("embedded_at", F.lit(now))
+
+
+def valid_tunnels(new: DataFrame, drawers: DataFrame) -> DataFrame:
+    """The rows of new (source_wing, source_room, target_wing, target_room) whose names are valid and whose rooms exist."""
     ends = [F.col(c) for c in ("source_wing", "source_room", "target_wing", "target_room")]
     good = new.where(valid_name(ends[0]) & valid_name(ends[1]) & valid_name(ends[2]) & valid_name(ends[3]))
     there = drawers.select("wing", "room").distinct()
     for side in ("source", "target"):
         good = good.join(there.select(F.col("wing").alias(f"{side}_wing"), F.col("room").alias(f"{side}_room")), [f"{side}_wing", f"{side}_room"], "left_semi")
-    rows = good.withColumns({"id": ids.tunnel_id(*ends), "created_at": F.lit(now), "updated_at": F.lit(now)})
+    return good
+
+
+def upsert_tunnels(tunnels: DataFrame, new: DataFrame, drawers: DataFrame, now: str) -> DataFrame:
+    """tunnels with those of new (source_wing, source_room, target_wing, target_room, label) whose names are valid and rooms
+    exist; one that is there, in either direction, gets the new label and time only."""
+    ends = [F.col(c) for c in ("source_wing", "source_room", "target_wing", "target_room")]
+    rows = valid_tunnels(new, drawers).withColumns({"id": ids.tunnel_id(*ends), "created_at": F.lit(now), "updated_at": F.lit(now)})
     return keep_latest(tunnels, rows, ["id"], keep=tuple(c for c in tunnels.columns if c not in ("id", "label", "updated_at")))

@@ -27,11 +27,21 @@ def in_effect(as_of: str, valid_from: Column = None, valid_to: Column = None) ->
 
 
 def entities(facts: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """(entity_id, name): the entities of facts by the first name seen, or of names (entity_id, name)."""
+    """(entity_id, name): the entities of facts by the first name seen, or of names (entity_id, name). Facts go by
+    recorded_at, where they have it, and id; of a fact the subject is seen before the object."""
     if names is not None:
         return names
-    each = facts.select(F.explode(F.array("subject", "object")).alias("name"))
-    return each.groupBy(entity_id(F.col("name")).alias("entity_id")).agg(F.min("name").alias("name"))
+    seen = [F.col(c) for c in ("recorded_at", "id") if c in facts.columns]
+    each = facts.select(F.posexplode(F.array("subject", "object")).alias("side", "name"), F.struct(*seen).alias("seen"))
+    return each.groupBy(entity_id(F.col("name")).alias("entity_id")).agg(F.min_by("name", F.struct("seen", "side", "name")).alias("name"))
+
+
+def with_names(triples: DataFrame, names: DataFrame) -> DataFrame:
+    """triples (subject_id, object_id, ...) with subject and object from names (entity_id, name); '' where there is none."""
+    out = triples
+    for side in ("subject", "object"):
+        out = out.join(names.select(F.col("entity_id").alias(f"{side}_id"), F.col("name").alias(f"__{side}")), f"{side}_id", "left").withColumn(side, F.coalesce(f"__{side}", F.lit(""))).drop(f"__{side}")
+    return out
 
 
 def query(facts: DataFrame, entity: str, as_of: str | None = None, direction: str = "outgoing") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.ids import hallway_id, tunnel_id
+from memloom.operators.drawers import kept
 
 LEAST_TOGETHER, MOST_NODES, TOP_TUNNELS, MOST_HOPS, USUAL_HOPS = 2, 50, 10, 10, 2
 
@@ -48,30 +49,26 @@ def traverse(drawers: DataFrame, start: str, hops: int = USUAL_HOPS) -> DataFram
     against what was not seen before; each hop is cut off."""
     hops = MOST_HOPS if hops > MOST_HOPS else hops if hops > 0 else USUAL_HOPS
     spark = drawers.sparkSession
-    graph = _kept(nodes(drawers))
+    graph = kept(nodes(drawers))
     if graph.where(F.col("room") == start).isEmpty():
         raise ValueError(f"room {start!r} not found")
     by_wing = graph.select("room", F.explode("wings").alias("wing"))
-    seen = spark.createDataFrame([(start, 0, 0)], "room string, hop int, place long").withColumn("via", F.lit(None).cast("array<string>"))
+    # the walk's order, parents in their order and then rooms by name, is that of the paths of rooms, at most MOST_HOPS long
+    seen = spark.createDataFrame([(start, 0, [])], "room string, hop int, place array<string>").withColumn("via", F.lit(None).cast("array<string>"))
     frontier = seen
     for hop in range(1, hops + 1):
-        steps = frontier.select(F.col("room").alias("parent"), "place").join(by_wing.withColumnRenamed("room", "parent"), "parent").join(by_wing, "wing").join(seen.select("room"), "room", "left_anti")
+        # of a wing only the first room of the frontier can be the first parent of another, so a hop is linear in the places
+        first = frontier.select("room", "place").join(by_wing, "room").groupBy("wing").agg(F.min("place").alias("place"))
+        steps = by_wing.join(first, "wing").join(seen.select("room"), "room", "left_anti")
         shared = steps.groupBy("room", "place").agg(F.sort_array(F.collect_set("wing")).alias("via"))
-        first = shared.groupBy("room").agg(F.min_by("via", "place").alias("via"), F.min("place").alias("parent_place"))
-        # the walk's order: parents in their order, then rooms by name
-        order = Window.orderBy("parent_place", "room")
-        frontier = _kept(first.select("room", F.lit(hop).alias("hop"), F.row_number().over(order).cast("long").alias("place"), "via"))
+        parent = shared.groupBy("room").agg(F.min(F.struct("place", "via")).alias("p"))
+        frontier = kept(parent.select("room", F.lit(hop).alias("hop"), F.concat("p.place", F.array("room")).alias("place"), F.col("p.via").alias("via")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return graph.join(seen, "room").select("room", "wings", "drawers", "hop", F.coalesce("via", F.array().cast("array<string>")).alias("connected_via")).orderBy("hop", F.desc("drawers"), "room").limit(MOST_NODES)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint where a folder for it is set, else as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
-
-
 def hallways(drawers: DataFrame, prior: DataFrame | None = None, now: str = "") -> DataFrame:
     """(wing, entity_a, entity_b, together, rooms, id, label, ...): pairs of entities in LEAST_TOGETHER drawers or more of a
     wing. A pair that was in prior (wing, entity_a, entity_b, strength, stability, last_active, uses) keeps those figures.
@@ -107,19 +104,45 @@ def recompute(drawers: DataFrame, stored: DataFrame, wing: str | None = None, pr
         raise ValueError(f"wing {wing!r} has no drawers")
     targets = present.where(F.col("wing") == wing) if wing else present
     fresh = hallways(drawers.join(targets, "wing", "left_semi"), stored, now)
-    kept = stored.join(targets, "wing", "left_anti")
-    kept = kept.limit(0) if prune and not wing else kept
-    halls = fresh.unionByName(kept, allowMissingColumns=True)
+    rest = stored.join(targets, "wing", "left_anti")
+    rest = rest.limit(0) if prune and not wing else rest
+    halls = fresh.unionByName(rest, allowMissingColumns=True)
     return halls, entity_tunnels(halls)
 
 
+def replace_wing(halls: DataFrame, wing: str, fresh: DataFrame) -> DataFrame:
+    """halls with those of a wing replaced by fresh, which may be empty."""
+    return halls.where(F.col("wing") != wing).unionByName(fresh, allowMissingColumns=True)
+
+
+def delete_by_id(rows: DataFrame, id_: str) -> tuple[DataFrame, DataFrame]:
+    """(hallways or tunnels without one, one row that says whether it existed)."""
+    hit = F.col("id") == id_
+    return rows.where(~hit), rows.agg(F.coalesce(F.max(hit), F.lit(False)).alias("existed"))
+
+
+def delete_kind(tunnels: DataFrame, kind: str) -> DataFrame:
+    """tunnels without those of a kind, so that derived ones can be built anew and explicit ones stay."""
+    return tunnels.where(F.col("kind") != kind)
+
+
+def tunnel_views(tunnels: DataFrame) -> DataFrame:
+    """Tunnels as they go to the caller: ends as structs, without the team, blank optional fields as nulls; a tunnel that was
+    never used has the figures that it begins with."""
+    have = set(tunnels.columns)
+    end = lambda side: F.struct(*(F.col(f"{side}_{c}").alias(c) for c in ("wing", "room")), F.nullif(f"{side}_drawer_id", F.lit("")).alias("drawer_id")).alias(side)
+    start = {"strength": F.lit(1.0), "stability": F.lit(1.0), "last_active": F.lit(""), "uses": F.lit(0).cast("long"), "updated_at": F.lit("")}
+    now = {c: F.col(c) if c in have else v for c, v in start.items()}
+    return tunnels.select("id", end("source"), end("target"), "label", "kind", "created_at", F.nullif(now["updated_at"], F.lit("")).alias("updated_at"), now["strength"].alias("strength"), now["stability"].alias("stability"), F.nullif(now["last_active"], F.lit("")).alias("last_activated"), now["uses"].alias("access_count"))
+
+
 def list_hallways(halls: DataFrame, wing: str | None = None) -> DataFrame:
     return (halls.where(F.col("wing") == wing) if wing else halls).orderBy(F.desc("together"), "id")
 
 
 def list_tunnels(tunnels: DataFrame, wing: str | None = None) -> DataFrame:
-    kept = tunnels.where((F.col("source_wing") == wing) | (F.col("target_wing") == wing)) if wing else tunnels
-    return kept.orderBy(F.desc("created_at"), "id")
+    own = tunnels.where((F.col("source_wing") == wing) | (F.col("target_wing") == wing)) if wing else tunnels
+    return own.orderBy(F.desc("created_at"), "id")
 
 
 def follow_tunnels(tunnels: DataFrame, drawers: DataFrame, wing: str, room: str) -> DataFrame:

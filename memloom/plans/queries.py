@@ -14,7 +14,7 @@ from memloom.functions.pointers import locator, packed, pointer_lines
 from memloom.functions.vectors import byte_histogram, distance, similarity
 from memloom.operators import drawers as dw
 from memloom.operators import facts as kg
-from memloom.operators import graph, retrieval, taxonomy, tenancy
+from memloom.operators import graph, imports, retrieval, taxonomy, tenancy
 from memloom.plans.views import read, view, with_views
 from memloom.sources import bundles, vectors
 from memloom.streaming.ingest import metered, windowed
@@ -176,11 +176,20 @@ def _(s, d):
     return bundles.named_facts(rows.select(ids.entity_id(F.col("subject")).alias("subject_id"), "predicate", ids.entity_id(F.col("object")).alias("object_id"), "valid_from", "valid_to"), names)
 
 
-@register("s13_archive", f"select 'drawers' as tbl, count(*) as n from drawers where team_id = '{TEAM}' union all select 'vectors', count(*) from vectors where namespace = '{TEAM}' or namespace like '{TEAM}::%'", ("drawers", "vectors"))
+@register("s13_archive", f"select 'drawers' as tbl, id from drawers where team_id = '{TEAM}' union all select 'vectors', id from vectors where namespace = '{TEAM}' or namespace like '{TEAM}::%' union all select 'users', c_custkey || ':' || '' from customer where c_custkey = 1 union all select 'api_keys', c_custkey || ':' || c_custkey || ':' from customer where c_nationkey = 1 and c_custkey = 1 union all select 'plans', n_nationkey::varchar from nation", ("drawers", "vectors"))
 def _(s, d):
-    parts = bundles.archive({"drawers": (view(s, d, "drawers"), "team"), "vectors": (view(s, d, "vectors"), "namespace"), "other": (view(s, d, "facts"), "unknown")}, TEAM, "user_1")
-    counts = [rows.agg(F.lit(name).alias("tbl"), F.count("*").alias("n")) for name, rows in parts.items() if name != "other"]
-    return counts[0].union(counts[1])
+    people = read(s, d, "customer").withColumns({"id": F.col("c_custkey").cast("string"), "user_id": F.col("c_custkey").cast("string"), "team_id": F.when(F.col("c_nationkey") == 1, TEAM).otherwise("other")})
+    tables = {
+        "drawers": view(s, d, "drawers"), "vectors": view(s, d, "vectors"), "plans": read(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id")),
+        "users": people.select("id", F.lit("secret").alias("password_hash")), "api_keys": people.select("id", "user_id", "team_id", F.lit("h").alias("token_hash"), F.lit("e").alias("token_enc")), "unlisted": view(s, d, "facts"),
+    }
+    parts = bundles.tenant_archive(tables, TEAM, "1")
+    shown = {"users": F.concat_ws(":", "id", "password_hash"), "api_keys": F.concat_ws(":", "id", "token_hash", "token_enc")}
+    rows = [part.select(F.lit(name).alias("tbl"), shown.get(name, F.col("id")).alias("id")) for name, part in parts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
 
 
 @register("s14_upsert", "select id, case when vec_id % 2 = 0 then 1.0 else embedding[1] end::float as first from (select v.id, v.doc_id as vec_id, v.vec as embedding from vectors v) where vec_id % 7 <> 0", ("vectors",))
@@ -261,14 +270,17 @@ def paragraphs(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "documents").select("doc_id", F.expr("case when doc_id % 2 = 0 then replace(text, '.\n', '.\n\n') else text end").alias("text"))
 
 
-@register("t3_boundary_chunks", """with t as (select doc_id, regexp_replace(case when doc_id % 2 = 0 then replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) else text end, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as t from documents),
+BOUNDARY = """t as (select doc_id, regexp_replace(TEXT, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as t from documents),
     w as (select doc_id, t, length(t) as n, 0 as s, null::int as e from t where length(t) > 0
       union all select doc_id, t, n, case when e is null then s else case when e < n then e - 320 else n end end, cut from (
         select doc_id, t, n, s, e, f, case when f >= n then n when b > 0 and f - b - 1 > s + 800 then f - b - 1 when l > 0 and f - l > s + 800 then f - l else f end as cut from (
           select *, instr(reverse(substr(t, s + 1, f - s)), chr(10) || chr(10)) as b, instr(reverse(substr(t, s + 1, f - s)), chr(10)) as l from (
             select doc_id, t, n, case when e is null then s when e < n then e - 320 else n end as s, e, least(case when e is null then s when e < n then e - 320 else n end + 1600, n) as f from w where e is null or e < n)))),
-    c as (select doc_id, s, e, regexp_replace(substr(t, s + 1, e - s), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as chunk, length(substr(t, 1, s)) - length(replace(substr(t, 1, s), chr(10), '')) + 1 as line_start, length(substr(t, 1, e)) - length(replace(substr(t, 1, e), chr(10), '')) + 1 as line_end from w where e is not null)
-    select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as chunk_index, chunk, line_start::int as line_start, line_end::int as line_end from c where length(chunk) >= 50""".replace("with t as", "with recursive t as"))
+    c as (select doc_id, s, e, regexp_replace(substr(t, s + 1, e - s), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as chunk, length(substr(t, 1, s)) - length(replace(substr(t, 1, s), chr(10), '')) + 1 as line_start, length(substr(t, 1, e)) - length(replace(substr(t, 1, e), chr(10), '')) + 1 as line_end from w where e is not null),
+    k as (select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as chunk_index, chunk, line_start::int as line_start, line_end::int as line_end from c where length(chunk) >= 50)"""
+
+
+@register("t3_boundary_chunks", "with recursive " + BOUNDARY.replace("TEXT", "case when doc_id % 2 = 0 then replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) else text end") + " select * from k")
 def _(s, d):
     return tx.boundary_chunks(paragraphs(s, d)).select("doc_id", "chunk_index", "chunk", "line_start", "line_end")
 
@@ -327,10 +339,10 @@ def _(s, d):
     p as (select doc_id, l, 0 as i, 0 as used, 0 as doc from l union all
       select doc_id, l, i + 1, case when used > 0 and used + octet_length(encode(l[i + 1])) + 1 > 400 then octet_length(encode(l[i + 1])) + 1 else used + octet_length(encode(l[i + 1])) + 1 end,
       case when i = 0 then 1 when used > 0 and used + octet_length(encode(l[i + 1])) + 1 > 400 then doc + 1 else doc end from p where i < len(l))
-    select doc_id, max(doc)::bigint as docs from p group by doc_id""")
+    select doc_id, string_agg(piece, chr(30) order by doc) as documents from (select doc_id, doc, string_agg(l[i], chr(10) order by i) as piece from p where i > 0 group by doc_id, doc) group by doc_id""")
 def _(s, d):
     lines = packed(F.split("text", "\n"), 400)
-    return read(s, d, "documents").select("doc_id", F.size(lines).cast("long").alias("docs"))
+    return read(s, d, "documents").select("doc_id", F.array_join(lines, "\x1e").alias("documents"))
 
 
 @register("t14_front_matter", "select doc_id, 'lang: ' || lang as block, text as body from documents")
@@ -381,6 +393,21 @@ def _(s, d):
     return rows.select("id", distance(score).alias("distance"), similarity(distance(score)).alias("similarity"))
 
 
+def closets(s: SparkSession, d: str) -> DataFrame:
+    """A closet for every third drawer, its content as the document."""
+    rows = view(s, d, "drawers").where("doc_id % 3 = 0")
+    key = (F.col(c) for c in ("team_id", "wing", "room", "source_file", "content"))
+    return rows.select("team_id", ids.closet_id(*key).alias("id"), "wing", "room", "source_file", F.col("content").alias("document"), F.array().cast("array<string>").alias("entities"), "filed_at", "doc_id")
+
+
+def closet_vectors(s: SparkSession, d: str) -> DataFrame:
+    vec = view(s, d, "vectors").select("doc_id", "vec")
+    return closets(s, d).join(vec, "doc_id").select(F.concat("team_id", F.lit("::closets")).alias("namespace"), "id", "vec")
+
+
+CLOSETS = "closets as (select team_id, sha256(team_id || chr(0) || wing || chr(0) || room || chr(0) || source_file || chr(0) || content || chr(0)) as id, wing, room, source_file, content as document, filed_at, doc_id from drawers where doc_id % 3 = 0)"
+
+
 WORDS = "of the and inon eaea that"
 BM25 = rf"""words as (select id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]{{2,}}') as w from pool), facts_ as (select count(*) as n, avg(len(w)::double) as mean from words),
     tf as (select id, len(w) as len, term, count(*) as tf from (select id, w, unnest(w) as term from words) where term in ({", ".join(f"'{w}'" for w in WORDS.split())}) group by all),
@@ -406,6 +433,22 @@ def _(s, d):
     return hits.select("rank", "id", "wing", "room", "vec_rank", F.round("distance", 9).alias("distance"), F.round("bm25", 9).alias("bm25"), F.round("fused", 9).alias("fused"))
 
 
+@register("d7_filtered_search", f"""with {CLOSETS}, {QUERY}, near as (select *, row_number() over (order by score desc, id) as vec_rank from (select v.id, {COSINE} as score from vectors v, q where namespace = '{TEAM}')),
+    cn as (select *, row_number() over (order by score desc, id) as k from (select c.id, c.source_file, {COSINE} as score from vectors v join closets c on c.doc_id = v.doc_id, q where c.team_id = '{TEAM}') order by score desc, id limit 5),
+    boosts as (select source_file, case when greatest(0.0, least(2.0, 1 - arg_min(score, k)::double)) <= 1.5 then [0.40, 0.25, 0.15, 0.08, 0.04][min(k)]::double else 0.0 end as boost from cn group by source_file),
+    pool as (select n.*, d.wing, d.room, d.source_file, d.content, greatest(0.0, least(2.0, 1 - score::double)) as distance from near n join drawers d using (id) where vec_rank <= 10000 and room = 'general' and greatest(0.0, least(2.0, 1 - score::double)) <= 1.0), {BM25},
+    f as (select id, wing, room, content, distance, coalesce(b, 0.0) as b, coalesce(boost, 0.0) as boost, vec_rank, 0.6 * greatest(0.0, 1 - distance) + 0.4 * case when max(coalesce(b, 0.0)) over () > 0 then coalesce(b, 0.0) / max(coalesce(b, 0.0)) over () else 0.0 end + coalesce(boost, 0.0) as fused from pool left join bm using (id) left join boosts using (source_file))
+    select id, wing, room, content, round(fused, 9) as score, round(b, 9) as bm25_score, round(boost, 9) as closet_boost, round(distance, 9) as distance from f order by fused desc, vec_rank limit 20""", ("drawers", "vectors"))
+def _(s, d):
+    """As callers search: closets' boosts, a room and a distance, and the hits' whole views."""
+    query = query_vector(s, d)
+    rows = view(s, d, "drawers")
+    boosts = retrieval.closet_boosts(closet_vectors(s, d), closets(s, d), TEAM, query)
+    hits = retrieval.search(view(s, d, "vectors"), rows, TEAM, WORDS, query, room="general", limit=20, max_distance=1.0, boosts=boosts)
+    out = retrieval.hit_views(hits, rows, TEAM)
+    return out.select("id", "wing", "room", "content", *(F.round(c, 9).alias(c) for c in ("score", "bm25_score", "closet_boost", "distance")))
+
+
 @register("d6_boosts", f"with {QUERY}, near as (select id, score, row_number() over (order by score desc, id) as k from (select v.id, {COSINE} as score from vectors v, q where namespace = '{TEAM}') order by score desc, id limit 5) select source_file, [0.40, 0.25, 0.15, 0.08, 0.04][min(k)]::double as boost from near join drawers using (id) group by source_file", ("drawers", "vectors"))
 def _(s, d):
     return retrieval.pointer_boosts(view(s, d, "vectors"), view(s, d, "drawers"), TEAM, query_vector(s, d))
@@ -426,7 +469,18 @@ def _(s, d):
 # --- graph ---
 
 
-@register("g1_traverse", None)
+def _walk_sql(start: str, hops: int) -> str:
+    """The walk level by level, over all pairs of neighbours."""
+    parts = [f"n as ({NODES}), bw as (select room, unnest(wings) as wing from n), f0 as (select '{start}' as room, 0 as hop, []::varchar[] as place, []::varchar[] as via)"]
+    for h in range(1, hops + 1):
+        seen = " union all ".join(f"select room from f{k}" for k in range(h))
+        parts.append(f"p{h} as (select b.room, f.room as parent, f.place, list_sort(list(distinct b.wing)) as via from f{h - 1} f join bw a on a.room = f.room join bw b on b.wing = a.wing where b.room not in ({seen}) group by b.room, f.room, f.place)")
+        parts.append(f"f{h} as (select room, {h} as hop, list_append(min(place), room) as place, arg_min(via, place) as via from p{h} group by room)")
+    every = " union all ".join(f"select * from f{k}" for k in range(hops + 1))
+    return f"with {', '.join(parts)} select n.room, array_to_string(wings, ',') as wings, drawers, hop, array_to_string(via, ',') as connected_via from n join ({every}) w on w.room = n.room order by hop, drawers desc, n.room limit 50"
+
+
+@register("g1_traverse", _walk_sql("r001", 6), ("drawers",))
 def _(s, d):
     out = graph.traverse(view(s, d, "drawers"), "r001", 6)
     return out.select("room", F.array_join("wings", ",").alias("wings"), "drawers", "hop", F.array_join("connected_via", ",").alias("connected_via"))
@@ -465,11 +519,35 @@ def _(s, d):
     return graph.entity_tunnels(graph.hallways(entity_drawers(s, d))).select("source_wing", "target_wing", "room", "label")
 
 
-@register("g8_recompute", f"with {ENTITY_DRAWERS} select wing, count(*) as hallways, sum(together)::bigint as together from halls group by wing")
+@register("g8_recompute", f"with {ENTITY_DRAWERS} select wing, entity_a, entity_b, together, rooms from halls union all select 'w9', 'A', 'B', 2, ['r1']")
 def _(s, d):
+    """The first wing's drawers are new; the hallways of a wing without drawers stay, as nothing is pruned."""
     rows = entity_drawers(s, d)
     stored = graph.hallways(rows.where("wing = 'w0'"))
-    return graph.recompute(rows, stored, prune=True)[0].groupBy("wing").agg(F.count("*").alias("hallways"), F.sum("together").alias("together"))
+    gone = graph.hallways(s.createDataFrame([("w9", "r1", ["A", "B"]), ("w9", "r1", ["B", "A"])], "wing string, room string, entities array<string>"))
+    return graph.recompute(rows, stored.unionByName(gone))[0].select("wing", "entity_a", "entity_b", "together", "rooms")
+
+
+@register("g8_recompute_pruned", f"with {ENTITY_DRAWERS} select wing, entity_a, entity_b, together from halls")
+def _(s, d):
+    rows = entity_drawers(s, d)
+    gone = graph.hallways(s.createDataFrame([("w9", "r1", ["A", "B"]), ("w9", "r1", ["B", "A"])], "wing string, room string, entities array<string>"))
+    return graph.recompute(rows, gone, prune=True)[0].select("wing", "entity_a", "entity_b", "together")
+
+
+@register("w13_deletes", "select id, source_wing, target_wing, true as existed from (select id, wing as source_wing, wing as target_wing, room from drawers) where room <> 'general' and id <> (select min(id) from drawers where room <> 'general')", ("drawers",))
+def _(s, d):
+    """Explicit tunnels without one and without all of another kind."""
+    own = room_tunnels(s, d).withColumn("kind", F.lit("explicit"))
+    both = own.unionByName(own.withColumns({"id": F.concat(F.lit("e"), "id"), "kind": F.lit("entity")}))
+    kept, existed = graph.delete_by_id(graph.delete_kind(both, "entity"), own.agg(F.min("id")).first()[0])
+    return kept.select("id", "source_wing", "target_wing").crossJoin(existed)  # one row
+
+
+@register("w13_replace_wing", f"with {ENTITY_DRAWERS} select wing, entity_a, entity_b from halls where wing <> 'w0' union all select 'w0', 'A', 'B'")
+def _(s, d):
+    fresh = graph.hallways(s.createDataFrame([("w0", "r1", ["A", "B"]), ("w0", "r1", ["B", "A"])], "wing string, room string, entities array<string>"))
+    return graph.replace_wing(graph.hallways(entity_drawers(s, d)), "w0", fresh).select("wing", "entity_a", "entity_b")
 
 
 def room_tunnels(s: SparkSession, d: str) -> DataFrame:
@@ -516,21 +594,32 @@ def _(s, d):
     return out.select("subject", F.lower(F.replace("predicate", F.lit(" "), F.lit("_"))).alias("predicate"), "object", "valid_from", "valid_to")
 
 
-@register("w15_invalidate", "select id, case when subject = 'user_1' and predicate = 'click' and valid_to = '' then '2030-01-01' else valid_to end as valid_to from facts where object = (select min(object) from facts) or subject <> 'user_1' or predicate <> 'click' or valid_to <> ''", ("facts",))
+@register("w15_invalidate", "select id, case when subject = 'user_1' and predicate = 'click' and valid_to = '' and object = (select min(object) from facts where subject = 'user_1' and predicate = 'click' and valid_to = '') then '2030-01-01' else valid_to end as valid_to from facts", ("facts",))
+def _(s, d):
+    rows = view(s, d, "facts")
+    current = rows.where("subject = 'user_1' and predicate = 'click' and valid_to = ''").agg(F.min("object")).first()[0]
+    return kg.invalidate(rows, "User_1", "click", current or "", "2030-01-01").select("id", "valid_to")
+
+
+@register("j5_names", "select id, case when subject = 'user_1' then '' else subject end as subject, predicate, case when object = 'user_1' then '' else object end as object from facts", ("facts",))
 def _(s, d):
     rows = view(s, d, "facts")
-    least = rows.agg(F.min("object")).first()[0]
-    out = kg.invalidate(rows, "User_1", "click", least, "2030-01-01")
-    return out.where((F.col("object") == least) | (F.col("subject") != "user_1") | (F.col("predicate") != "click") | (F.col("valid_to") != "")).select("id", "valid_to")
+    names = kg.entities(rows).where("name <> 'user_1'")
+    triples = rows.select("id", ids.entity_id(F.col("subject")).alias("subject_id"), "predicate", ids.entity_id(F.col("object")).alias("object_id"))
+    return kg.with_names(triples, names).select("id", "subject", "predicate", "object")
 
 
 # --- writes ---
 
 
-@register("w1_add", "select count(*) as chunks, count(distinct id) as ids from (select id from (select sha256('t' || chr(0) || 'w' || chr(0) || 'r' || chr(0) || doc_id || chr(0) || i || chr(0) || regexp_replace(substr(t, i * 1280 + 1, 1600), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') || chr(0)) as id from (select doc_id, t, unnest(range(case when length(t) = 0 then 0 when length(t) <= 1600 then 1 else ceil((length(t) - 1600) / 1280.0)::int + 1 end)) as i from (select doc_id, regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') as t from documents))))")
+@register("w1_add", f"""with t as (select doc_id, {TRIM} as t from documents),
+    w as (select doc_id, t, unnest(range(case when length(t) = 0 then 0 when length(t) <= 1600 then 1 else ceil((length(t) - 1600) / 1280.0)::int + 1 end)) as i from t),
+    c as (select doc_id, i, sha256('t' || chr(0) || 'w' || chr(0) || 'r' || chr(0) || doc_id % 2 || chr(0) || i || chr(0) || regexp_replace(substr(t, i * 1280 + 1, 1600), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') || chr(0)) as id from w)
+    select c.doc_id, c.i::int as chunk_index, c.id, case when c.i > 0 then p.id else '' end as parent_id from c join c p on p.doc_id = c.doc_id and p.i = 0""")
 def _(s, d):
-    rows = read(s, d, "documents").select(F.lit("t").alias("team_id"), F.lit("w").alias("wing"), F.lit("r").alias("room"), F.col("doc_id").cast("string").alias("source_file"), F.col("text").alias("content"), F.lit(NOW).alias("filed_at"), F.lit("").alias("content_date"))
-    return dw.add(rows).agg(F.count("*").alias("chunks"), F.count_distinct("id").alias("ids"))
+    """Documents of two sources, all filed at one time: each keeps its own first chunk as the parent."""
+    rows = read(s, d, "documents").select("doc_id", F.lit("t").alias("team_id"), F.lit(" w ").alias("wing"), F.lit("r").alias("room"), (F.col("doc_id") % 2).cast("string").alias("source_file"), F.col("text").alias("content"), F.lit(NOW).alias("filed_at"), F.lit("").alias("content_date"))
+    return dw.add(rows).select("doc_id", "chunk_index", "id", "parent_id")
 
 
 @register("w2_update", "select id, case when id = (select min(id) from drawers) then 'new' else room end as room from drawers", ("drawers",))
@@ -545,12 +634,30 @@ def _(s, d):
     return dw.delete(rows, view(s, d, "vectors"), rows.agg(F.min("id")).first()[0])[0].select("id")
 
 
-@register("w4_mine_drawers", None)
+MINED = BOUNDARY.replace("TEXT", "text").replace("from documents)", "from drawers_ where length(text) <= 100000 and not contains(text, chr(0)))")
+
+
+@register("w4_mine_drawers", f"""with drawers_ as (select doc_id, content as text from drawers), {MINED}, {FREQ.replace("select doc_id, unnest(regexp_extract_all(substr(text, 1, 5000)", "select doc_id, chunk_index, unnest(regexp_extract_all(substr(chunk, 1, 5000)").replace("from documents)", "from k)").replace("select doc_id, entity, count(*) as n from m", "select doc_id, chunk_index, entity, count(*) as n from m")},
+    e as (select doc_id, chunk_index, array_to_string(list_sort(list(entity))[1:25], ',') as entities from f where n >= 2 and length(entity) >= 3 group by all)
+    select d.source_file, k.chunk_index, sha256(d.team_id || chr(0) || d.wing || chr(0) || d.room || chr(0) || d.source_file || chr(0) || k.chunk_index || chr(0) || chunk || chr(0)) as id, line_start, line_end, coalesce(entities, '') as entities
+    from k join drawers d using (doc_id) left join e on e.doc_id = k.doc_id and e.chunk_index = k.chunk_index""", ("drawers",))
 def _(s, d):
-    return dw.mine(mined_docs(s, d), common_words(s, d))[0].select("source_file", "chunk_index", "id", "line_start", "line_end", F.size("entities").alias("entities"))
+    return dw.mine(mined_docs(s, d), common_words(s, d))[0].select("source_file", "chunk_index", "id", "line_start", "line_end", F.array_join("entities", ",").alias("entities"))
 
 
-@register("w4_mine_closets", None)
+@register("w4_mine_closets", rf"""with drawers_ as (select doc_id, content as text from drawers), {MINED}, {FREQ},
+    salient as (select doc_id, string_agg(entity, ';' order by n desc, entity) as entities from (select *, row_number() over (partition by doc_id order by n desc, entity) as place from f where n >= 2) where place <= 5 group by doc_id),
+    firsts as (select k.doc_id, string_agg(sha256(d.team_id || chr(0) || d.wing || chr(0) || d.room || chr(0) || d.source_file || chr(0) || k.chunk_index || chr(0) || chunk || chr(0)), ',' order by k.chunk_index) filter (where k.chunk_index < 3) as ids,
+      arg_min(line_start, k.chunk_index) as line_start, arg_min(line_end, k.chunk_index) as line_end from k join drawers d using (doc_id) group by k.doc_id),
+    heads as (select *, regexp_extract_all(substr(content, 1, 5000), '"([^"]{{15,150}})"', 1)[1:3] as q,
+      regexp_extract_all(substr(content, 1, 5000), '(?i)\b(?:built|fixed|wrote|added|pushed|tested|created|decided|migrated|reviewed|deployed|configured|removed|updated)\s+[\w\s]{{3,40}}') as a from drawers),
+    lines as (select h.doc_id, list_transform(case when len(q) + len(a) > 0 then list_concat(list_transform(a, lambda x: lower(trim(x))), list_transform(q, lambda x: '"' || x || '"')) else [wing || '/' || room || '/doc-' || h.doc_id] end,
+      lambda x: x || '|' || coalesce(entities, '') || '|' || substr(filed_at, 1, 10) || ':L' || line_start || '-L' || line_end || '|→' || ids) as l from heads h join firsts on firsts.doc_id = h.doc_id left join salient on salient.doc_id = h.doc_id),
+    packs as (select doc_id, l, 0 as i, 0 as used, 0 as doc from lines union all
+      select doc_id, l, i + 1, case when used > 0 and used + octet_length(encode(l[i + 1])) + 1 > 1500 then octet_length(encode(l[i + 1])) + 1 else used + octet_length(encode(l[i + 1])) + 1 end,
+      case when i = 0 then 1 when used > 0 and used + octet_length(encode(l[i + 1])) + 1 > 1500 then doc + 1 else doc end from packs where i < len(l)),
+    docs as (select doc_id, doc, string_agg(l[i], chr(10) order by i) as document from packs where i > 0 group by doc_id, doc)
+    select source_file, doc as seq, sha256(team_id || chr(0) || wing || chr(0) || room || chr(0) || source_file || chr(0) || doc || chr(0)) as id, document from docs join drawers using (doc_id)""", ("drawers",))
 def _(s, d):
     return dw.mine(mined_docs(s, d), common_words(s, d))[1].select("source_file", "seq", "id", "document")
 
@@ -559,10 +666,11 @@ def mined_docs(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "drawers").select("team_id", "wing", "room", "source_file", "content", "filed_at")
 
 
-@register("w5_journal_write", "select agent, count(*) as n from (select unnest(range(greatest(1, ceil(length(text) / 1600.0)::int))) as i, lower(role) as agent from conversations) group by agent")
+@register("w5_journal_write", f"""select agent, seed, i::int as chunk_index, content, sha256('{TEAM}' || chr(0) || wing || chr(0) || 'diary' || chr(0) || agent || chr(0) || 'general' || chr(0) || i || chr(0) || content || chr(0) || seed || chr(0)) as id from (
+    select lower(role) as agent, conv_id || '-' || turn as seed, 'wing_' || conv_id % 5 as wing, i, substr(text, i * 1600 + 1, 1600) as content from (select *, unnest(range(greatest(1, ceil(length(text) / 1600.0)::int))) as i from conversations))""")
 def _(s, d):
     rows = view(s, d, "journal").select(F.lit(TEAM).alias("team_id"), F.upper("agent").alias("agent"), F.lit("").alias("topic"), "wing", "content", "filed_at", F.col("id").alias("seed"))
-    return dw.write_journal(rows).groupBy("agent").agg(F.count("*").alias("n"))
+    return dw.write_journal(rows).select("agent", "seed", "chunk_index", "content", "id")
 
 
 @register("w6_journal_read", "select id, filed_at, (select count(*) from journal where agent = 'user') as total from journal where agent = 'user' order by filed_at desc, id limit 10", ("journal",))
@@ -570,21 +678,72 @@ def _(s, d):
     return dw.read_journal(view(s, d, "journal"), " User ").select("id", "filed_at", "total")
 
 
-@register("w7_absorb", "select count(*) as n, count(*) filter (where embedded) as embedded from (select id, id in (select id from vectors) as embedded from drawers)", ("drawers", "vectors"))
+@register("w7_absorb", "select id, wing, content, filed_at, id in (select id from vectors) as embedded, (select count(*) from drawers) as taken from drawers", ("drawers", "vectors"))
 def _(s, d):
     rows = embedded(s, d)
-    out, _n = dw.absorb(rows, rows.drop("embedded_at", "id"), NOW)
-    return out.agg(F.count("*").alias("n"), F.count("embedded_at").alias("embedded"))
+    out, taken = dw.absorb(rows, rows.drop("embedded_at", "id"), NOW)
+    return out.select("id", "wing", "content", "filed_at", F.col("embedded_at").isNotNull().alias("embedded")).crossJoin(taken)  # one row
+
+
+@register("w7_absorb_closets", f"with {CLOSETS} select id, wing, room, source_file, document, case when doc_id % 2 = 0 then filed_at else '{NOW}' end as filed_at, (select count(*) from closets) as taken from closets", ("drawers",))
+def _(s, d):
+    rows = closets(s, d)
+    records = rows.drop("id").withColumn("filed_at", F.when(F.col("doc_id") % 2 == 0, F.col("filed_at")).otherwise(" ")).withColumn("wing", F.concat(F.lit(" "), "wing"))
+    blank = records.withColumn("document", F.lit(" \n"))
+    out, taken = dw.absorb_closets(rows.limit(0), records.unionByName(blank), NOW)
+    return out.select("id", "wing", "room", "source_file", "document", "filed_at").crossJoin(taken)  # one row
 
 
-@register("w10_copy_wing", "select count(v.id) as copied, count(*) - count(v.id) as skipped from drawers d left join vectors v using (id) where d.team_id = 'team-0' and d.wing = 'w001'", ("drawers", "vectors"))
+@register("s8_closets", f"with {CLOSETS} select id, 'wing' as asked from closets where team_id = '{TEAM}' and wing = 'w001' union all select id, 'source' from closets where team_id = '{TEAM}' and source_file = 'src/doc-6.md' union all select c.id, 'ids' from closets c where team_id = '{TEAM}' and c.doc_id in (select doc_id from vectors)", ("drawers", "vectors"))
 def _(s, d):
-    return dw.copy_wing(view(s, d, "drawers"), view(s, d, "vectors"), "team-0", "team-9", "w001")[2]
+    rows = closets(s, d)
+    asked = {"wing": dw.closets_by(rows, TEAM, wing="w001"), "source": dw.closets_by(rows, TEAM, source="src/doc-6.md"), "ids": dw.closets_by(rows, TEAM, wanted=closet_vectors(s, d))}
+    parts = [found.select("id", F.lit(name).alias("asked")) for name, found in asked.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
-@register("w11_merge_wings", "select case when wing in ('w001', 'w002') then 'w000' else wing end as wing, count(*) as drawers from drawers group by 1", ("drawers",))
+@register("w8_import", f"""with k as (select *, case doc_id % 6 when 0 then 'closet' when 1 then 'kg' when 2 then 'tunnel' when 3 then 'other' else 'drawer' end as kind from drawers where doc_id % 6 <> 5 or doc_id % 12 = 5),
+    places as (select distinct wing, room from k where kind = 'drawer' and doc_id % 12 <> 4),
+    n as (select count(*) filter (where kind = 'drawer' and doc_id % 12 <> 4) as drawers, count(*) filter (where kind = 'closet') as closets, count(*) filter (where kind = 'kg' and doc_id % 12 = 1) as facts,
+      count(*) filter (where kind = 'tunnel' and (wing, room) in (select (wing, room) from places)) as tunnels, count(*) as records from k)
+    select drawers, closets, facts, tunnels, records - drawers - closets - facts - tunnels as skipped, drawers as drawer_rows, closets as closet_rows, facts as fact_rows,
+      (select count(distinct (wing, room)) from k where kind = 'tunnel' and (wing, room) in (select (wing, room) from places)) as tunnel_rows from n""", ("drawers",))
 def _(s, d):
-    return taxonomy.wings(dw.merge_wings(view(s, d, "drawers"), ["w001", "w002", "w000"], "w000")).select("wing", "drawers")
+    """A bundle of all kinds; of drawers some are blank, of facts some have no subject, of tunnels some have no rooms."""
+    n = F.col("doc_id")
+    kind = F.when(n % 6 == 0, "closet").when(n % 6 == 1, "kg").when(n % 6 == 2, "tunnel").when(n % 6 == 3, "other").otherwise("drawer")
+    rows = view(s, d, "drawers").where("doc_id % 6 <> 5 or doc_id % 12 = 5").select(
+        kind.alias("kind"), F.when(n % 12 == 4, " ").otherwise(F.col("wing")).alias("wing"), "room", "source_file", "chunk_index", "content", F.col("content").alias("document"), F.array().cast("array<string>").alias("entities"), "filed_at", "content_date",
+        F.when(n % 12 == 1, F.col("source_file")).otherwise("").alias("subject"), F.lit("is in").alias("predicate"), F.col("wing").alias("object"), F.lit("2024-01-01").alias("valid_from"), F.lit("").alias("valid_to"),
+        *(F.col(c).alias(f"{side}_{c}") for side in ("source", "target") for c in ("wing", "room")), F.lit("l").alias("label"),
+    )
+    empty = {
+        "drawers": "team_id string, id string, wing string, room string, source_file string, chunk_index int, content string, entities array<string>, filed_at string, content_date string, embedded_at string",
+        "closets": "team_id string, id string, wing string, room string, source_file string, document string, entities array<string>, filed_at string, embedded_at string",
+        "facts": "id string, subject string, predicate string, object string, valid_from string, valid_to string",
+        "tunnels": "id string, source_wing string, source_room string, target_wing string, target_room string, label string, created_at string, updated_at string",
+    }
+    tables, counts = imports.routed(rows, {k: s.createDataFrame([], v) for k, v in empty.items()}, TEAM, NOW)
+    for name in empty:
+        counts = counts.crossJoin(tables[name].agg(F.count("*").alias(f"{name[:-1]}_rows")))  # one row each
+    return counts
+
+
+@register("w10_copy_wing", "with c as (select 'team-9' as namespace, sha256('team-9' || chr(0) || d.wing || chr(0) || d.room || chr(0) || d.source_file || chr(0) || d.chunk_index || chr(0) || d.content || chr(0)) as id, v.vec[1] as first, v.id is not null as found from drawers d left join vectors v using (id) where d.team_id = 'team-0' and d.wing = 'w001') select namespace, id, first, (select count(*) from c where found) as copied, (select count(*) from c where not found) as skipped from c where found", ("drawers", "vectors"))
+def _(s, d):
+    rows, vec, counts = dw.copy_wing(view(s, d, "drawers"), view(s, d, "vectors"), "team-0", "team-9", "w001")
+    return vec.join(rows.select("id"), "id").select("namespace", "id", F.get("vec", F.lit(0)).alias("first")).crossJoin(counts)  # one row
+
+
+@register("w10_copy_closets", f"with {CLOSETS}, c as (select 'team-9::closets' as namespace, sha256('team-9' || chr(0) || c.wing || chr(0) || c.room || chr(0) || c.source_file || chr(0) || c.document || chr(0)) as id, v.vec[1] as first, v.id is not null as found from closets c left join vectors v on v.doc_id = c.doc_id where c.team_id = 'team-0' and c.wing = 'w001') select namespace, id, first, (select count(*) from c where found) as copied, (select count(*) from c where not found) as skipped from c where found", ("drawers", "vectors"))
+def _(s, d):
+    rows, vec, counts = dw.copy_wing(closets(s, d), closet_vectors(s, d), "team-0", "team-9", "w001", closets=True)
+    return vec.join(rows.select("id"), "id").select("namespace", "id", F.get("vec", F.lit(0)).alias("first")).crossJoin(counts)  # one row
+
+
+@register("w11_merge_wings", "select id, case when wing in ('w001', 'w002') then 'w000' else wing end as wing from drawers", ("drawers",))
+def _(s, d):
+    return dw.merge_wings(view(s, d, "drawers"), ["w001", "w002", "w000"], "w000").select("id", "wing")
 
 
 @register("j12_wing_duplicates", "select a.wing, b.wing as duplicate, a.n as drawers, b.n as duplicate_drawers from (select wing, count(*) as n from w group by wing) a join (select wing, count(*) as n from w group by wing) b on b.wing = 'wing_' || a.wing".replace("from w ", "from (select case when doc_id % 2 = 0 then 'wing_' || wing else wing end as wing from drawers) "), ("drawers",))
@@ -593,11 +752,15 @@ def _(s, d):
     return dw.wing_duplicates(view(s, d, "drawers").withColumn("wing", wing))
 
 
-@register("w12_tunnels", "select distinct wing as source_wing, room as source_room from drawers where room <> 'general' and wing in (select wing from drawers where room = 'general')", ("drawers",))
+@register("w12_tunnels", "with p as (select distinct wing, room from drawers where room <> 'general' and wing in (select wing from drawers where room = 'general')) select sha256(least(wing || chr(0) || room, wing || chr(0) || 'general') || chr(1) || greatest(wing || chr(0) || room, wing || chr(0) || 'general'))[1:16] as id, case when wing <= 'w001' then 'general' else room end as source_room, case when wing <= 'w001' then room else 'general' end as target_room, 'l' as label, case when wing <= 'w001' then 'before' else '2024-03-01T00:00:00Z' end as created_at, '2024-03-01T00:00:00Z' as updated_at from p", ("drawers",))
 def _(s, d):
+    """Tunnels of the first wings are there in the other direction: they get the new label and time only."""
     new = room_tunnels(s, d).select("source_wing", "source_room", "target_wing", "target_room", "label").distinct()
-    empty = s.createDataFrame([], "id string, source_wing string, source_room string, target_wing string, target_room string, label string, created_at string, updated_at string")
-    return dw.upsert_tunnels(empty, new, view(s, d, "drawers"), NOW).select("source_wing", "source_room")
+    none = s.createDataFrame([], "id string, source_wing string, source_room string, target_wing string, target_room string, label string, created_at string, updated_at string")
+    turned = new.where("source_wing <= 'w001'").select("source_wing", F.col("target_room").alias("source_room"), "target_wing", F.col("source_room").alias("target_room"), F.lit("old").alias("label"))
+    rows = view(s, d, "drawers")
+    before = dw.upsert_tunnels(none, turned, rows, "before")
+    return dw.upsert_tunnels(before, new, rows, NOW).select("id", "source_room", "target_room", "label", "created_at", "updated_at")
 
 
 @register("w16_skills", "select 'nation-' || c_nationkey as team_id, c_mktsegment as name, count(*) as version, arg_max(c_name, c_custkey) as content from customer where c_custkey % 3 <> 0 group by all")
@@ -611,14 +774,24 @@ def _(s, d):
     return tenancy.admit(view(s, d, "requests"), CAP, ["moment", "event_id"]).select("event_id", "admitted")
 
 
-@register("w19_shares", None)
+@register("w19_shares", """with recursive e as (select 't' || user_id % 7 as from_team, 't' || user_id % 5 as to_team, event_type as wing, ['request', 'accept', 'request', 'decline', 'reopen'][event_id % 5 + 1] as op,
+      row_number() over (partition by user_id % 7, user_id % 5, event_type order by ts, event_id) as k from events where user_id % 7 <> user_id % 5),
+    r as (select distinct from_team, to_team, wing, 0::bigint as k, 'none' as status, 0 as requests, 0 as accepted, 0 as declined from e union all
+      select r.from_team, r.to_team, r.wing, e.k, case when op = 'request' or (op = 'reopen' and status = 'accepted') then 'pending' when op = 'accept' and status = 'pending' then 'accepted' when op = 'decline' and status = 'pending' then 'declined' else status end,
+        requests + (op = 'request' and status <> 'pending')::int, accepted + (op = 'accept' and status = 'pending')::int - (op = 'reopen' and status = 'accepted')::int, declined + (op = 'decline' and status = 'pending')::int
+      from r join e on e.from_team = r.from_team and e.to_team = r.to_team and e.wing = r.wing and e.k = r.k + 1)
+    select from_team, to_team, wing, arg_max(status, k) as status, max(requests) as requests, arg_max(accepted, k) as accepted, max(declined) as declined from r group by from_team, to_team, wing having max(requests) > 0""")
 def _(s, d):
     ops = F.element_at(F.array(*map(F.lit, ("request", "accept", "request", "decline", "reopen"))), (F.col("event_id") % 5 + 1).cast("int"))
     rows = read(s, d, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")).alias("from_team"), F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("to_team"), F.col("event_type").alias("wing"), F.col("ts").cast("string").alias("at"), F.col("event_id").alias("id"), ops.alias("op"))
     return tenancy.shares(rows)
 
 
-@register("w20_jobs", None)
+@register("w20_jobs", """with recursive e as (select user_id as job_id, ['enqueue', 'claim', 'release', 'done', 'fail'][event_id % 5 + 1] as op, event_id, row_number() over (partition by user_id order by ts, event_id) as k from events),
+    r as (select distinct job_id, 0::bigint as k, 'none' as status, 0::bigint as drawers from e union all
+      select r.job_id, e.k, case when op = 'enqueue' and status = 'none' then 'queued' when op = 'claim' and status = 'queued' then 'running' when op = 'done' and status = 'running' then 'done' when op = 'fail' and status = 'running' then 'failed' when op = 'release' and status = 'running' then 'queued' else status end,
+        case when op = 'done' and status = 'running' then event_id else drawers end from r join e on e.job_id = r.job_id and e.k = r.k + 1)
+    select job_id, arg_max(status, k) as status, arg_max(drawers, k) as drawers from r group by job_id""")
 def _(s, d):
     ops = F.element_at(F.array(*map(F.lit, ("enqueue", "claim", "release", "done", "fail"))), (F.col("event_id") % 5 + 1).cast("int"))
     rows = read(s, d, "events").select((F.col("user_id")).alias("job_id"), F.col("ts").cast("string").alias("at"), F.col("event_id").alias("id"), ops.alias("op"), F.col("event_id").alias("drawers"))
@@ -662,9 +835,17 @@ def _(s, d):
 # --- wire views, filters and the rest of the writes ---
 
 
-@register("p1_drawer_views", "select id, wing, room, nullif(source_file, '') as source_file, substr(content, 1, 300) as preview, filed_at, nullif(content_date, '') as content_date from drawers", ("drawers",))
+@register("p1_drawer_views", "select id, wing, room, source_file, chunk_index, content, nullif(list_filter([wing, ''], lambda x: x <> '' and doc_id % 2 = 0), []) as entities, case when doc_id % 4 = 0 then 'p' end as parent_id, filed_at, nullif(content_date, '') as content_date from drawers", ("drawers",))
+def _(s, d):
+    rows = view(s, d, "drawers").withColumns({"entities": F.when(F.col("doc_id") % 2 == 0, F.array("wing")).otherwise(F.array().cast("array<string>")), "parent_id": F.when(F.col("doc_id") % 4 == 0, "p").otherwise("")})
+    return retrieval.drawer_views(rows)
+
+
+@register("p1_tunnel_views", "select id, wing as source_wing, room as source_room, id as source_drawer_id, wing as target_wing, 'general' as target_room, null::varchar as target_drawer_id, 'l' as label, 'explicit' as kind, filed_at as created_at from drawers where room <> 'general'", ("drawers",))
 def _(s, d):
-    return view(s, d, "drawers").select("id", "wing", "room", F.nullif("source_file", F.lit("")).alias("source_file"), tx.preview(F.col("content")).alias("preview"), "filed_at", F.nullif("content_date", F.lit("")).alias("content_date"))
+    out = graph.tunnel_views(room_tunnels(s, d).withColumn("kind", F.lit("explicit")))
+    flat = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("source", "target") for c in ("wing", "room", "drawer_id")]
+    return out.select("id", *flat, "label", "kind", "created_at")
 
 
 @register("p1_hallway_views", f"with {ENTITY_DRAWERS} select wing, entity_a, entity_b, together as co_occurrence_count, entity_a || ' ↔ ' || entity_b || ' (co-occur in ' || together || ' drawers across ' || len(rooms) || ' rooms: ' || array_to_string(rooms, ', ') || ')' as label from halls")
@@ -672,16 +853,16 @@ def _(s, d):
     return graph.list_hallways(graph.hallways(entity_drawers(s, d))).select("wing", "entity_a", "entity_b", F.col("together").alias("co_occurrence_count"), "label")
 
 
-@register("p5_fact_values", r"select doc_id, length(v) between 1 and 128 and not contains(v, chr(0)) as ok from (select doc_id, regexp_replace(substr(text, 1, 100 + doc_id % 60), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as v from documents)")
+@register("p5_fact_values", r"select doc_id, v, length(t) between 1 and 128 and not contains(t, chr(0)) as ok from (select doc_id, v, regexp_replace(v, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as t from (select doc_id, case doc_id % 5 when 0 then text when 1 then source when 2 then ' ' || lang || ' ' when 3 then ' ' else repeat(lang, 64) end as v from documents))")
 def _(s, d):
-    return read(s, d, "documents").select("doc_id", tx.valid_fact_value(F.expr("substr(text, 1, 100 + doc_id % 60)")).alias("ok"))
+    """Whole texts, names, blanks and names at the bound."""
+    v = F.expr("case doc_id % 5 when 0 then text when 1 then source when 2 then concat(' ', lang, ' ') when 3 then ' ' else repeat(lang, 64) end")
+    return read(s, d, "documents").select("doc_id", v.alias("v"), tx.valid_fact_value(v).alias("ok"))
 
 
-@register("p7_filtered_hits", f"with {QUERY}, n as (select v.id, {COSINE} as score from vectors v, q where namespace = '{TEAM}') select id, room from n join drawers using (id) where room = 'general' and greatest(0.0, least(2.0, 1 - score::double)) <= 1.0", ("drawers", "vectors"))
+@register("p7_filtered_hits", f"with {QUERY}, n as (select v.id, {COSINE} as score, row_number() over (order by {COSINE} desc, v.id) as k from vectors v, q where namespace = '{TEAM}') select id, room from n join drawers using (id) where k <= 10000 and room = 'general' and greatest(0.0, least(2.0, 1 - score::double)) <= 1.0", ("drawers", "vectors"))
 def _(s, d):
-    vec = F.array(*map(F.lit, query_vector(s, d)))
-    near = view(s, d, "vectors").where(F.col("namespace") == TEAM).select("id", distance(retrieval.cosine(F.col("vec"), vec)).alias("distance"))
-    return near.join(team(s, d), "id").where("room = 'general' and distance <= 1.0").select("id", "room")
+    return retrieval.filtered_hits(view(s, d, "vectors"), view(s, d, "drawers"), TEAM, query_vector(s, d), room="general", max_distance=1.0).select("id", "room")
 
 
 @register("t12_locators", "select doc_id, case when doc_id % 3 = 0 then '2024-01-01' else '2023-05-05' end || ':L1-L' || (length(text) - length(replace(text, chr(10), '')) + 1) as place from documents")

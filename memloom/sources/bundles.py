@@ -14,7 +14,7 @@ KINDS = ("manifest", "drawer", "diary", "closet", "kg", "tunnel")
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     """All lines; those that aren't JSON, or of no known kind, have the kind `skipped`."""
-    rows = spark.read.schema(RECORD + ", _corrupt_record string").json(path)
+    rows = spark.read.schema(RECORD + ", _corrupt_record string").option("recursiveFileLookup", "true").json(path)
     return rows.withColumn("kind", F.when(F.col("_corrupt_record").isNull() & F.col("kind").isin(*KINDS), F.col("kind")).otherwise("skipped")).drop("_corrupt_record")
 
 
@@ -22,6 +22,18 @@ def of_kind(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(F.col("kind") == kind)
 
 
+#: The fields of each kind of record, in the order of a bundle.
+FIELDS = {
+    "drawer": ("wing", "room", "source_file", "chunk_index", "content", "entities", "filed_at", "content_date"), "diary": ("wing", "room", "source_file", "chunk_index", "content", "entities", "filed_at", "content_date", "agent", "topic"),
+    "closet": ("wing", "room", "source_file", "document", "entities", "filed_at"), "kg": ("subject", "predicate", "object", "valid_from", "valid_to", "source_file"), "tunnel": ("source_wing", "source_room", "target_wing", "target_room", "label"),
+}
+
+
+def bundle_rows(kind: str, rows: DataFrame) -> DataFrame:
+    """The fields that a bundle has of a table, without the team and derived columns."""
+    return rows.select(*(c for c in FIELDS[kind] if c in rows.columns))
+
+
 def counters(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("records"))
 
@@ -29,11 +41,12 @@ def counters(rows: DataFrame) -> DataFrame:
 def write_bundle(spark: SparkSession, path: str, **tables: DataFrame) -> int:
     """Writes a manifest line and the tables (kind to rows) as lines of JSON; returns the records. Fields of a record that
     are null are left out."""
-    total = sum(t.count() for t in tables.values())
-    lines = spark.range(1).select(F.to_json(F.struct(F.lit("manifest").alias("kind"), F.lit(total).alias("total"))).alias("value"))
-    for kind, rows in tables.items():
-        lines = lines.union(rows.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *rows.columns)).alias("value")))
-    lines.write.mode("overwrite").text(path)
+    parts = {kind: bundle_rows(kind, tables[kind]) for kind in FIELDS if kind in tables}
+    total = sum(t.count() for t in parts.values())
+    # a folder for each kind, numbered in the order that an import needs: rooms before the tunnels between them
+    spark.range(1).select(F.to_json(F.struct(F.lit("manifest").alias("kind"), F.lit(total).alias("total"))).alias("value")).write.mode("overwrite").text(f"{path}/part=0-manifest")
+    for k, (kind, rows) in enumerate(parts.items(), 1):
+        rows.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *rows.columns)).alias("value")).write.mode("overwrite").text(f"{path}/part={k}-{kind}")
     return total
 
 
@@ -50,7 +63,7 @@ def named_facts(triples: DataFrame, entities: DataFrame) -> DataFrame:
 
 #: How each kind of table is cut to a tenant.
 SCOPES = {
-    "team": "team_id = {team}", "user": "user_id = {user}", "team_user": "team_id = {team} and user_id = {user}", "share": "from_team = {team} or to_team = {team}",
+    "team": "team_id = {team}", "team_row": "id = {team}", "user": "user_id = {user}", "user_row": "id = {user}", "team_user": "team_id = {team} and user_id = {user}", "share": "from_team = {team} or to_team = {team}",
     "namespace": "namespace = {team} or startswith(namespace, concat({team}, '::'))", "all": "true",
 }
 #: Columns that an archive blanks.
@@ -70,6 +83,18 @@ def archive(tables: dict[str, tuple[DataFrame, str]], team: str, user: str) -> d
     return out
 
 
+#: The tables of a tenant's archive and how each is cut; others stay out.
+MANIFEST = {
+    "plans": "all", "users": "user_row", "teams": "team_row", "memberships": "team_user", "api_keys": "team_user", "skills": "team", "usage_counters": "team", "subscriptions": "team", "vectors": "namespace",
+    "drawers": "team", "closets": "team", "hallways": "team", "tunnels": "team", "kg_entities": "team", "kg_triples": "team", "share_requests": "share", "merge_jobs": "team",
+}
+
+
+def tenant_archive(tables: dict[str, DataFrame], team: str, user: str) -> dict[str, DataFrame]:
+    """The archive of those of tables that the manifest lists, in its order."""
+    return archive({name: (tables[name], scope) for name, scope in MANIFEST.items() if name in tables}, team, user)
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.vectors import norm
-from memloom.operators.drawers import keep_latest, without
+from memloom.operators.drawers import kept, keep_latest, without
 
 
 def upsert(vectors: DataFrame, new: DataFrame) -> DataFrame:
@@ -40,3 +40,24 @@ def write_truth_then_index(vectors: DataFrame, truth: str, index: str) -> None:
 
 def rebuild(vectors: DataFrame, index: str) -> None:
     unit_index(vectors).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(index)
+
+
+def sync(vectors: DataFrame, index: str, recreate: bool = False) -> DataFrame:
+    """(namespace, failed) for every namespace of vectors, after its index is brought up to it: what vectors has is put in, or, with
+    recreate, the namespace is written anew, so what the truth no longer has goes. A namespace that fails doesn't stop the others."""
+    spark = vectors.sparkSession
+    out = []
+    for row in namespaces(vectors).collect():  # the namespaces, not their vectors
+        own = points(vectors, row.namespace)
+        try:
+            if recreate:
+                rebuild(own, index)
+            else:
+                fresh, there = unit_index(own), points(spark.read.parquet(index), row.namespace)
+                both = there.join(fresh, "id", "left_anti").select("namespace", "id", "unit").unionByName(fresh)
+                kept(both).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(index)
+            out.append((row.namespace, False))
+        except Exception as error:  # the caller sees which failed
+            spark._jvm.org.slf4j.LoggerFactory.getLogger("memloom").warn(f"index of {row.namespace}: {error}")
+            out.append((row.namespace, True))
+    return spark.createDataFrame(out, "namespace string, failed boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from memloom.operators import drawers as dw
 from memloom.operators import facts as kg
 from memloom.operators import graph, retrieval, tenancy
-from memloom.sources import bundles
+from memloom.sources import bundles, vectors
 from memloom.sources.embedding import embedder
 from memloom.streaming.ingest import merged, stream_bundles, versioned_merge
 
@@ -109,3 +109,64 @@ def test_embedder_checks_its_count(spark):
     assert [r[0] for r in rows.select(ok("t")).collect()] == [[2.0], [0.0]]
     with pytest.raises(Exception, match="another number"):
         rows.select(short("t")).collect()
+
+
+def test_each_text_keeps_its_own_parent(spark):
+    rows = drawers(spark, [("t", "w", "r", "", "a" * 4000, "2024", ""), ("t", "w", "r", "", "b" * 4000, "2024", ""), ("t", " w ", "r", "s", "c", "2024", "")]).collect()
+    first = {r.content[0]: r.id for r in rows if r.chunk_index == 0}
+    assert len(rows) == 7 and {r.wing for r in rows} == {"w"}
+    assert all(r.parent_id == ("" if r.chunk_index == 0 else first[r.content[0]]) for r in rows)
+
+
+def test_the_first_name_seen_names_an_entity(spark):
+    facts = spark.createDataFrame([("2", "ZOE", "knows", "zoe", "", "", "b"), ("1", "Zoe", "knows", "Al", "", "", "a"), ("0", "al", "knows", "Bo", "", "", "c")], FACT + ", recorded_at string")
+    assert {r.entity_id: r.name for r in kg.entities(facts).collect()} == {"zoe": "Zoe", "al": "Al", "bo": "Bo"}
+    named = kg.with_names(spark.createDataFrame([("zoe", "nobody")], "subject_id string, object_id string"), kg.entities(facts)).first()
+    assert (named.subject, named.object) == ("Zoe", "")
+
+
+def test_deletes_say_whether_a_row_was_there(spark):
+    rows = spark.createDataFrame([("1", "explicit"), ("2", "entity")], "id string, kind string")
+    for id_, left, there in (("1", ["2"], True), ("9", ["1", "2"], False)):
+        kept, existed = graph.delete_by_id(rows, id_)
+        assert (sorted(r.id for r in kept.collect()), existed.first().existed) == (left, there)
+    assert [r.id for r in graph.delete_kind(rows, "entity").collect()] == ["1"]
+
+
+def test_closets_are_absorbed_once_and_copied_with_new_ids(spark):
+    record = "team_id string, wing string, room string, source_file string, document string, entities array<string>, filed_at string"
+    empty = spark.createDataFrame([], record + ", id string, embedded_at string")
+    rows = spark.createDataFrame([("t", " w", "r", "s", "doc ", [], ""), ("t", "w", "r", "s", "doc ", [], "now"), ("t", "w", " ", "s", "doc", [], ""), ("t", "w", "r", "s", "  ", [], "")], record)
+    once, taken = dw.absorb_closets(empty, rows, "now")
+    again, _ = dw.absorb_closets(once.withColumn("embedded_at", F.lit("then")), rows, "now")
+    assert taken.first().taken == 2
+    assert [(r.document, r.filed_at, r.embedded_at) for r in again.collect()] == [("doc ", "now", "then")]
+    vec = once.select(F.lit("t::closets").alias("namespace"), "id", F.array(F.lit(1.0)).alias("vec"))
+    copied, vectors, counts = dw.copy_wing(once, vec, "t", "u", "w", closets=True)
+    assert counts.first().asDict() == {"copied": 1, "skipped": 0}
+    assert copied.first().id != once.first().id and vectors.first().namespace == "u::closets"
+
+
+def test_pending_rows_of_every_team_are_embedded_oldest_first(spark):
+    rows = spark.createDataFrame([(t, f"{t}{i}", f"202{i}", None if i else "then", "x") for t in "ab" for i in range(4)], "team_id string, id string, filed_at string, embedded_at string, content string")
+    made, stamped = dw.embed_all_pending(rows, F.array(F.lit(1.0)), "now", 2)
+    assert sorted(r.id for r in made.collect()) == ["a1", "a2", "b1", "b2"] and {r.embedded_at for r in stamped.collect()} == {"now"}
+
+
+def test_chunkers_replace_columns_of_their_names(spark):
+    from memloom.functions import text as tx
+
+    rows = spark.createDataFrame([(1, 7, "old", "x" * 60)], "id int, chunk_index int, chunk string, text string")
+    for cut in (tx.fixed_chunks, tx.stride_chunks, tx.boundary_chunks):
+        got = cut(rows).first()
+        assert (got.id, got.chunk_index, got.chunk) == (1, 0, "x" * 60)
+
+
+def test_truth_is_written_before_the_index_and_syncs_prune(spark, tmp_path):
+    rows = spark.createDataFrame([("n", "a", [3.0, 4.0]), ("m", "b", [0.0, 0.0])], "namespace string, id string, vec array<float>")
+    truth, index = f"file://{tmp_path}/truth", f"file://{tmp_path}/index"
+    vectors.write_truth_then_index(rows, truth, index)
+    assert {r.id: [round(x, 6) for x in r.unit] for r in spark.read.parquet(index).collect()} == {"a": [0.6, 0.8], "b": [0.0, 0.0]}
+    done = vectors.sync(rows.where("id = 'a'").withColumn("id", F.lit("c")), index, recreate=True)
+    assert [(r.namespace, r.failed) for r in done.collect()] == [("n", False)]
+    assert sorted(r.id for r in spark.read.parquet(index).collect()) == ["b", "c"]

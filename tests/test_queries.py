@@ -32,6 +32,5 @@ def test_matches_oracle(spark, sf, duck, name):
     assert a == sorted(repr(tuple(plain(r[c]) for c in columns)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
-def test_runs(spark, sf, name):
-    assert queries.QUERIES[name](spark, sf).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(queries.QUERIES) == set(queries.ORACLES)
