@@ -191,14 +191,19 @@ def band_links(reps: DataFrame, n: int) -> DataFrame:
     return pairs.mapInArrow(near, "a long, b long").distinct()
 
 
-def apart_links(grouped: DataFrame) -> DataFrame:
-    """(a, b) of grouped (rep, group, size, firsts): all pairs of different groups that may have a similarity of SIMILAR or more.
-
-    Where a shingle is the first that two texts share, no more than what follows it in both is shared, so a key whose place is
-    too late for both sizes is no candidate; this is asked of whole groups first, then of their rows."""
-    rows = grouped.where("size > 0").select("rep", "group", "size", F.posexplode("firsts").alias("at", "key")).withColumn("rest", F.col("size") - F.col("at")).drop("at")
+def apart_links(known: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(a, b) of grouped (rep, group): all pairs of different groups that may have a similarity of SIMILAR or more, by the first
+    shingles in known (doc_id, size, firsts).
+
+    Most shingles are one text's own, so keys are counted first and only those that come again are dealt out with their rows;
+    of these, keys that only one group has go next. Where a shingle is the first that two texts share, no more than what follows
+    it in both is shared, so a key whose place is too late for both sizes is no candidate; this is asked of whole groups first,
+    then of their rows."""
+    every = known.select(F.col("doc_id").alias("rep"), "size", F.posexplode("firsts").alias("at", "key")).select("key", "rep", "size", (F.col("size") - F.col("at")).alias("rest"))
+    again = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    rows = stored(every.join(again, "key", "left_semi").join(grouped.select("rep", "group").distinct(), "rep"), "rows")
     several = rows.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
-    rows = stored(rows.join(several, "key", "left_semi"), "rows")
+    rows = stored(rows.join(several, "key", "left_semi").distinct(), "rows")
     groups = rows.groupBy("key", "group").agg(F.min("size").alias("size"), F.max("rest").alias("rest"))
     may = lambda x, y: (1 + SIMILAR) * F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest")) >= SIMILAR * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
     met = groups.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & may("x", "y"))
@@ -229,7 +234,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     least doc_id in it."""
     docs = docs.where(F.col(id_col).isNotNull())
     known = stored(near_table(docs, id_col, text_col, docs.count()), "near")
-    reps = stored(known.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "far", "size", "firsts")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.fp", "r.far", "r.size", "r.firsts"), "reps")
+    reps = stored(known.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "far")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.fp", "r.far"), "reps")
     # the texts of an id that comes with several are one node, so they are tied together
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), digest(text_col).alias("digest"), F.col(text_col).cast("binary").alias("t"))
 
@@ -242,7 +247,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return reps.join(roots, reps.rep == roots.node, "left").withColumn("group", F.coalesce("root", "rep")).drop("node", "root")
 
     roots = connected_components(links(stored(band_links(reps, reps.count()), "pairs")))
-    missed = stored(apart_links(rooted(roots)), "missed")
+    missed = stored(apart_links(known, rooted(roots)), "missed")
     if not missed.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links(missed)))
     return known.select("doc_id", "digest").distinct().join(rooted(roots).select("digest", "group"), "digest")
