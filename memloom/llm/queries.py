@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memloom.llm.chat import rotate
 from memloom.llm.common import scratch, stored, table
-from memloom.llm.decontam import contaminated, contamination
+from memloom.llm.decontam import ANCHORS, SLOP, contaminated, contamination
 from memloom.llm.mixing import SCHEDULES, _segments, mix
 from memloom.llm.pfor import read_token_files, write_token_files
 from memloom.llm.secrets import find_secrets
@@ -78,7 +78,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "n_near")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,10 +171,17 @@ sizes as (select distinct k from wins),
 starts as (select u, w, k, unnest(range(1, len(w) - k + 2)) as s from docs, sizes where len(w) >= k),
 hits as (select u, s, k, item_id from (select u, s, k, array_to_string(w[s : s + k - 1], ' ') as phrase from starts) join wins using (k, phrase)),
 marked as (select u, count(distinct p) as n_hit from (select u, unnest(range(s, s + k)) as p from hits) group by u),
+counted as (select term, count(*) as n from (select unnest(w) as term from docs) group by term),
+phrases as (select distinct phrase, string_split(phrase, ' ') as w from wins),
+ranked as (select phrase, w, term, row_number() over (partition by phrase order by coalesce(n, 0), term) as rank from (select *, unnest(list_distinct(w)) as term from phrases) left join counted using (term)),
+pairs as (select phrase, len(w) as k, o, w[o + 1] as first, w[o + 2] as second, min(rank) as rank from (select *, least(list_position(w, term) - 1, greatest(len(w) - 2, 0)) as o from ranked where rank <= {ANCHORS}) group by all),
+places as (select u, len(w) as n_words, i, w[i] as first, w[i + 1] as second from (select *, unnest(range(1, len(w))) as i from docs)),
+lists as (select u, phrase, rank, i - 1 - o as start from places join (select *, count(*) over (partition by phrase) as pairs_of from pairs) using (first, second) where pairs_of > 1 and i - 1 - o >= 0 and i - 1 - o + k <= n_words),
+near as (select u, count(distinct (phrase, start)) as n_near from (select a.u, a.phrase, a.start from lists a join lists b on a.u = b.u and a.phrase = b.phrase and a.rank = 1 and b.rank > 1 and abs(a.start - b.start) <= {SLOP}) group by u),
 owned as (select u, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct u, cast(item_id as varchar) as id from hits) group by u)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
-    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from docs left join marked using (u) left join owned using (u)""",
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_near, 0) as n_near
+from docs left join marked using (u) left join owned using (u) left join near using (u)""",
     "op10_mixing": rf"""
 with docs as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(concat(coalesce(doc_id::varchar, ''), '|', coalesce(text, ''))) as key from documents),
 totals as (select source, sum(size)::bigint as source_size from docs group by source),

@@ -6,6 +6,7 @@ import gzip
 import random
 import re
 import zlib
+from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
@@ -232,8 +233,7 @@ def naive_contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block_words", [1_000_000, 20])
-def test_contamination(spark, block_words):
+def test_contamination(spark):
     rng = random.Random(4)
     vocabulary = ["the", "of", "a", *(f"w{i}" for i in range(12))]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40)))) for i in range(12)] + [(12, None), (13, ""), (14, "the the the"), (3, "w1, W2!"), (None, "w5 w5")]
@@ -245,7 +245,7 @@ def test_contamination(spark, block_words):
         texts.append(" ".join([*words[:20], *cut[a : a + 30], *words[20:]]))
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(0, "w1 w2", 1), (None, "w5 w5", 1)], "doc_id long, text string, n_words int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(docs, bench, block_words=block_words).collect()
+    got = decontam.contamination(docs, bench).collect()
     want = naive_contamination([*texts, "w1 w2", "w5 w5"], items)
     assert sorted((repr(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == sorted((repr(i), *w) for i, w in zip([*range(len(texts)), 0, None], want, strict=True))
     clean = decontam.without_contaminated(docs, bench)
@@ -253,14 +253,51 @@ def test_contamination(spark, block_words):
     assert {r.n_hit for r in decontam.contamination(docs, bench.limit(0)).collect()} == {0} and decontam.contamination(docs.limit(0), bench).count() == 0
 
 
+def naive_near(texts, items, slop):
+    """Of each text: the starts of windows' rarest pairs with a second pair of the window within slop words of its place."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    counts = Counter(w for t in texts for w in split(t))
+    windows = {tuple(w[i : i + 13]) for _, item in items for w in [split(item)] if w for i in range(max(1, len(w) - 12))}
+    out = []
+    for t in texts:
+        words, n = split(t), 0
+        for win in windows:
+            places = []
+            for term in sorted(set(win), key=lambda x: (counts[x], x))[:2]:
+                o = min(win.index(term), max(0, len(win) - 2))
+                if o not in places:
+                    places.append(o)
+            if len(places) == 2:
+                starts = [{i - o for i in range(len(words) - 1) if tuple(words[i : i + 2]) == win[o : o + 2] and 0 <= i - o <= len(words) - len(win)} for o in places]
+                n += sum(any(abs(a - b) <= slop for b in starts[1]) for a in starts[0])
+        out.append(n)
+    return out
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha beta gamma")], "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("t"))
-    block = next(decontam.benchmark_blocks(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), "item_id", "text"))
-    anchors = block.anchors(np.array([1, 2]))
-    index = decontam.build_index(docs, block.terms, {t for _, _, t, _ in anchors})
-    shifted = decontam._shifted(index, block, anchors)
-    assert [r.doc_id for r in decontam.phrase_matches(shifted).collect()] == [2]
-    assert sorted(r.doc_id for r in decontam.proximity_matches(shifted, 1).collect()) == [1, 2]
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(9)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 20)))) for i in range(8)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for _ in range(40)] + [items[0][1], ""]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 3):
+        got = {r.doc_id: r.n_near for r in decontam.contamination(docs, bench, slop=slop).collect()}
+        want = naive_near(texts, items, slop)
+        assert [got[i] for i in range(len(texts))] == want and sum(want) > 0
+
+
+def test_one_frequent_pair_and_a_long_text(spark):
+    texts = ["the of " * 20_000 + "end", "the of the of", "x " * 30_000 + "the of the of the of the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the of " * 30), (2, "of the")], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(docs, bench).collect())
+    assert got == sorted((i, *w) for i, w in enumerate(naive_contamination(texts, [(1, "the of " * 30), (2, "of the")])))
+
+
+def test_clashing_names_and_null_ids_stay(spark):
+    docs = spark.createDataFrame([(None, "w1 w2 w3", 5, 1), (1, "w1 w2 w3", 6, 2), (2, "clean words", 7, 3)], "doc_id long, text string, mark int, d int")
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    assert [tuple(r) for r in decontam.without_contaminated(docs, bench).collect()] == [(2, "clean words", 7, 3)]
 
 
 # --- mixing ---
