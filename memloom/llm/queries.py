@@ -152,13 +152,14 @@ from ruled join p{DEPTH + 1} p on ruled.host = p.host and ruled.path = p.path jo
 ORACLES: dict[str, str] = {
     "op1_url_templates": _templates_sql(),
     "op5_chat_rotation": """
-with said as (select distinct conv_id, coalesce(floor(turn / 256), -1)::bigint as part, turn, role, coalesce(text, '') as text from conversations where conv_id is not null),
+with rows_ as (select distinct conv_id, turn, role, coalesce(text, '') as text from conversations where conv_id is not null),
+said as (select *, (row_number() over (partition by conv_id order by turn nulls first, role nulls first, text) - 1) // 256 as part from rows_),
 speakers as (select distinct conv_id, role as perspective from said where role <> 'system'),
 views as (select said.*, perspective, coalesce(role = perspective, false) as own,
     case when role is null then '<|user|>' when role = perspective then '<|assistant|>' when role = 'system' then '<|system|>' else '<|user name=' || role || '|>' end || chr(10) as opening,
     text || '<|end|>' || chr(10) as body from said join speakers using (conv_id)),
-ends as (select *, sum(length(opening) + length(body)) over (partition by conv_id, part, perspective order by turn nulls first, role nulls first, text rows unbounded preceding) as till,
-    row_number() over (partition by conv_id, part, perspective order by turn nulls first, role nulls first, text) as k from views)
+ends as (select *, sum(length(opening) + length(body)) over (partition by conv_id, perspective order by turn nulls first, role nulls first, text rows unbounded preceding) as till,
+    row_number() over (partition by conv_id, perspective order by turn nulls first, role nulls first, text) as k from views)
 select conv_id, part, perspective, count(*) as n_turns, string_agg(opening || body, '' order by k) as rendered,
     coalesce(string_agg((till - length(body))::bigint || ':' || till::bigint, ',' order by k) filter (where own), '') as masks
 from ends group by conv_id, part, perspective""",

@@ -133,15 +133,51 @@ def test_toxicity_learns_and_leaves_clean_alone(spark):
 # --- chat ---
 
 
-def test_rotation(spark):
+def naive_rotation(rows):
+    """{(conv, perspective): (the whole rendering, the masks)}"""
+    said, out = {}, {}
+    for conv, turn, role, text in set(rows):
+        if conv is not None:
+            said.setdefault(conv, set()).add((turn is not None, turn or 0, role is not None, role or "", text or ""))
+    for conv, turns in said.items():
+        for p in {r for _, _, known, r, _ in turns if known and r != "system"}:
+            whole, masks = "", []
+            for _, _, known, r, text in sorted(turns):
+                own = known and r == p
+                whole += "<|user|>\n" if not known else "<|assistant|>\n" if own else "<|system|>\n" if r == "system" else f"<|user name={r}|>\n"
+                if own:
+                    masks.append((len(whole), len(whole) + len(text) + 8))
+                whole += text + "<|end|>\n"
+            out[conv, p] = whole, masks
+    return out
+
+
+SAID = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("part_turns", [1, 3, 256])
+def test_rotation_matches_brute_force(spark, part_turns):
+    rng = random.Random(6)
     rows = [(1, 1, "bob", "hi é"), (1, 0, "system", "rules"), (1, 2, "amy", None), (1, 300, None, "late"), (1, 1, "bob", "hi é"), (2, None, "bob", "x"), (None, 0, "bob", "y"), (3, 0, "system", "alone")]
-    got = {(r.conv_id, r.part, r.perspective): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, 0, "bob"), (1, 0, "amy"), (1, 1, "bob"), (1, 1, "amy"), (2, -1, "bob")}
-    r = got[1, 0, "bob"]
-    assert r.rendered == "<|system|>\nrules<|end|>\n<|assistant|>\nhi é<|end|>\n<|user name=amy|>\n<|end|>\n"
-    assert [r.rendered[m.start : m.end] for m in r.masks] == ["hi é<|end|>\n"]
-    assert [got[1, 0, "amy"].rendered[m.start : m.end] for m in got[1, 0, "amy"].masks] == ["<|end|>\n"]
-    assert got[1, 1, "amy"].rendered == "<|user|>\nlate<|end|>\n" and got[1, 1, "amy"].masks == []
+    rows += [(4, rng.choice([7, 8, None]), rng.choice(["al", "bo", "system", None]), f"text {i}") for i in range(30)] + [(5, 1, "al", "long " * 30_000), (5, 2, "bo", "x" * 100_000)]
+    got = chat.rotate(spark.createDataFrame(rows, SAID).withColumn("part", F.lit("clash")), part_turns=part_turns).orderBy("part").collect()
+    parts = {}
+    for r in got:
+        assert 1 <= r.n_turns <= part_turns
+        whole, masks = parts.setdefault((r.conv_id, r.perspective), ["", []])
+        parts[r.conv_id, r.perspective] = [whole + r.rendered, masks + [(m.start, m.end) for m in r.masks]]
+    assert {k: tuple(v) for k, v in parts.items()} == naive_rotation(rows)
+    assert part_turns < 256 or all(r.part == 0 for r in got)
+
+
+def test_many_turns_of_one_number(spark):
+    rows = [(1, 5, "ab"[i % 2], f"{i:05}") for i in range(2000)]
+    got = chat.rotate(spark.createDataFrame(rows, SAID)).orderBy("part").collect()
+    assert [r.n_turns for r in got if r.perspective == "a"] == [256] * 7 + [208]
+    whole = "".join(r.rendered for r in got if r.perspective == "b")
+    masks = [m for r in got if r.perspective == "b" for m in r.masks]
+    assert (whole, [(m.start, m.end) for m in masks]) == naive_rotation(rows)[1, "b"]
+    assert chat.rotate(spark.createDataFrame([], SAID)).count() == 0
 
 
 # --- secrets ---
