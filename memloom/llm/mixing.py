@@ -125,7 +125,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows that it doesn't take are gone; taken rows without words have no position and come last."""
     spots = mix(docs, id_col, text_col, source_col).where("copies > 0").dropDuplicates(["source", "key"])  # equal keys are taken alike
     at = F.coalesce("positions", F.array_repeat(F.lit(None).cast("double"), F.col("copies").cast("int")))
-    spots = spots.select(F.col("source").alias("__source"), F.col("key").alias("__key"), at.alias("__at"))
-    rows = docs.withColumn("__row_key", order_key(id_col, text_col)).join(spots, (F.col("__row_key") == F.col("__key")) & F.col(source_col).eqNullSafe(F.col("__source")))
-    rows = rows.select(*docs.columns, "__row_key", F.explode("__at").alias("__position"))
-    return rows.orderBy(F.col("__position").asc_nulls_last(), "__row_key").select(*docs.columns)
+    spots = spots.select("source", "key", at.alias("at"))
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # so that no name of docs meets one of these
+    own_id, own_text, own_source = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
+    rows = plain.withColumn("row_key", order_key(own_id, own_text)).join(spots, (F.col("row_key") == F.col("key")) & F.col(own_source).eqNullSafe(F.col("source")))
+    rows = rows.select(*plain.columns, "row_key", F.explode("at").alias("position"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "row_key").select(*plain.columns).toDF(*names)

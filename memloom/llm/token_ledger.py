@@ -3,20 +3,23 @@
 A batch is a set of events (op, source, lang, tokenizer, tokens, old_tokenizer, old_tokens):
 insert adds a document and its tokens, delete takes them away, revise moves a document from its
 old tokenizer and count to the new ones. A batch's events become one signed row for each group,
-written below its batch id, and then a commit of that id. Committing the id again changes
-nothing; a batch that was lost before its commit is written anew. Totals are the sums of the
-committed deltas, so they never read a document again.
-
-Defined cases: null text counts no tokens; null source or language is a group of its own; groups
-whose documents and tokens are back at zero are left out; an unknown op is an error; an empty
-batch commits and changes nothing.
+written below its batch id; they are added to the last totals, which become a new version; and a
+commit names the batch and the version. Committing the id again changes nothing; a batch that was
+lost before its commit is written anew. Reading totals reads the last version only: neither
+documents nor earlier deltas are read again. Versions before the last two can be removed (`prune`).
+
+Defined cases: null text counts no tokens; null source or language is a group of its own; repeated
+rows of a document each count, as events do; what was never inserted and is deleted takes a group
+below zero, which a later insert makes good; groups whose documents and tokens are back at zero are
+left out; an unknown op is an error; an empty batch commits and changes nothing; other columns are
+ignored. One writer at a time.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 import tiktoken
@@ -67,24 +70,27 @@ def signed(events: DataFrame) -> DataFrame:
     new, old = (F.struct(F.col(p + "tokenizer").alias("tokenizer"), F.lit(s).alias("n_docs"), (s * F.col(p + "tokens")).alias("n_tokens")) for p, s in (("", 1), ("old_", -1)))
     gone = F.struct(F.col("tokenizer"), F.lit(-1).alias("n_docs"), (-F.col("tokens")).alias("n_tokens"))
     moves = F.when(F.col("op") == "insert", F.array(new)).when(F.col("op") == "delete", F.array(gone)).when(F.col("op") == "revise", F.array(old, new)).otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null")))))
-    rows = events.select("source", "lang", F.explode(moves).alias("m")).select("source", "lang", "m.*")
+    return summed(events.select("source", "lang", F.explode(moves).alias("m")).select("source", "lang", "m.*"))
+
+
+def summed(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy(*GROUP).agg(F.sum("n_docs").cast("long").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
     return sums.where("n_docs <> 0 or n_tokens <> 0")
 
 
 class Ledger:
-    """Committed deltas below a shared folder; one writer at a time."""
+    """Versions of totals, and the deltas that made them, below a shared folder; one writer at a time."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def _commits(self) -> DataFrame:
         try:
-            return self.spark.read.schema("batch_id string").parquet(f"{self.folder}/commits/*")
+            return self.spark.read.schema("batch_id string, version long").parquet(f"{self.folder}/commits/*")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], "batch_id string")
+            return self.spark.createDataFrame([], "batch_id string, version long")
 
     def committed(self, batch_id: str) -> bool:
         return not self._commits().where(F.col("batch_id") == batch_id).isEmpty()
@@ -95,15 +101,34 @@ class Ledger:
             raise ValueError("a batch id is letters and digits")
         if self.committed(batch_id):
             return False
-        signed(events).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch_id}")
-        self.spark.range(1).select(F.lit(batch_id).alias("batch_id")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/{batch_id}")
+        before, version = self.totals(), self.version() + 1
+        signed(events).write.mode("overwrite").parquet(f"{self.folder}/deltas/{batch_id}")
+        delta = self.spark.read.schema(DELTA).parquet(f"{self.folder}/deltas/{batch_id}")
+        summed(before.unionByName(delta)).write.mode("overwrite").parquet(f"{self.folder}/totals/{version}")
+        self.spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/{batch_id}")
         return True
 
+    def version(self) -> int:
+        """The last committed version, 0 if there is none."""
+        return self._commits().agg(F.max("version")).first()[0] or 0
+
     def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
-        commits = self._commits()
-        if commits.isEmpty():
-            return self.spark.createDataFrame([], DELTA)
-        deltas = self.spark.read.schema(DELTA + ", batch_id string").parquet(f"{self.folder}/deltas/*")
-        sums = deltas.join(commits, "batch_id", "left_semi").groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+        """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches: the last version."""
+        version = self.version()
+        return self.spark.read.schema(DELTA).parquet(f"{self.folder}/totals/{version}") if version else self.spark.createDataFrame([], DELTA)
+
+    def recounted(self) -> DataFrame:
+        """The totals from all committed deltas, to hold the maintained ones against."""
+        parts = [self.spark.read.schema(DELTA).parquet(f"{self.folder}/deltas/{r.batch_id}") for r in self._commits().select("batch_id").distinct().collect()]  # the batches' names
+        return summed(reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], DELTA)))
+
+    def prune(self) -> None:
+        """Removes the versions of totals that neither the last commit nor the one before made."""
+        last = self.version()
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/totals")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in system.listStatus(path) if system.exists(path) else ():
+            name = status.getPath().getName()
+            if name.isdigit() and int(name) < last - 1:
+                system.delete(status.getPath(), True)

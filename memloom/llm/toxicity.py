@@ -328,13 +328,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of about sample labelled documents that aren't held out, and have at most SAMPLE_CHARS characters."""
+    """Texts and labels of about sample labelled documents that aren't held out, and have at most SAMPLE_CHARS characters; a
+    document comes once, however many rows repeat it, so the sample's size has no other bound."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = known.count()
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_000))
     picked = known.where(slot < int(1_000_000 * min(1.0, sample / max(1, n))))
-    # about sample rows of two columns
-    rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", F.col("text").cast("binary").alias("t")).join(F.broadcast(picked), "doc_id").orderBy("doc_id", "t").limit(2 * sample).collect()
+    # one row of two columns for each of about sample documents: of several rows of one id, the least text
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", F.col("text").cast("binary").alias("t"))
+    rows = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("t").alias("t")).orderBy("doc_id").collect()
     return [bytes(r.t or b"") for r in rows], np.array([r.toxic for r in rows], np.int64)
 
 

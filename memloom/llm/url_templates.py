@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from memloom.llm.common import stored
 
 DEPTH, MIN_SHARE, Z, PRIOR_N, ACCEPT = 6, 0.02, 1.96, 8.0, 0.5
-#: Rules given as text are turned into one expression; longer lists belong in a table.
-MOST_RULES = 500
 VALUE = r"^(\d+|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[^.]*\d[^.]*\d[^.]*\d[^.]*)(\.[A-Za-z0-9]{1,5})?$"
 
 
@@ -43,9 +41,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest of rules (host/path prefix, verdict) that fits; null if none does."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    """(rule, verdict) of the longest of rules (host/path prefix, verdict) that fits; null if none does. The rules become one
+    expression; a long list is better given as a table, to `with_rules`."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for text, what in sorted(rules, key=lambda r: (len(r[0]), r[0])):
         domain, slash, prefix = text.partition("/")
@@ -54,6 +51,18 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
+def with_rules(rows: DataFrame, rules: DataFrame, host: str, path: str) -> DataFrame:
+    """rows with __rule and __ruled, by a table of rules (rule, verdict) of any length: each distinct host and path meets the
+    rules of its own domains by an equi-join, and the longest that the path starts with stays (ties by the rule)."""
+    known = rules.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("domain"), F.expr("substr(rule, instr(rule, '/'))").alias("prefix"))
+    places = rows.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
+    labels = F.split("h", r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    met = places.select("h", "p", F.explode(domains).alias("domain")).join(known, "domain").where("startswith(p, prefix)")
+    best = met.groupBy("h", "p").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("r")).select("h", "p", F.col("r.rule").alias("__rule"), F.col("r.verdict").alias("__ruled"))
+    return rows.join(best, (F.col(host) == F.col("h")) & (F.col(path) == F.col("p")), "left").drop("h", "p")
+
+
 def _split(paths: DataFrame, k: int) -> DataFrame:
     """paths with the segment at level k (from DEPTH on one tail; null beyond the last) and whether it is a value; values
     are their wildcard at once, so a host with countless of them has one row for all."""
@@ -112,15 +121,18 @@ def learn_templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return paths.select("host", "path", "template"), templates.join(hosts, "host").select("host", "template", "n", "good", "bad", purity.alias("purity"))
 
 
-def judge(urls: DataFrame, rules: Sequence[tuple[str, str]], url_col: str = "url", label_col: str | None = None, accept: float = ACCEPT) -> DataFrame:
+def judge(urls: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, url_col: str = "url", label_col: str | None = None, accept: float = ACCEPT) -> DataFrame:
     """urls with host, path, rule, template, purity and verdict: the longest rule's, else block for templates under the accepted purity.
 
-    Labels are label_col (1 good, 0 bad), and where there are none the verdicts of the rules.
+    Labels are label_col (1 good, 0 bad), and where there are none the verdicts of the rules, which may be a table (rule, verdict).
     """
     host, path = host_and_path(F.col(url_col))
     rows = urls.withColumn("__host", host).withColumn("__path", path)
-    rule, ruled = matched_rule(F.col("__host"), F.col("__path"), rules)
-    rows = rows.withColumn("__rule", rule).withColumn("__ruled", ruled)
+    if isinstance(rules, DataFrame):
+        rows = with_rules(rows, rules, "__host", "__path")
+    else:
+        rule, ruled = matched_rule(F.col("__host"), F.col("__path"), rules)
+        rows = rows.withColumn("__rule", rule).withColumn("__ruled", ruled)
     by_rule = F.when(F.col("__ruled") == "allow", 1).when(F.col("__ruled") == "block", 0)
     label = F.coalesce(F.col(label_col), by_rule) if label_col else by_rule
     paths, templates = learn_templates(rows.select(F.col("__host").alias("host"), F.col("__path").alias("path"), label.alias("label")))

@@ -31,6 +31,16 @@ def test_hosts_paths_and_rules(spark):
     assert url_templates.judge(rows.limit(0), rules).count() == 0
 
 
+def test_a_table_of_rules_gives_what_the_expression_gives(spark):
+    rules = [(f"h{i % 40}.com/{'abc'[: i % 4]}{i % 7}", ("allow", "block")[i % 2]) for i in range(600)]  # the last of equal rules
+    rules = sorted(dict(rules).items()) + [("com/", "allow"), ("x.h1.com/a", "block")]
+    urls = [(i, f"https://{('', 'x.', 'www.')[i % 3]}h{i % 50}.com/{'abcab'[: i % 5]}{i % 9}?q") for i in range(400)] + [(None, None), (401, "no scheme"), (401, "no scheme"), (402, "http://h1.comx/1")]
+    rows = spark.createDataFrame(urls, "page_id long, url string")
+    want = url_templates.judge(rows, rules).select("page_id", "url", "rule", "verdict", "template", "purity")
+    got = url_templates.judge(rows, spark.createDataFrame(rules, "rule string, verdict string")).select(*want.columns)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.where("rule is not null").count() > 300
+
+
 def test_templates_generalise_merge_and_reject(spark):
     rows = [(f"http://h.org/shop/{i}.html", 1) for i in range(60)] + [(f"http://h.org/spam/{i}.html", 0) for i in range(60)]
     rows += [(f"http://h.org/sale/{i}.html", 1) for i in range(60)] + [(f"http://h.org/spam/{i}.html", None) for i in range(100, 110)]
@@ -388,6 +398,78 @@ def test_mixed_rows_stand_at_their_positions(spark):
 # --- pipeline ---
 
 
+def test_mixed_keeps_names_that_clash(spark):
+    rows = spark.createDataFrame([(1, "a b", "s", 5, 6, 7), (2, "c", "t", 5, 6, 7)], "doc_id long, text string, source string, __at int, position int, key int")
+    got = mixing.mixed(rows)
+    assert got.columns == rows.columns and {r.doc_id for r in got.collect()} == {1, 2}
+
+
+def test_pipeline_stages_match_brute_force(spark, sf):
+    """Each stage on the whole of what the one before kept, against plain Python."""
+    import corpus_pipeline
+    from memloom.llm.near import SIMILAR, shingle_set
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scores = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    kept = stages["toxicity"](spark, docs, sf).toPandas()
+    assert sorted(kept.doc_id) == sorted(i for i, p in scores.items() if not p) and list(kept.columns) == docs.columns
+
+    sets = [shingle_set((t or "").encode()) for t in kept.text]
+    root = list(range(len(kept)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            met = len(x & y)
+            if kept.text[i] == kept.text[j] or (met and met >= SIMILAR * (len(x) + len(y) - met)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, n in enumerate(kept.doc_id):
+        least[find(i)] = min(n, least.get(find(i), n))
+    frame = spark.createDataFrame(kept, docs.schema)
+    alone = stages["near_dedup"](spark, frame, sf).toPandas()
+    assert sorted(alone.doc_id) == sorted(least.values()) and len(alone) < len(kept)
+
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").toPandas()
+    found = fast_contamination(alone.text, bench.text)
+    frame = spark.createDataFrame(alone, docs.schema)
+    clean = stages["decontamination"](spark, frame, sf).toPandas()
+    assert sorted(clean.doc_id) == sorted(i for i, (n, h) in zip(alone.doc_id, found, strict=True) if not (h and 20 * h >= n))
+
+    frame = spark.createDataFrame(clean, docs.schema)
+    copies = Counter(r.doc_id for r in stages["mixing"](spark, frame, sf).collect())
+    want = {r.doc_id: r.copies for r in mixing.mix(frame).collect()}
+    assert copies == Counter({i: n for i, n in want.items() if n}) and max(want.values()) <= 3
+    mixed = stages["mixing"](spark, frame, sf)
+    out = stages["token_files"](spark, mixed, sf).toPandas()
+    assert sorted(out.doc_id) == sorted(copies.elements()) and out.n_tokens.sum() == out.start.max() + out.n_tokens[out.start.idxmax()]
+
+
+def fast_contamination(texts, items):
+    """(words, words in windows) of each text, by a set of windows."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    known = {}
+    for item in items:
+        w = split(item)
+        k = min(13, len(w))
+        known.setdefault(k, set()).update(tuple(w[i : i + k]) for i in range(len(w) - k + 1) if w)
+    out = []
+    for t in texts:
+        w, hit = split(t), set()
+        for k, phrases in known.items():
+            for i in range(len(w) - k + 1) if k else ():
+                if tuple(w[i : i + k]) in phrases:
+                    hit.update(range(i, i + k))
+        out.append((len(w), len(hit)))
+    return out
+
+
 def test_pipeline_stages(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -1,11 +1,14 @@
+import base64
 import io
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from memloom.llm import pfor
@@ -90,3 +93,32 @@ def test_counts(spark):
     docs = spark.createDataFrame([(1, "one two", "s", "en", 1), (2, None, None, None, 2), (3, "trois mots", "s", "fr", 3)], "doc_id long, text string, source string, lang string, tokens int")
     got = {r.doc_id: (r.tokens, r.other_tokens) for r in count_tokens(docs, PATH, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, "lang = 'fr'").collect()}
     assert got[1] == (2, None) and got[2] == (0, None) and got[3][0] == len(TOKENIZER.encode("trois mots", add_special_tokens=False).ids) and got[3][1] > 0
+
+
+def test_the_rollup_query_matches_a_recount(spark, sf):
+    from memloom.llm.queries import op6_token_rollup
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    low = set(labels[labels.quality == 0].doc_id)
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    other = tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for r in docs.itertuples():
+        if r.doc_id not in low:
+            english = r.lang == "en"
+            n = len(TOKENIZER.encode(r.text or "", add_special_tokens=False).ids) if english else len(other.encode_ordinary(r.text or ""))
+            key = (r.source, r.lang, "byte_bpe_50k" if english else "byte_bpe_multi_50k")
+            a, b = want.get(key, (0, 0))
+            want[key] = a + 1, b + n
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in op6_token_rollup(spark, sf).collect()} == want
+
+
+def test_maintained_totals_are_the_recount_and_old_versions_go(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    for k in range(4):
+        rows = [("insert", "a", "en", "t1", 5 + k, None, None), ("insert", "b", None, "t1", 1, None, None), ("insert", "b", None, "t1", 1, None, None), ("delete", "c", "en", "t1", 2, None, None)]
+        ledger.commit(f"b{k}", spark.createDataFrame(rows, EVENT).withColumn("n_docs", F.lit("clash")))
+    assert {tuple(r) for r in ledger.totals().collect()} == {tuple(r) for r in ledger.recounted().collect()} == {("a", "en", "t1", 4, 26), ("b", None, "t1", 8, 8), ("c", "en", "t1", -4, -8)}
+    ledger.prune()
+    assert sorted(p.name for p in (tmp_path / "ledger" / "totals").iterdir() if p.is_dir()) == ["3", "4"] and ledger.totals().count() == 3
