@@ -126,18 +126,21 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, url_col
 
     Labels are label_col (1 good, 0 bad), and where there are none the verdicts of the rules, which may be a table (rule, verdict).
     """
-    host, path = host_and_path(F.col(url_col))
-    rows = urls.withColumn("__host", host).withColumn("__path", path)
+    names = urls.columns
+    plain = urls.toDF(*(f"u{i}" for i in range(len(names))))  # so that no name of urls meets one of these
+    own = {c: F.col(f"u{i}") for i, c in enumerate(names)}
+    host, path = host_and_path(own[url_col])
+    rows = plain.withColumn("__host", host).withColumn("__path", path)
     if isinstance(rules, DataFrame):
         rows = with_rules(rows, rules, "__host", "__path")
     else:
         rule, ruled = matched_rule(F.col("__host"), F.col("__path"), rules)
         rows = rows.withColumn("__rule", rule).withColumn("__ruled", ruled)
     by_rule = F.when(F.col("__ruled") == "allow", 1).when(F.col("__ruled") == "block", 0)
-    label = F.coalesce(F.col(label_col), by_rule) if label_col else by_rule
+    label = F.coalesce(own[label_col], by_rule) if label_col else by_rule
     paths, templates = learn_templates(rows.select(F.col("__host").alias("host"), F.col("__path").alias("path"), label.alias("label")))
     known = paths.join(templates, ["host", "template"]).select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("template").alias("__template"), F.when(F.col("good") + F.col("bad") > 0, F.col("purity")).alias("__judged"), F.col("purity").alias("__purity"))
     out = rows.join(known, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")), "left")
     verdict = F.coalesce("__ruled", F.when(F.col("__judged") < accept, "block").otherwise("allow"))
-    kept = [urls[c] for c in urls.columns if c not in ("host", "path", "rule", "template", "purity", "verdict")]
+    kept = [own[c].alias(c) for c in names if c not in ("host", "path", "rule", "template", "purity", "verdict")]
     return out.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__template").alias("template"), F.col("__purity").alias("purity"), verdict.alias("verdict"))

@@ -398,6 +398,15 @@ def test_mixed_rows_stand_at_their_positions(spark):
 # --- pipeline ---
 
 
+def test_filters_keep_names_that_clash(spark):
+    rows = spark.createDataFrame([(1, "a b", 5, 6), (None, None, 7, 8)], "doc_id long, text string, __score int, __predicted int")
+    got = toxicity.without_toxic(rows, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert got.columns == rows.columns and sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
+    urls = spark.createDataFrame([(1, "http://a.com/x", 9, "h")], "page_id long, url string, __host int, host string")
+    row = url_templates.judge(urls, [("com/x", "block")]).first()
+    assert (row["__host"], row.host, row.rule, row.verdict) == (9, "a.com", "com/x", "block")
+
+
 def test_mixed_keeps_names_that_clash(spark):
     rows = spark.createDataFrame([(1, "a b", "s", 5, 6, 7), (2, "c", "t", 5, 6, 7)], "doc_id long, text string, source string, __at int, position int, key int")
     got = mixing.mixed(rows)
