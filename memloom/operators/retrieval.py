@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.text import tokens
-from memloom.functions.vectors import cosine, distance, similarity
+from memloom.functions.vectors import cosine, distance, dot, similarity
 from memloom.operators.drawers import kept
 
 K1, B, VECTOR_WEIGHT, TEXT_WEIGHT, POOL_MULTIPLE, FILTERED_POOL = 1.5, 0.75, 0.6, 0.4, 3, 10_000
@@ -26,6 +26,17 @@ def nearest(vectors: DataFrame, namespace: str, query: Sequence[float], k: int)
     return best.withColumn("vec_rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # k rows
 
 
+def nearest_units(index: DataFrame, namespace: str, query: Sequence[float], k: int) -> DataFrame:
+    """The same from an index of unit vectors (`vectors.unit_index`), so no norm is worked out for a row; scores differ from
+    those of the truth by the rounding of unit vectors only."""
+    size = sum(float(v) ** 2 for v in query) ** 0.5
+    unit = F.array(*(F.lit(float(v) / size if size else 0.0) for v in query))
+    own = index.where(F.col("namespace") == namespace).where(F.size("unit") == len(query))
+    scored = own.select("id", dot(F.col("unit"), unit).cast("float").alias("score"))
+    best = scored.orderBy(F.desc("score"), "id").limit(max(0, k))
+    return best.withColumn("vec_rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # k rows
+
+
 def bm25(candidates: DataFrame, query: str, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(id, bm25): the candidates' scores, with document frequencies and mean length of the candidates themselves."""
     terms = candidates.sparkSession.range(1).select(F.array_sort(F.array_distinct(tokens(F.lit(query)))).alias("t")).first().t  # a query's terms

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from memloom.functions.text import valid_skill
 
 
+#: The roles of a member.
+ROLES = ("member", "writer", "admin")
+
+
 def admit(requests: DataFrame, cap: int, order: list[str]) -> DataFrame:
     """requests with admitted: the first cap of each team and period; a refused one doesn't count; cap 0 or less admits all."""
     if cap <= 0:
@@ -49,6 +53,8 @@ def my_teams(memberships: DataFrame, teams: DataFrame, user: str) -> DataFrame:
 
 def set_role(memberships: DataFrame, team: str, user: str, role: str | None) -> DataFrame:
     """memberships with one role changed, or the member removed where role is None; a team's last admin stays one."""
+    if role is not None and role not in ROLES:
+        raise ValueError(f"unknown role {role!r}")
     own = F.col("team_id") == team
     admins = memberships.where(own & (F.col("role") == "admin") & (F.col("user_id") != user)).isEmpty()
     was = not memberships.where(own & (F.col("user_id") == user) & (F.col("role") == "admin")).isEmpty()
@@ -58,6 +64,27 @@ def set_role(memberships: DataFrame, team: str, user: str, role: str | None) ->
     return memberships.where(~hit) if role is None else memberships.withColumn("role", F.when(hit, F.lit(role)).otherwise(F.col("role")))
 
 
+def add_member(memberships: DataFrame, users: DataFrame, team: str, email: str, role: str, now: str) -> DataFrame:
+    """memberships (team_id, user_id, role, created_at) with the user of an email, in any case, added; an unknown role or user, and
+    one who is there, are errors."""
+    if role not in ROLES:
+        raise ValueError(f"unknown role {role!r}")
+    new = users.where(F.lower(F.trim("email")) == email.strip().lower()).limit(1).select(F.lit(team).alias("team_id"), "user_id", F.lit(role).alias("role"), F.lit(now).alias("created_at"))
+    if new.isEmpty():
+        raise ValueError("no user has this email")
+    if not memberships.join(new, ["team_id", "user_id"], "left_semi").isEmpty():
+        raise ValueError("the user is a member already")
+    return memberships.unionByName(new, allowMissingColumns=True)
+
+
+def remove_member(memberships: DataFrame, keys: DataFrame, team: str, user: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """(memberships, keys) without a member, whose keys of the team that still hold are revoked; a team's last admin stays."""
+    mine = (F.col("team_id") == team) & (F.col("user_id") == user)
+    if memberships.where(mine).isEmpty():
+        raise ValueError("not a member")
+    return set_role(memberships, team, user, None), keys.withColumn("revoked_at", F.when(mine & F.col("revoked_at").isNull(), F.lit(now)).otherwise(F.col("revoked_at")))
+
+
 def team_caps(teams: DataFrame, plans: DataFrame) -> DataFrame:
     """(team_id, cap): the plan's monthly cap, 0 without a plan."""
     return teams.join(plans.select("plan_id", "monthly_cap"), "plan_id", "left").select("team_id", F.coalesce("monthly_cap", F.lit(0)).alias("cap"))

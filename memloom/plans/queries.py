@@ -17,7 +17,7 @@ from memloom.operators import facts as kg
 from memloom.operators import graph, imports, retrieval, taxonomy, tenancy
 from memloom.plans.views import read, view, with_views
 from memloom.sources import bundles, vectors
-from memloom.streaming.ingest import metered, windowed
+from memloom.streaming.ingest import admitted_batch, metered, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +25,10 @@ ORACLES: dict[str, str] = {}
 TEAM, CAP, NOW = "team-0", 50, "2024-03-01T00:00:00Z"
 
 
+COSINE = "(list_dot_product(v.vec::double[], q.q::double[]) / (sqrt(list_dot_product(v.vec::double[], v.vec::double[])) * sqrt(list_dot_product(q.q::double[], q.q::double[]))))::float"
+QUERY = "q as (select embedding as q from embeddings order by vec_id limit 1)"
+
+
 def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
         QUERIES[name] = query
@@ -207,6 +211,31 @@ def _(s, d):
     return rows.select("id", F.round(size, 6).alias("norm"))
 
 
+@register("s15_nearest_units", f"with {QUERY} select id, round(score, 5) as score from (select v.id, {COSINE} as score from vectors v, q where namespace = '{TEAM}') order by score desc, id limit 20", ("vectors",))
+def _(s, d):
+    """The neighbours that the index gives are those of the truth."""
+    return retrieval.nearest_units(vectors.unit_index(view(s, d, "vectors")), TEAM, query_vector(s, d), 20).select("id", F.round("score", 5).alias("score"))
+
+
+@register("w21_removed_member", "select c_custkey as key_id, case when c_custkey % 5 = 2 and c_custkey % 2 = 0 then null when c_custkey % 5 = 2 then 'now' when c_custkey % 2 = 1 then null else 'then' end as revoked_at from customer where c_custkey % 5 <> 2 or c_custkey % 2 = 1 union all select c_custkey, 'then' from customer where c_custkey % 5 = 2 and c_custkey % 2 = 0")
+def _(s, d):
+    """A user's keys of the team that still hold are revoked with the membership; others stay as they are."""
+    rows = read(s, d, "customer").select(F.lit("t").alias("team_id"), (F.col("c_custkey") % 5).cast("string").alias("user_id"), F.col("c_custkey").alias("key_id"), F.when(F.col("c_custkey") % 2 == 0, "then").alias("revoked_at"))
+    people = s.createDataFrame([("t", "1", "admin", "a"), ("t", "2", "member", "b")], "team_id string, user_id string, role string, created_at string")
+    return tenancy.remove_member(people, rows, "t", "2", "now")[1].select("key_id", "revoked_at")
+
+
+@register("st3_refusals", f"select event_id, row_number() over (partition by team_id, period order by moment, event_id) <= {CAP} as admitted from requests", ("requests",))
+def _(s, d):
+    """Two micro-batches, the second after the first's counts."""
+    rows = view(s, d, "requests").withColumnsRenamed({"moment": "ts", "event_id": "id"})
+    half = rows.agg(F.sort_array(F.collect_set(F.substring("ts", 1, 10))).alias("days")).select(F.get("days", (F.size("days") / 2).cast("int"))).first()[0]
+    none = s.createDataFrame([], "team_id string, period string, used long")
+    first, used = admitted_batch(rows.where(F.col("ts") < half), none, CAP)
+    second, _used = admitted_batch(rows.where(F.col("ts") >= half), used, CAP)
+    return first.unionByName(second).select(F.col("id").alias("event_id"), "admitted")
+
+
 @register("s18_embedding", "select doc_id, octet_length(encode(text)) as bytes from documents")
 def _(s, d):
     vec = byte_histogram(F.col("text"))
@@ -377,8 +406,6 @@ def _(s, d):
 
 # --- retrieval ---
 
-COSINE = "(list_dot_product(v.vec::double[], q.q::double[]) / (sqrt(list_dot_product(v.vec::double[], v.vec::double[])) * sqrt(list_dot_product(q.q::double[], q.q::double[]))))::float"
-QUERY = "q as (select embedding as q from embeddings order by vec_id limit 1)"
 
 
 @register("d1_nearest", f"with {QUERY} select id, score, row_number() over (order by score desc, id)::int as vec_rank from (select v.id, {COSINE} as score from vectors v, q where namespace = '{TEAM}') order by score desc, id limit 20", ("vectors",))

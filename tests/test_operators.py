@@ -8,7 +8,7 @@ from memloom.operators import facts as kg
 from memloom.operators import graph, retrieval, tenancy
 from memloom.sources import bundles, vectors
 from memloom.sources.embedding import embedder
-from memloom.streaming.ingest import merged, stream_bundles, versioned_merge
+from memloom.streaming.ingest import admitted_batch, drained, merged, stream_bundles, versioned_merge
 
 DRAWER = "team_id string, wing string, room string, source_file string, content string, filed_at string, content_date string"
 FACT = "id string, subject string, predicate string, object string, valid_from string, valid_to string"
@@ -170,3 +170,32 @@ def test_truth_is_written_before_the_index_and_syncs_prune(spark, tmp_path):
     done = vectors.sync(rows.where("id = 'a'").withColumn("id", F.lit("c")), index, recreate=True)
     assert [(r.namespace, r.failed) for r in done.collect()] == [("n", False)]
     assert sorted(r.id for r in spark.read.parquet(index).collect()) == ["b", "c"]
+
+
+def test_members_come_and_go_with_their_keys(spark):
+    users = spark.createDataFrame([("1", "A@x.org"), ("2", "b@x.org")], "user_id string, email string")
+    none = spark.createDataFrame([], "team_id string, user_id string, role string, created_at string")
+    one = tenancy.add_member(none, users, "t", " a@X.org ", "admin", "now")
+    two = tenancy.add_member(one, users, "t", "b@x.org", "member", "now")
+    for email, role in (("b@x.org", "member"), ("no@x.org", "member"), ("a@x.org", "king")):
+        with pytest.raises(ValueError):
+            tenancy.add_member(two, users, "t", email, role, "now")
+    keys = spark.createDataFrame([("t", "2", "k1", None), ("t", "2", "k2", "old"), ("t", "1", "k3", None), ("u", "2", "k4", None)], "team_id string, user_id string, id string, revoked_at string")
+    left, revoked = tenancy.remove_member(two, keys, "t", "2", "now")
+    assert [r.user_id for r in left.collect()] == ["1"]
+    assert {r.id: r.revoked_at for r in revoked.collect()} == {"k1": "now", "k2": "old", "k3": None, "k4": None}
+    with pytest.raises(ValueError):
+        tenancy.remove_member(left, keys, "t", "1", "now")
+
+
+def test_pending_rows_are_drained_oldest_first(spark):
+    state = {"rows": spark.createDataFrame([("t", f"{i}", f"202{i}", None) for i in range(5)], "team_id string, id string, filed_at string, embedded_at string"), "order": []}
+
+    def save(made, stamped):
+        state["order"].append(sorted(r.id for r in made.collect()))
+        state["rows"] = spark.createDataFrame(dw.keep_latest(state["rows"], stamped, ["team_id", "id"]).collect(), state["rows"].schema)
+
+    assert drained(lambda: state["rows"], save, F.array(F.lit(1.0)), "now", 2) == 3
+    assert state["order"] == [["0", "1"], ["2", "3"], ["4"]]
+    marked, used = admitted_batch(spark.createDataFrame([("t", "p", i, i) for i in range(3)], "team_id string, period string, ts int, id int"), spark.createDataFrame([("t", "p", 1)], "team_id string, period string, used long"), 2)
+    assert [r.admitted for r in marked.orderBy("id").collect()] == [True, False, False] and used.first().used == 2
