@@ -7,7 +7,8 @@ and only survivors are verified on the fingerprints themselves (and, in `near`,
 
 Defined cases: null texts have no words; a text without words has fingerprint zero and is
 linked like any other; rows with equal texts share a fingerprint; rows with a null id keep
-a null component; other columns are ignored.
+a null component; a half of the hashes is not over half; texts are read whole, however long; an
+empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ highest so far, so that a label says something about one window only.
 
 Defined cases: null, empty and wordless texts are scored as one empty window; a table without
 labelled rows gets the same score, 0, everywhere; labels that disagree count as toxic; a null id
-is never held out.
+is never held out; repeated rows are scored alike, a row each, and train once; scores at the
+threshold are predicted toxic; an empty table of documents gives an empty one; texts are scored whole,
+however long; other columns are ignored, and kept by `without_toxic`, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ smoothed to the whole in the same way. Templates with labelled rows and under th
 are rejected (block).
 
 Defined cases: null urls, and urls without ://, have an empty host and path and go by the tree of
-the empty host; a host without labels goes by the overall rate; repeated urls count each; an
-empty table stays empty; without any label nothing is rejected.
+the empty host; a host without labels goes by the overall rate; repeated urls count each; ties of
+rate go by the segment; urls are read whole, however long; further columns are kept, but for those
+named as a result; an empty table stays empty; without any label nothing is rejected.
 """
 
 from __future__ import annotations

@@ -398,6 +398,20 @@ def test_mixed_rows_stand_at_their_positions(spark):
 # --- pipeline ---
 
 
+def test_toxicity_of_empty_tables_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "some words"), (1, "some words"), (None, None), (2, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0 and toxicity.toxicity(docs, labels.limit(0)).count() == 4
+
+
+def test_very_long_urls(spark):
+    rows = spark.createDataFrame([(1, "http://a.com/" + "x/" * 20_000), (2, "http://a.com/" + "7" * 100_000), (3, "://"), (3, "://")], "page_id long, url string")
+    got = url_templates.judge(rows, [("com/x/x/", "block")]).collect()
+    assert sorted((r.page_id, r.host, r.verdict) for r in got) == [(1, "a.com", "block"), (2, "a.com", "allow"), (3, "", "allow"), (3, "", "allow")]
+
+
 def test_filters_keep_names_that_clash(spark):
     rows = spark.createDataFrame([(1, "a b", 5, 6), (None, None, 7, 8)], "doc_id long, text string, __score int, __predicted int")
     got = toxicity.without_toxic(rows, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -137,3 +137,25 @@ def test_short_near_copies_meet(spark):
 @pytest.mark.parametrize("run", [sh.simhash_components, near.one_of_each])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, long, 9, "a"), (2, long + " end", 9, "b"), (3, None, 9, "c"), (4, "", 9, "d"), (None, long, 9, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int, digest string")
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in sh.simhash_components(docs).collect()}
+    assert got[1][0] == naive(long) and got[3] == got[4] == (0, 3) and got[None][1] is None
+    kept = near.one_of_each(docs)
+    assert kept.columns == docs.columns
+    # no words: null and empty are equal texts
+    assert sorted((str(r.doc_id), r.digest) for r in kept.collect()) == [("1", "a"), ("3", "c"), ("None", "e")]
+
+
+def test_pairs_within_six_bytes_are_bounded():
+    """A bucket's rows agree in six bytes, so a row has 16 + 120 partners at most."""
+    fps = np.arange(1 << 16, dtype=np.uint64)[:4096]
+    table = sh.pivot_table(fps[:, None])
+    order = np.argsort(table[:, 0], kind="stable")
+    pairs = [(a, b) for x, y in sh.close_pairs(fps[order], table[order], np.zeros(len(fps), np.int64), 2) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    # of the 12 free bits here, 12 + 66 flips
+    assert len(pairs) == len(set(pairs)) == 4096 * (12 + 66) // 2
