@@ -26,6 +26,18 @@ def in_effect(as_of: str, valid_from: Column = None, valid_to: Column = None) ->
     return ((begin == "") | (start_key(begin) <= at)) & ((end == "") | (end_key(end) >= at))
 
 
+def normalised(facts: DataFrame) -> DataFrame:
+    """facts with subject_id, predicate_id and object_id, which `query`, `timeline` and `invalidate` compare where they are there: a
+    table stored with them, sorted or partitioned by them, is pruned by its statistics instead of read whole."""
+    return facts.withColumns({"subject_id": entity_id(F.col("subject")), "predicate_id": predicate_id(F.col("predicate")), "object_id": entity_id(F.col("object"))})
+
+
+def _names(facts: DataFrame, column: str, name: str) -> Column:
+    """Whether a row's subject, predicate or object goes by name."""
+    ident = predicate_id if column == "predicate" else entity_id
+    return (F.col(f"{column}_id") if f"{column}_id" in facts.columns else ident(F.col(column))) == ident(F.lit(name))
+
+
 def entities(facts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(entity_id, name): the entities of facts by the first name seen, or of names (entity_id, name). Facts go by
     recorded_at, where they have it, and id; of a fact the subject is seen before the object."""
@@ -49,11 +61,10 @@ def query(facts: DataFrame, entity: str, as_of: str | None = None, direction: st
     the asked side has the caller's spelling."""
     if direction not in ("outgoing", "incoming", "both"):
         raise ValueError("direction is outgoing, incoming or both")
-    wanted = entity_id(F.lit(entity))
     parts = []
     for side, column in (("outgoing", "subject"), ("incoming", "object")):
         if direction in (side, "both"):
-            own = facts.where(entity_id(F.col(column)) == wanted).withColumn(column, F.lit(entity))
+            own = facts.where(_names(facts, column, entity)).withColumn(column, F.lit(entity))
             parts.append(own.select(F.lit(side).alias("direction"), "subject", predicate_id(F.col("predicate")).alias("predicate"), "object", "valid_from", "valid_to", (F.col("valid_to") == "").alias("current")))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return found.where(in_effect(as_of)) if as_of else found
@@ -63,8 +74,7 @@ def timeline(facts: DataFrame, entity: str | None = None) -> DataFrame:
     """The first MOST_TIMELINE facts (of an entity, on either side) by start, undated ones last."""
     kept = facts
     if entity is not None:
-        wanted = entity_id(F.lit(entity))
-        kept = facts.where((entity_id(F.col("subject")) == wanted) | (entity_id(F.col("object")) == wanted))
+        kept = facts.where(_names(facts, "subject", entity) | _names(facts, "object", entity))
     return kept.orderBy(F.col("valid_from") == "", "valid_from", "id").limit(MOST_TIMELINE)
 
 
@@ -95,6 +105,6 @@ def add(stored: DataFrame, new: DataFrame, recorded_at: str) -> DataFrame:
 
 def invalidate(stored: DataFrame, subject: str, predicate: str, object_: str, ended: str) -> DataFrame:
     """stored with the current facts of the triple ended; an end before a start is an error."""
-    match = (entity_id(F.col("subject")) == entity_id(F.lit(subject))) & (predicate_id(F.col("predicate")) == predicate_id(F.lit(predicate))) & (entity_id(F.col("object")) == entity_id(F.lit(object_))) & (F.col("valid_to") == "")
+    match = _names(stored, "subject", subject) & _names(stored, "predicate", predicate) & _names(stored, "object", object_) & (F.col("valid_to") == "")
     early = match & (F.col("valid_from") != "") & (end_key(F.lit(ended)) < start_key(F.col("valid_from")))
     return stored.withColumn("valid_to", F.when(early, F.raise_error(F.lit("a fact can't end before it starts"))).when(match, F.lit(ended)).otherwise(F.col("valid_to")))

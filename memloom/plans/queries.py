@@ -613,6 +613,12 @@ def _(s, d):
     return kg.timeline(view(s, d, "facts"), "user_1").select("id", "subject", "predicate", "object", "valid_from", "valid_to")
 
 
+@register("k3_normalised", f"select 'incoming' as direction, subject, predicate, 'K_1' as object, valid_from, valid_to, valid_to = '' as current from facts where object = 'k_1'", ("facts",))
+def _(s, d):
+    """The same over facts with stored ids, which a scan can prune by."""
+    return kg.query(kg.normalised(view(s, d, "facts")), "K 1", None, "incoming").withColumn("object", F.lit("K_1"))
+
+
 @register("w14_add_facts", "select subject, predicate, object, valid_from, valid_to from facts union all select subject, predicate || '_new', object, min(valid_from), '' from facts group by subject, predicate, object", ("facts",))
 def _(s, d):
     rows = view(s, d, "facts")
