@@ -1,4 +1,5 @@
 import random
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -70,8 +71,13 @@ def test_pivots_never_discard_a_close_pair():
     assert gap.max() <= 2
 
 
+@lru_cache(4096)
+def shingles(text):
+    return near.shingle_set(text.encode())
+
+
 def jaccard(x, y):
-    a, b = near.shingle_set(x.encode()), near.shingle_set(y.encode())
+    a, b = shingles(x), shingles(y)
     return len(a & b) / len(a | b) if a | b else 0
 
 
