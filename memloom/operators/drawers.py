@@ -5,6 +5,8 @@ Tables are plain DataFrames; a caller writes the result as the next version. Eve
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,17 @@ from memloom.functions.text import boundary_chunks, content_date, fixed_pieces,
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint where a folder for it is set, else as it is."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext._jsc.sc()
-    if folder and not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir().isDefined() else df
+    """df as a reliable checkpoint in spark.checkpoint.dir, so it is worked out once and lost executors don't matter. Where
+    that is unset, a new temporary folder serves a local session, and a cluster's keeps df as it is, to be worked out again."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.startswith("local"):
+            folder = "file://" + tempfile.mkdtemp(prefix="memloom-")
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
