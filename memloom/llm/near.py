@@ -21,6 +21,8 @@ gives an empty one; further columns are kept, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,8 @@ from memloom.llm.simhash import N_PIVOTS, SEED, majority_bits, pivot_table
 NEAR_SHINGLE, SIMILAR = 5, 0.8
 #: The long fingerprint: 64-bit words, the least letters of words that it is made of, its bands, and the most differing bits of a candidate.
 NEAR_WORDS, LEAST_LETTERS, BANDS, NEAR_LIMIT = 4, 5, 16, 40
+#: 64-bit words of a text's parities.
+PARITY_WORDS = 8
 #: The sample that tells common shingles: documents at least, the least share of all, and the most shingles that are told.
 SAMPLED, SAMPLED_SHARE, MOST_COMMON = 10_000, 0.01, 200_000
 #: Words that are hashed at a time.
@@ -132,9 +136,19 @@ def first_shingles(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.
     return own[: int(size * (1 - SIMILAR) + 1e-6) + 1]
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """64 * PARITY_WORDS bits for each set: of each slot of the hashes, whether it holds an odd number of them. Two sets that differ
+    in d shingles differ in d bits at most."""
+    counts = np.fromiter(map(len, sets), np.int64, len(sets))
+    bits = 64 * PARITY_WORDS
+    slot = (np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(40)).astype(np.int64) % bits
+    odd = np.bincount(np.repeat(np.arange(len(sets)), counts) * bits + slot, minlength=len(sets) * bits).reshape(-1, bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+
+
 def near_table(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(doc_id, digest, fp, far, size, firsts): the MD5 of the text, its long fingerprint and the row of the pivot distance
-    table (both as bytes), the number of its shingles and its first ones."""
+    """(doc_id, digest, fp, far, size, parity, firsts): the MD5 of the text, its long fingerprint and the row of the pivot distance
+    table (both as bytes), the number of its shingles, their parities and the first ones."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, n))  # at most MOST_COMMON pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +156,17 @@ def near_table(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
         for batch in batches:
             for part, texts in text_slices(batch, "t"):
                 fps, sets = long_fingerprints(texts), shingle_sets(texts)
+                odd = parities(sets)
                 firsts = [first_shingles(s, common, rank) for s in sets]
                 ends = np.cumsum([0, *map(len, firsts)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("digest"), *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (fps, pivot_table(fps))), pa.array([len(s) for s in sets], pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS), pa.array(odd.ravel())),
                      pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)))],
-                    ["doc_id", "digest", "fp", "far", "size", "firsts"],
+                    ["doc_id", "digest", "fp", "far", "size", "parity", "firsts"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, digest string, fp binary, far binary, size int, firsts array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, digest string, fp binary, far binary, size int, parity array<long>, firsts array<long>")
 
 
 def rows_of(column: pa.Array, kind: type, width: int) -> np.ndarray:
@@ -198,7 +214,7 @@ def apart_links(known: DataFrame, grouped: DataFrame) -> DataFrame:
     Most shingles are one text's own, so keys are counted first and only those that come again are dealt out with their rows;
     of these, keys that only one group has go next. Where a shingle is the first that two texts share, no more than what follows
     it in both is shared, so a key whose place is too late for both sizes is no candidate; this is asked of whole groups first,
-    then of their rows."""
+    then of their rows. Of rows the parities are compared too: similar sets differ in a ninth of both their sizes at most."""
     every = known.select(F.col("doc_id").alias("rep"), "size", F.posexplode("firsts").alias("at", "key")).select("key", "rep", "size", (F.col("size") - F.col("at")).alias("rest"))
     again = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rows = stored(every.join(again, "key", "left_semi").join(grouped.select("rep", "group").distinct(), "rep"), "rows")
@@ -208,8 +224,13 @@ def apart_links(known: DataFrame, grouped: DataFrame) -> DataFrame:
     may = lambda x, y: (1 + SIMILAR) * F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest")) >= SIMILAR * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
     met = groups.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & may("x", "y"))
     met = met.select(F.col("x.key").alias("key"), F.col("x.group").alias("left"), F.col("y.group").alias("right"))
+    words = [f"p{k}" for k in range(PARITY_WORDS)]
+    rows = rows.join(known.select(F.col("doc_id").alias("rep"), "size", *(F.get("parity", F.lit(k)).alias(p) for k, p in enumerate(words))).distinct(), ["rep", "size"])
+    apart = reduce(add, (F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in words))
+    # of sizes x + y, sets of similarity s differ in (1 - s) / (1 + s) of them at most
+    alike = (1 + SIMILAR) * apart <= (1 - SIMILAR) * (F.col("x.size") + F.col("y.size")) + 1e-6
     lefts = met.join(rows.withColumnRenamed("group", "left"), ["key", "left"]).alias("x")
-    return lefts.join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.right") == F.col("y.group")) & may("x", "y")).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    return lefts.join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.right") == F.col("y.group")) & may("x", "y") & alike).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
