@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from memloom.llm.chat import rotate
 from memloom.llm.common import scratch, stored, table
 from memloom.llm.decontam import ANCHORS, SLOP, contaminated, contamination
+from memloom.llm.filter_audit import FILTERS, LEAST_WORDS, ORDERS, audit
 from memloom.llm.mixing import SCHEDULES, _segments, mix
 from memloom.llm.pfor import read_token_files, write_token_files
 from memloom.llm.secrets import find_secrets
@@ -85,6 +86,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
     "op2_webp": op2_webp,
@@ -96,13 +101,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-
 def _position_sql() -> str:
     """The inverse of each schedule's demand at y, by place in the cycle."""
     cases = []
@@ -148,6 +153,26 @@ select page_id, ruled.host, ruled.path, rule, coalesce(ruled, case when labelled
 from ruled join p{DEPTH + 1} p on ruled.host = p.host and ruled.path = p.path join j on p.host = j.host and p.node = j.template"""
 
 
+def _audit_sql() -> str:
+    """op11 order by order over the documents' flags, not by masks."""
+    before = " or ".join(f"(contains(substr(filter_order, 1, s - 1), '{x}') and f{x})" for x in FILTERS)
+    own = "case substr(filter_order, s, 1) " + " ".join(f"when '{x}' then f{x}" for x in FILTERS) + " end"
+    return rf"""
+with docs as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+counted as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by text) as least from docs),
+flags as (select doc_id, part, len(w) < {LEAST_WORDS} as fA, 100 * len(list_distinct(w)) < 50 * len(w) as fB,
+    100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) as fC, regexp_matches(text, '[#$%&*|]') as fD, coalesce(doc_id > least, false) as fE from counted),
+marks as (select doc_id as labelled, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+facts as (select flags.*, coalesce(good, false) as good, coalesce(toxic, false) as toxic, fA::int + fB::int + fC::int + fD::int + fE::int as fails from flags left join marks on doc_id = labelled),
+orders as (select unnest({ORDERS!r}) as filter_order),
+steps as (select filter_order, unnest(range(1, 6)) as s from orders),
+applied as (select part, filter_order, s, good, toxic, fails, ({before}) as gone, {own} as own from facts, steps),
+out as (select part, filter_order, s as step, count(*) filter (where not gone and not own) as kept, count(*) filter (where own and not gone) as removed, count(*) filter (where own and gone) as redundant,
+    count(*) filter (where own and fails = 1) as unique_fails, count(*) filter (where own and not gone and good) as good_lost, count(*) filter (where own and not gone and toxic) as toxic_lost
+    from applied group by all)
+select *, sum(removed) over (partition by part, substr(filter_order, step::bigint, 1))::bigint as shapley from out"""
+
+
 #: DuckDB SQL for the queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {
     "op1_url_templates": _templates_sql(),
@@ -183,6 +208,7 @@ owned as (select u, count(*) as n_items, string_agg(id, ',' order by id) as ids
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
     coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_near, 0) as n_near
 from docs left join marked using (u) left join owned using (u) left join near using (u)""",
+    "op11_filter_audit": _audit_sql(),
     "op10_mixing": rf"""
 with docs as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(concat(coalesce(doc_id::varchar, ''), '|', coalesce(text, ''))) as key from documents),
 totals as (select source, sum(size)::bigint as source_size from docs group by source),
