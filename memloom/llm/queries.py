@@ -14,6 +14,7 @@ from memloom.llm.decontam import ANCHORS, SLOP, contaminated, contamination
 from memloom.llm.filter_audit import FILTERS, LEAST_WORDS, ORDERS, audit
 from memloom.llm.mixing import SCHEDULES, _segments, mix
 from memloom.llm.pfor import read_token_files, write_token_files
+from memloom.llm.runs import digests, periodic_runs
 from memloom.llm.secrets import find_secrets
 from memloom.llm.simhash import simhash_components
 from memloom.llm.token_ledger import Ledger, count_tokens
@@ -90,6 +91,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(periodic_runs(table(spark, sf_dir, "documents"), rewrite=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
     "op2_webp": op2_webp,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
