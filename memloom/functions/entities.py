@@ -56,12 +56,54 @@ def _named(words: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
+#: Words that a list of everyday words may have; it becomes part of the plan.
+MOST_EVERYDAY = 20_000
+
+
+def with_mentions(rows: DataFrame, text: str, name: str, common: DataFrame | None = None) -> DataFrame:
+    """rows with the array of a text's mentions. common: a column `word` of lower-case words that are no entities, of MOST_EVERYDAY
+    words at most, being a word list; compounds stay."""
+    found = rows.withColumn(name, mentions(F.col(text)))
+    if common is None:
+        return found
+    words = [r.w for r in common.where("word is not null").select(F.lower("word").alias("w")).distinct().limit(MOST_EVERYDAY + 1).collect()]  # bounded
+    if len(words) > MOST_EVERYDAY:
+        raise ValueError(f"over {MOST_EVERYDAY} everyday words")
+
+    def listed(values: list[str]) -> str:
+        return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) or "null"
+
+    return found.withColumn(name, F.expr(f"filter(`{name}`, w -> w in ({listed([*COMPOUNDS])}) or not coalesce(lower(w) in ({listed(words)}), false))"))
+
+
+def counted(found: Column) -> Column:
+    """(entity, n) for each entity of an array of mentions, by entity."""
+    return F.transform(F.array_sort(F.array_distinct(found)), lambda e: F.struct(e.alias("entity"), (F.size(found) - F.size(F.array_remove(found, e))).cast("long").alias("n")))
+
+
+def entities_within(found: Column) -> Column:
+    """What `drawer_entities` gives for one array of mentions."""
+    often = F.filter(counted(found), lambda x: (x["n"] >= LEAST_COUNT) & (F.length(x["entity"]) >= LEAST_LETTERS))
+    return F.slice(F.transform(often, lambda x: x["entity"]), 1, MOST)
+
+
+def salient_within(found: Column) -> Column:
+    """What `salient_entities` gives for one array of mentions."""
+    often = F.filter(counted(found), lambda x: x["n"] >= LEAST_COUNT)
+    ranked = F.array_sort(F.transform(often, lambda x: F.struct((-x["n"]).alias("n"), x["entity"].alias("entity"))))
+    return F.transform(F.slice(ranked, 1, MOST_SALIENT), lambda x: x["entity"])
+
+
 def frequencies(rows: DataFrame, key: str, text: str, common: DataFrame | None = None) -> DataFrame:
-    """(key, entity, n) of every text. common: a column `word` of lower-case words that are no entities."""
-    each = rows.select(F.col(key), F.explode(mentions(F.col(text))).alias("entity"))
-    if common is not None:
-        each = each.join(common.select(F.col("word").alias("__w")), (F.lower("entity") == F.col("__w")) & ~F.col("entity").isin(*COMPOUNDS), "left_anti")
-    return each.groupBy(key, "entity").agg(F.count("*").alias("n"))
+    """(key, entity, n) of every text, counted within its row; a key that comes with several texts has a row for each."""
+    each = with_mentions(rows.select(key, F.col(text).alias("__t")), "__t", "__m", common)
+    return each.select(key, F.explode(counted(F.col("__m"))).alias("__e")).select(key, "__e.entity", "__e.n")
+
+
+def named(rows: DataFrame, key: str, text: str, common: DataFrame | None = None, salient: bool = False) -> DataFrame:
+    """(key, entities) of the texts that have any: the first MOST by name, or the MOST_SALIENT most frequent."""
+    each = with_mentions(rows.select(key, F.col(text).alias("__t")), "__t", "__m", common)
+    return each.select(key, (salient_within if salient else entities_within)(F.col("__m")).alias("entities")).where(F.size("entities") > 0)
 
 
 def drawer_entities(found: DataFrame, key: str) -> DataFrame:

@@ -78,8 +78,8 @@ def stride_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK) -> Dat
     return rows.select(*others(rows, "chunk_index", "chunk"), F.posexplode(F.transform(starts, lambda i: F.substring(F.col(text), i * size + 1, F.lit(size)))).alias("chunk_index", "chunk"))
 
 
-def boundary_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
-    """rows with (chunk_index, chunk, line_start, line_end): windows that end at the last blank line, else the last line
+def boundary_pieces(text: Column, size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> Column:
+    """The array of (chunk, line_start, line_end) of a text: windows that end at the last blank line, else the last line
     end, in their back half; the next starts overlap before. Chunks under least characters are left out."""
     overlap = min(max(0, overlap), size - 1)
     # a cut lies past the middle, so a step advances by half a window less the overlap at least
@@ -114,8 +114,13 @@ def boundary_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, over
         pieces = F.transform(cuts, lambda c: F.struct(trimmed(F.substring(t, c["start"] + 1, c["end"] - c["start"])).alias("chunk"), c["line_start"].alias("line_start"), c["line_end"].alias("line_end")))
         return F.filter(pieces, lambda c: F.length(c["chunk"]) >= least)
 
+    return bind(trimmed(text), cut)
+
+
+def boundary_chunks(rows: DataFrame, text: str = "text", size: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """rows with (chunk_index, chunk, line_start, line_end) of their `boundary_pieces`."""
     rest = others(rows, "chunk_index", "chunk", "line_start", "line_end")
-    whole = rows.select(*rest, F.posexplode(bind(trimmed(F.col(text)), cut)).alias("chunk_index", "__c"))
+    whole = rows.select(*rest, F.posexplode(boundary_pieces(F.col(text), size, overlap, least)).alias("chunk_index", "__c"))
     return whole.select(*rest, "chunk_index", "__c.chunk", "__c.line_start", "__c.line_end")
 
 

@@ -11,29 +11,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions import ids
-from memloom.functions.entities import drawer_entities, frequencies, salient_entities
+from memloom.functions.entities import entities_within, salient_within, with_mentions
 from memloom.functions.pointers import MOST_IDS, locator, packed, pointer_lines
-from memloom.functions.text import boundary_chunks, content_date, fixed_pieces, stride_chunks, trimmed, valid_content, valid_name, valid_source
+from memloom.functions.text import boundary_pieces, content_date, fixed_pieces, stride_chunks, trimmed, valid_content, valid_name, valid_source
 
 
 def kept(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint in spark.checkpoint.dir, so it is worked out once and lost executors don't matter. Where
-    that is unset, a new temporary folder serves a local session, and a cluster's keeps df as it is, to be worked out again."""
+    that is unset, a new temporary folder serves a local session; on a cluster it has to be set."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and context.master.startswith("local"):
             folder = "file://" + tempfile.mkdtemp(prefix="memloom-")
         if not folder:
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """old with the rows of new put in by keys; columns in keep stay as old has them. Repeated keys in new must be equal rows."""
+def last_of_each(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key: the greatest by the columns of order, then by all others, so the choice never depends on the run."""
+    names = [*order, *(c for c in rows.columns if c not in (*keys, *order))]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*names)).alias("__last")).select(*keys, "__last.*").select(*rows.columns)
+
+
+def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """old with the rows of new put in by keys; columns in keep stay as old has them. Of rows of new that repeat a key the last one
+    by order counts."""
     names = [c for c in old.columns if c not in keys]
-    a, b = old.select(*keys, F.struct(*names).alias("__old")), new.select(*keys, F.struct(*(F.col(c) if c in new.columns else F.lit(None).alias(c) for c in names)).alias("__new")).dropDuplicates(keys)
+    given = last_of_each(new.select(*(c for c in old.columns if c in new.columns)), keys, order)
+    a, b = old.select(*keys, F.struct(*names).alias("__old")), given.select(*keys, F.struct(*(F.col(c) if c in new.columns else F.lit(None).alias(c) for c in names)).alias("__new"))
     joined = a.join(b, keys, "full_outer")
 
     def value(c: str) -> Column:
@@ -92,36 +100,56 @@ def delete(drawers: DataFrame, vectors: DataFrame, id_: str) -> tuple[DataFrame,
     return drawers.where(F.col("id") != id_), vectors.where(F.col("id") != id_)
 
 
+#: The room of a mined source that names none.
+MINE_ROOM = "general"
+
+
+def minable(docs: DataFrame, agent: str = "miner") -> DataFrame:
+    """The rows of docs (team_id, wing, room, source_file, content, filed_at) whose names, sources and contents are in bounds: names
+    and sources trimmed, a blank room the usual one, and, where docs has agents, in lower case, blank ones named."""
+    named = docs.withColumns({"wing": trimmed(F.col("wing")), "room": F.coalesce(F.nullif(trimmed(F.col("room")), F.lit("")), F.lit(MINE_ROOM)), "source_file": trimmed(F.col("source_file"))})
+    good = valid_name(F.col("wing")) & valid_name(F.col("room")) & valid_source(F.col("source_file")) & valid_content(F.col("content"))
+    if "agent" in docs.columns:
+        named = named.withColumn("agent", F.lower(F.coalesce(F.nullif(trimmed(F.col("agent")), F.lit("")), F.lit(agent))))
+        good = good & valid_name(F.col("agent"))
+    return named.where(good)
+
+
 def mine(docs: DataFrame, common: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(drawers, closets) of docs (team_id, wing, room, source_file, content, filed_at): chunks at paragraph and line ends with
-    their entities, and packed pointer lines for each source. Rows with names, sources or contents out of bounds are left out."""
-    good = docs.where(valid_name(F.col("wing")) & valid_name(F.col("room")) & valid_source(F.col("source_file")) & valid_content(F.col("content")))
-    dated = good.withColumn("content_date", content_date(F.col("source_file"), F.col("content")))
-    cut = boundary_chunks(dated, "content").drop("content").withColumnRenamed("chunk", "content")
-    cut = kept(cut.withColumn("id", ids.drawer_id(*(F.col(c) for c in ("team_id", "wing", "room", "source_file", "chunk_index", "content")))))  # read for the chunks, their entities and the closets
-    named = drawer_entities(frequencies(cut.select("id", "content"), "id", "content", common), "id")
-    drawers = cut.join(named, "id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
-    key = ["team_id", "wing", "room", "source_file"]
-    firsts = F.sort_array(F.collect_list(F.when(F.col("chunk_index") < MOST_IDS, F.struct("chunk_index", "id"))))
-    least = F.min_by(F.struct("line_start", "line_end", "content_date"), "chunk_index")
-    chunks = cut.groupBy(*key).agg(F.transform(firsts, lambda x: x["id"]).alias("ids"), least.alias("lines"))
-    whole = good.withColumn("__k", ids.ended_digest(*map(F.col, key)))
-    salient = salient_entities(frequencies(whole.select("__k", "content"), "__k", "content", common), "__k")
-    sources = whole.join(chunks, key).join(salient, "__k", "left").withColumns({"entities": F.coalesce("entities", F.array().cast("array<string>")), "content_date": F.col("lines.content_date")})
-    place = locator(F.col("content_date"), F.substring("filed_at", 1, 10), F.col("lines.line_start"), F.col("lines.line_end"))
-    lines = pointer_lines(F.col("source_file"), F.col("ids"), F.col("content"), F.col("wing"), F.col("room"), place, F.col("entities"))
-    docs_ = sources.select(*key, "filed_at", "entities", F.posexplode(packed(lines)).alias("seq", "document"))
-    closets = docs_.withColumn("seq", F.col("seq") + 1).withColumn("id", ids.closet_id(*map(F.col, key), F.col("seq")))
+    """(drawers, closets) of the `minable` rows of docs: chunks at paragraph and line ends with their entities, the first chunk the
+    parent of the others, and packed pointer lines for each source.
+
+    Chunks, entities, dates and pointer lines are worked out within the row of their source, so nothing is shuffled."""
+    key = ("team_id", "wing", "room", "source_file")
+    place = [F.col(c) for c in key]
+    good = minable(docs)
+    cut = good.withColumns({"content_date": content_date(F.col("source_file"), F.col("content")), "__pieces": boundary_pieces(F.col("content"))})
+    own = lambda k: ids.drawer_id(*place, F.lit(k), F.get("__pieces", F.lit(k))["chunk"])
+    rest = [c for c in good.columns if c not in ("content", "chunk_index", "id", "parent_id", "entities", "content_date")]
+    each = cut.select(*rest, "content_date", own(0).alias("__first"), F.posexplode("__pieces").alias("chunk_index", "__c"))
+    each = each.select(*rest, "content_date", "__first", "chunk_index", "__c.line_start", "__c.line_end", F.col("__c.chunk").alias("content"))
+    each = with_mentions(each, "content", "__m", common).withColumn("entities", entities_within(F.col("__m")))
+    drawers = each.withColumn("id", ids.drawer_id(*place, F.col("chunk_index"), F.col("content"))).withColumn("parent_id", F.when(F.col("chunk_index") > 0, F.col("__first")).otherwise("")).drop("__first", "__m")
+    sources = with_mentions(cut.where(F.size("__pieces") > 0), "content", "__m", common).withColumn("entities", salient_within(F.col("__m")))
+    firsts = F.array_compact(F.array(*(F.when(F.size("__pieces") > k, own(k)) for k in range(MOST_IDS))))
+    at = locator(F.col("content_date"), F.substring("filed_at", 1, 10), F.get("__pieces", F.lit(0))["line_start"], F.get("__pieces", F.lit(0))["line_end"])
+    lines = pointer_lines(F.col("source_file"), firsts, F.col("content"), F.col("wing"), F.col("room"), at, F.col("entities"))
+    documents = sources.select(*key, "filed_at", "entities", F.posexplode(packed(lines)).alias("seq", "document"))
+    closets = documents.withColumn("seq", F.col("seq") + 1).withColumn("id", ids.closet_id(*place, F.col("seq")))
     return drawers, closets
 
 
 def mined_into(drawers: DataFrame, closets: DataFrame, docs: DataFrame, common: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The tables after mining docs: drawers of a mined source go within its wing and room, its closets in all wings."""
-    new_drawers, new_closets = mine(docs, common)
-    gone = docs.select("team_id", "wing", "room", "source_file")
-    kept = without(drawers, gone, ["team_id", "wing", "room", "source_file"])
-    kept_closets = without(closets, gone, ["team_id", "source_file"])
-    return kept.unionByName(new_drawers, allowMissingColumns=True), kept_closets.unionByName(new_closets, allowMissingColumns=True)
+    """The tables after mining docs. Rows that are refused change nothing; of a mined source the drawers go within its wing and room,
+    its closets in all wings, also where its content is too short for a chunk. Of several rows of one source in a wing and room the
+    last filed counts, and for its closets the last of all."""
+    key = ["team_id", "wing", "room", "source_file"]
+    taken = last_of_each(minable(docs), key, ("filed_at", "content"))
+    new_drawers, new_closets = mine(taken, common)
+    left = without(drawers, taken, key)
+    last = taken.groupBy("team_id", "source_file").agg(F.max(F.struct("filed_at", "content", "wing", "room")).alias("l")).select("team_id", "source_file", "l.wing", "l.room")
+    left_closets = without(closets, taken, ["team_id", "source_file"])
+    return left.unionByName(new_drawers, allowMissingColumns=True), left_closets.unionByName(new_closets.join(last, key, "left_semi"), allowMissingColumns=True)
 
 
 #: What a drawer's and a closet's id is made of, but for a mined closet's, which has its number in place of the document.
@@ -140,14 +168,14 @@ def absorb(drawers: DataFrame, records: DataFrame, now: str) -> tuple[DataFrame,
     waits for a vector or has one unchanged."""
     good = _absorbable(records, "content", now)
     good = good.withColumn("id", ids.drawer_id(*map(F.col, DRAWER_KEY)))
-    return keep_latest(drawers, good, ["team_id", "id"], keep=("embedded_at",)), good.agg(F.count("*").alias("taken"))
+    return keep_latest(drawers, good, ["team_id", "id"], keep=("embedded_at",), order=("filed_at",)), good.agg(F.count("*").alias("taken"))
 
 
 def absorb_closets(closets: DataFrame, records: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """The same for closets (their text is `document`); an id is made of the document, so a repeated import changes nothing."""
     good = _absorbable(records, "document", now)
     good = good.withColumn("id", ids.closet_id(*map(F.col, CLOSET_KEY)))
-    return keep_latest(closets, good, ["team_id", "id"], keep=("embedded_at",)), good.agg(F.count("*").alias("taken"))
+    return keep_latest(closets, good, ["team_id", "id"], keep=("embedded_at",), order=("filed_at",)), good.agg(F.count("*").alias("taken"))
 
 
 def closets_by(closets: DataFrame, team: str, wing: str | None = None, source: str | None = None, wanted: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.ids import entity_id, predicate_id, triple_id
@@ -92,14 +92,19 @@ def valid(facts: DataFrame) -> Column:
 
 
 def add(stored: DataFrame, new: DataFrame, recorded_at: str) -> DataFrame:
-    """stored facts and those of new (subject, predicate, object, valid_from, valid_to) that are valid and whose triple has
-    no current fact yet, whatever its start; of equal new triples the first start counts."""
+    """stored facts and those of new (subject, predicate, object, valid_from, valid_to) that are valid and whose triple has no
+    current fact yet, whatever its start. The new facts of a triple are taken ended ones first, by start: all that have ended stay
+    (of equal starts the first to end, as an id is made of the start), and of the current ones the first."""
     key = [entity_id(trimmed(F.col("subject"))), predicate_id(trimmed(F.col("predicate"))), entity_id(trimmed(F.col("object")))]
     rows = new.where(valid(new)).withColumns({"__s": key[0], "__p": key[1], "__o": key[2], "valid_from": temporal(F.col("valid_from")), "valid_to": temporal(F.col("valid_to"))})
-    first = Window.partitionBy("__s", "__p", "__o").orderBy("valid_from", "valid_to")
-    rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    spelled = F.struct("subject", "predicate", "object")
+    ended = rows.where("valid_to <> ''").groupBy("__s", "__p", "__o", "valid_from").agg(F.min(F.struct(F.col("valid_to"), spelled.alias("names"))).alias("f"))
+    ended = ended.select("__s", "__p", "__o", "valid_from", "f.valid_to", "f.names.*")
+    opened = rows.where("valid_to = ''").groupBy("__s", "__p", "__o").agg(F.min(F.struct(F.col("valid_from"), spelled.alias("names"))).alias("f"))
+    opened = opened.select("__s", "__p", "__o", "f.valid_from", F.lit("").alias("valid_to"), "f.names.*")
+    opened = opened.join(ended.select("__s", "__p", "__o", "valid_from"), ["__s", "__p", "__o", "valid_from"], "left_anti")
     now = stored.where("valid_to = ''").select(key[0].alias("__s"), key[1].alias("__p"), key[2].alias("__o")).distinct()
-    fresh = rows.join(now, ["__s", "__p", "__o"], "left_anti")
+    fresh = ended.unionByName(opened).join(now, ["__s", "__p", "__o"], "left_anti")
     return stored.unionByName(fresh.select(triple_id(F.col("__s"), F.col("__p"), F.col("__o"), F.col("valid_from"), F.lit(recorded_at)).alias("id"), "subject", "predicate", "object", "valid_from", "valid_to"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import ids
 from memloom.functions import text as tx
-from memloom.functions.entities import STOP_WORDS, drawer_entities, frequencies, salient_entities
+from memloom.functions.entities import STOP_WORDS, frequencies, named
 from memloom.functions.pointers import locator, packed, pointer_lines
 from memloom.functions.vectors import byte_histogram, distance, similarity
 from memloom.operators import drawers as dw
@@ -339,12 +339,12 @@ def _(s, d):
 
 @register("t7_drawer_entities", f"with {FREQ} select doc_id, list_sort(list(entity))[1:25] as entities from f where n >= 2 and length(entity) >= 3 group by doc_id")
 def _(s, d):
-    return drawer_entities(frequencies(read(s, d, "documents"), "doc_id", "text", common_words(s, d)), "doc_id")
+    return named(read(s, d, "documents"), "doc_id", "text", common_words(s, d))
 
 
 @register("t8_salient_entities", f"with {FREQ}, r as (select *, row_number() over (partition by doc_id order by n desc, entity) as k from f where n >= 2) select doc_id, list(entity order by k) as entities from r where k <= 5 group by doc_id")
 def _(s, d):
-    return salient_entities(frequencies(read(s, d, "documents"), "doc_id", "text", common_words(s, d)), "doc_id")
+    return named(read(s, d, "documents"), "doc_id", "text", common_words(s, d), salient=True)
 
 
 @register("t9_content_dates", "select event_id, strftime(ts, '%Y-%m-%d') as found from events")
@@ -532,7 +532,7 @@ ENTITY_DRAWERS = f"{FREQ}, e as (select 'w' || doc_id % 2 as wing, 'r' || doc_id
 
 
 def entity_drawers(s: SparkSession, d: str) -> DataFrame:
-    found = drawer_entities(frequencies(read(s, d, "documents"), "doc_id", "text", common_words(s, d)), "doc_id")
+    found = named(read(s, d, "documents"), "doc_id", "text", common_words(s, d))
     return found.select(F.concat(F.lit("w"), (F.col("doc_id") % 2).cast("string")).alias("wing"), F.concat(F.lit("r"), (F.col("doc_id") % 5).cast("string")).alias("room"), "entities")
 
 
@@ -619,12 +619,17 @@ def _(s, d):
     return kg.query(kg.normalised(view(s, d, "facts")), "K 1", None, "incoming").withColumn("object", F.lit("K_1"))
 
 
-@register("w14_add_facts", "select subject, predicate, object, valid_from, valid_to from facts union all select subject, predicate || '_new', object, min(valid_from), '' from facts group by subject, predicate, object", ("facts",))
+@register("w14_add_facts", """select subject, predicate, object, valid_from, valid_to from facts union all select subject, predicate || '_new', object, min(valid_from), '' from facts group by subject, predicate, object
+    union all select subject, predicate || '_ended', object, valid_from, min(valid_to) from facts where valid_to <> '' and valid_to >= valid_from group by subject, predicate, object, valid_from
+    union all select subject, predicate || '_ended', object, min(valid_from), '' from facts f where valid_to = '' and not exists (select 1 from facts g where g.subject = f.subject and g.predicate = f.predicate and g.object = f.object and g.valid_from = f.valid_from and g.valid_to <> '') group by subject, predicate, object""", ("facts",))
 def _(s, d):
+    """New triples with one open fact each, the facts of others as they ended, and current ones again, which add nothing."""
     rows = view(s, d, "facts")
-    new = rows.select("subject", F.concat("predicate", F.lit(" New")).alias("predicate"), "object", "valid_from", F.lit("").alias("valid_to"))
-    out = kg.add(rows, new.unionByName(rows.where("valid_to = ''").select("subject", "predicate", "object", "valid_from", "valid_to")), NOW)
-    return out.select("subject", F.lower(F.replace("predicate", F.lit(" "), F.lit("_"))).alias("predicate"), "object", "valid_from", "valid_to")
+    plain = rows.select("subject", "predicate", "object", "valid_from", "valid_to")
+    new = plain.withColumns({"predicate": F.concat("predicate", F.lit(" New")), "valid_to": F.lit("")})
+    ended = plain.withColumn("predicate", F.concat(F.lit(" "), "predicate", F.lit(" Ended")))
+    out = kg.add(rows, new.unionByName(plain.where("valid_to = ''")).unionByName(ended), NOW)
+    return out.select("subject", F.lower(F.replace(F.trim("predicate"), F.lit(" "), F.lit("_"))).alias("predicate"), "object", "valid_from", "valid_to")
 
 
 @register("w15_invalidate", "select id, case when subject = 'user_1' and predicate = 'click' and valid_to = '' and object = (select min(object) from facts where subject = 'user_1' and predicate = 'click' and valid_to = '') then '2030-01-01' else valid_to end as valid_to from facts", ("facts",))
@@ -699,6 +704,21 @@ def mined_docs(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "drawers").select("team_id", "wing", "room", "source_file", "content", "filed_at")
 
 
+CHANGED = "doc_id % 3 = 0 and doc_id % 7 <> 0"
+
+
+@register("w4_replace", f"""with drawers_ as (select doc_id, case when {CHANGED} then substr(content, 1, 1000) else content end as text from drawers), {MINED}
+    select d.source_file, d.wing, k.chunk_index, sha256(d.team_id || chr(0) || d.wing || chr(0) || d.room || chr(0) || d.source_file || chr(0) || k.chunk_index || chr(0) || chunk || chr(0)) as id from k join drawers d using (doc_id)""", ("drawers",))
+def _(s, d):
+    """Sources mined again with shorter contents, under names with blanks around them; some of the new contents are too long, so their
+    sources stay as they are."""
+    docs = view(s, d, "drawers").select("team_id", "wing", "room", "source_file", "content", "filed_at", "doc_id")
+    changed = docs.where("doc_id % 3 = 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("x"), 100_001)).otherwise(F.substring("content", 1, 1000)))
+    changed = changed.withColumns({c: F.concat(F.lit(" "), c, F.lit("\t")) for c in ("wing", "room", "source_file")}).drop("doc_id")
+    rows, pointers = dw.mine(docs.drop("doc_id"))
+    return dw.mined_into(rows, pointers, changed)[0].select("source_file", "wing", "chunk_index", "id")
+
+
 @register("w5_journal_write", f"""select agent, seed, i::int as chunk_index, content, sha256('{TEAM}' || chr(0) || wing || chr(0) || 'diary' || chr(0) || agent || chr(0) || 'general' || chr(0) || i || chr(0) || content || chr(0) || seed || chr(0)) as id from (
     select lower(role) as agent, conv_id || '-' || turn as seed, 'wing_' || conv_id % 5 as wing, i, substr(text, i * 1600 + 1, 1600) as content from (select *, unnest(range(greatest(1, ceil(length(text) / 1600.0)::int))) as i from conversations))""")
 def _(s, d):

@@ -199,3 +199,33 @@ def test_pending_rows_are_drained_oldest_first(spark):
     assert state["order"] == [["0", "1"], ["2", "3"], ["4"]]
     marked, used = admitted_batch(spark.createDataFrame([("t", "p", i, i) for i in range(3)], "team_id string, period string, ts int, id int"), spark.createDataFrame([("t", "p", 1)], "team_id string, period string, used long"), 2)
     assert [r.admitted for r in marked.orderBy("id").collect()] == [True, False, False] and used.first().used == 2
+
+
+def test_mining_again_replaces_only_what_passes(spark):
+    schema = "team_id string, wing string, room string, source_file string, content string, filed_at string"
+    text = "Redis and Postgres are used here. Redis likes Postgres very much indeed.\n"
+    rows, closets = dw.mine(spark.createDataFrame([("t", " w ", "", " a.md ", text, "2024"), ("t", "w", "r", "b.md", text * 90, "2024"), ("t", "w", "r", "c.md", text, "2024")], schema))
+    assert {(r.wing, r.room, r.source_file) for r in rows.collect()} == {("w", "general", "a.md"), ("w", "r", "b.md"), ("w", "r", "c.md")}
+    first = {r.id for r in rows.where("source_file = 'b.md' and chunk_index = 0").collect()}
+    assert {r.parent_id for r in rows.where("source_file = 'b.md' and chunk_index > 0").collect()} == first and rows.where("source_file = 'b.md'").count() > 2
+    again = [("t", "w", "r", "b.md", "x" * 100_001, "2025"), ("t", "w", "general", "a.md", "short", "2025"), ("t", "w", "r", "c.md", text.replace("very", "so"), "2025"), ("t", "v", "r", "c.md", text.replace("very", "too"), "2026")]
+    new_rows, new_closets = dw.mined_into(rows, closets, spark.createDataFrame(again, schema))
+    assert new_rows.where("source_file = 'b.md'").count() == rows.where("source_file = 'b.md'").count() and new_closets.where("source_file = 'b.md'").count() == 1
+    assert new_rows.where("source_file = 'a.md'").count() == new_closets.where("source_file = 'a.md'").count() == 0
+    assert {(r.wing, "so" in r.content, "too" in r.content) for r in new_rows.where("source_file = 'c.md'").collect()} == {("w", True, False), ("v", False, True)}
+    assert [r.wing for r in new_closets.where("source_file = 'c.md'").collect()] == ["v"]
+
+
+def test_ended_facts_all_stay_and_one_current(spark):
+    facts = spark.createDataFrame([("i", "Al", "likes", "Tea", "2019-01-01", "2019-06-01")], "id string, subject string, predicate string, object string, valid_from string, valid_to string")
+    new = [("Al", "likes", "Tea", "2020-01-01", "2021-01-01"), (" al ", "Likes", "tea", "2021-02-01", "2021-03-01"), ("Al", "likes", "Tea", "2022-01-01", ""), ("Al", "likes", "Tea", "2023-01-01", ""), ("Al", "likes", "Tea", "2020-01-01", "2020-05-01")]
+    got = kg.add(facts, spark.createDataFrame(new, "subject string, predicate string, object string, valid_from string, valid_to string"), "now")
+    assert sorted((r.valid_from, r.valid_to) for r in got.collect()) == [("2019-01-01", "2019-06-01"), ("2020-01-01", "2020-05-01"), ("2021-02-01", "2021-03-01"), ("2022-01-01", "")]
+    assert kg.add(got, spark.createDataFrame(new[:3], "subject string, predicate string, object string, valid_from string, valid_to string"), "later").count() == 4
+
+
+def test_unequal_repeats_have_one_outcome(spark):
+    old = spark.createDataFrame([("a", 1, "x")], "k string, n int, v string")
+    new = spark.createDataFrame([("a", 2, "y"), ("a", 3, "b"), ("c", 1, "z"), ("c", 1, "zz")], "k string, n int, v string")
+    for rows in (new, new.orderBy("v"), new.orderBy(new.v.desc()).repartition(3)):
+        assert sorted(map(tuple, dw.keep_latest(old, rows, ["k"], order=("n",)).collect())) == [("a", 3, "b"), ("c", 1, "zz")]
