@@ -5,8 +5,6 @@ Tables are plain DataFrames; a caller writes the result as the next version. Eve
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +14,6 @@ from memloom.functions.pointers import MOST_IDS, locator, packed, pointer_lines
 from memloom.functions.text import boundary_pieces, content_date, fixed_pieces, stride_chunks, trimmed, valid_content, valid_name, valid_source
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in spark.checkpoint.dir, so it is worked out once and lost executors don't matter. Where
-    that is unset, a new temporary folder serves a local session; on a cluster it has to be set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.startswith("local"):
-            folder = "file://" + tempfile.mkdtemp(prefix="memloom-")
-        if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def last_of_each(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key: the greatest by the columns of order, then by all others, so the choice never depends on the run."""
     names = [*order, *(c for c in rows.columns if c not in (*keys, *order))]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.ids import hallway_id, tunnel_id
-from memloom.operators.drawers import kept
+from memloom.sources.shared import kept
 
 LEAST_TOGETHER, MOST_NODES, TOP_TUNNELS, MOST_HOPS, USUAL_HOPS = 2, 50, 10, 10, 2
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from memloom.functions.text import tokens
 from memloom.functions.vectors import cosine, distance, dot, similarity
-from memloom.operators.drawers import kept
+from memloom.operators.neighbours import CellIndex, nearest_join
+from memloom.sources.shared import kept, scratch
 
 K1, B, VECTOR_WEIGHT, TEXT_WEIGHT, POOL_MULTIPLE, FILTERED_POOL = 1.5, 0.75, 0.6, 0.4, 3, 10_000
 # The boost of a pointer hit by its rank, and how far it may be.
@@ -19,8 +20,10 @@ BOOSTS, BOOST_DISTANCE = (0.40, 0.25, 0.15, 0.08, 0.04), 1.5
 MOST_QUERY, MOST_HITS, USUAL_HITS = 250, 100, 5
 
 
-def nearest(vectors: DataFrame, namespace: str, query: Sequence[float], k: int) -> DataFrame:
-    """(id, score, vec_rank): the k best of a namespace by cosine; ties by id."""
+def nearest(vectors: DataFrame | CellIndex, namespace: str, query: Sequence[float], k: int) -> DataFrame:
+    """(id, score, vec_rank): the k best of a namespace by cosine; ties by id. An index of cells gives the same and reads less."""
+    if isinstance(vectors, CellIndex):
+        return vectors.nearest(namespace, query, k)
     scored = vectors.where(F.col("namespace") == namespace).select("id", cosine(F.col("vec"), F.array(*map(F.lit, map(float, query)))).alias("score"))
     best = scored.orderBy(F.desc("score"), "id").limit(max(0, k))
     return best.withColumn("vec_rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # k rows
@@ -64,7 +67,7 @@ def fuse(hits: DataFrame) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fused"), "vec_rank")))
 
 
-def pointer_boosts(closet_vectors: DataFrame, closets: DataFrame, namespace: str, query: Sequence[float]) -> DataFrame:
+def pointer_boosts(closet_vectors: DataFrame | CellIndex, closets: DataFrame, namespace: str, query: Sequence[float]) -> DataFrame:
     """(source_file, boost): what the nearest pointer documents give to their sources. The first place of a source
     decides; vectors without a document take a place but give nothing."""
     hits = nearest(closet_vectors, namespace, query, len(BOOSTS)).join(closets.select("id", "source_file"), "id")
@@ -73,7 +76,7 @@ def pointer_boosts(closet_vectors: DataFrame, closets: DataFrame, namespace: str
     return first.select("source_file", F.when(distance(F.col("h.score")) <= BOOST_DISTANCE, boost).otherwise(0.0).alias("boost"))
 
 
-def filtered_hits(vectors: DataFrame, drawers: DataFrame, team: str, query: Sequence[float], wing: str | None = None, room: str | None = None, max_distance: float = 0.0, pool: int = FILTERED_POOL) -> DataFrame:
+def filtered_hits(vectors: DataFrame | CellIndex, drawers: DataFrame, team: str, query: Sequence[float], wing: str | None = None, room: str | None = None, max_distance: float = 0.0, pool: int = FILTERED_POOL) -> DataFrame:
     """The drawers of a team's pool nearest vectors that are in the wing and room and within max_distance (0: any)."""
     hits = nearest(vectors, team, query, pool).join(drawers.where(F.col("team_id") == team), "id").withColumn("distance", distance(F.col("score")))
     for column, value in (("wing", wing), ("room", room)):
@@ -81,7 +84,7 @@ def filtered_hits(vectors: DataFrame, drawers: DataFrame, team: str, query: Sequ
     return hits.where(F.col("distance") <= max_distance) if max_distance > 0 else hits
 
 
-def search(vectors: DataFrame, drawers: DataFrame, team: str, query_text: str, query: Sequence[float], wing: str | None = None, room: str | None = None, limit: int = USUAL_HITS, max_distance: float = 0.0, boosts: DataFrame | None = None, pool_multiple: int = POOL_MULTIPLE, filtered_pool: int = FILTERED_POOL) -> DataFrame:
+def search(vectors: DataFrame | CellIndex, drawers: DataFrame, team: str, query_text: str, query: Sequence[float], wing: str | None = None, room: str | None = None, limit: int = USUAL_HITS, max_distance: float = 0.0, boosts: DataFrame | None = None, pool_multiple: int = POOL_MULTIPLE, filtered_pool: int = FILTERED_POOL) -> DataFrame:
     """The best drawers of a team for a query. The pool of neighbours is taken first and filtered after, so wing, room and
     distance only ever narrow it; vectors without a row drop out."""
     limit = min(max(1, limit), MOST_HITS)
@@ -91,7 +94,7 @@ def search(vectors: DataFrame, drawers: DataFrame, team: str, query_text: str, q
     return fuse(hits).where(F.col("rank") <= limit).select("rank", "id", "wing", "room", "source_file", "vec_rank", "distance", "bm25", "boost", "fused")
 
 
-def closet_boosts(closet_vectors: DataFrame, closets: DataFrame, team: str, query: Sequence[float]) -> DataFrame:
+def closet_boosts(closet_vectors: DataFrame | CellIndex, closets: DataFrame, team: str, query: Sequence[float]) -> DataFrame:
     """The boosts of a team, whose closets' vectors are in a namespace of their own."""
     return pointer_boosts(closet_vectors, closets.where(F.col("team_id") == team), f"{team}::closets", query)
 
@@ -110,29 +113,16 @@ def drawer_views(drawers: DataFrame) -> DataFrame:
     return drawers.select("id", "wing", "room", "source_file", "chunk_index", "content", F.when(F.size(entities) > 0, entities).alias("entities"), F.nullif(parent, F.lit("")).alias("parent_id"), "filed_at", F.nullif("content_date", F.lit("")).alias("content_date"))
 
 
-def near_duplicate(vectors: DataFrame, drawers: DataFrame, team: str, query: Sequence[float], threshold: float = 0.9) -> DataFrame:
+def near_duplicate(vectors: DataFrame | CellIndex, drawers: DataFrame, team: str, query: Sequence[float], threshold: float = 0.9) -> DataFrame:
     """One row (id, wing, room, similarity, is_duplicate): the nearest vector, with its drawer if there is one."""
     top = nearest(vectors, team, query, 1).select("id", similarity(distance(F.col("score"))).alias("similarity"))
     rows = drawers.where(F.col("team_id") == team).select("id", "wing", "room")
     return top.join(rows, "id", "left").withColumn("is_duplicate", F.col("similarity") >= min(1.0, max(0.0, threshold)))
 
 
-def nearest_for_each(queries: DataFrame, vectors: DataFrame, most: int = 10_000) -> DataFrame:
-    """(query_id, id, score): the best vector for each of queries (query_id, qvec), ties by id. Every vector is scored
-    against a stated set of at most `most` queries, which every task holds; more queries go in blocks of that size."""
-    n = queries.count()
-    if n > most:
-        blocks = -(-n // most) * 2
-        part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        parts = [nearest_for_each(queries.where(part == k), vectors, 2 * most) for k in range(blocks)]
-        return parts[0] if len(parts) == 1 else _union(parts)
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "id", cosine(F.col("vec"), F.col("qvec")).alias("score"))
-    best = F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id"))
-    return scored.groupBy("query_id").agg(best.alias("m")).select("query_id", "m.id", "m.score")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def nearest_for_each(queries: DataFrame, vectors: DataFrame | CellIndex) -> DataFrame:
+    """(query_id, id, score): the best vector for each of any number of queries (query_id, qvec), ties by id, by an index of cells, which is
+    built for the purpose where only vectors are given."""
+    index = vectors if isinstance(vectors, CellIndex) else CellIndex.build(vectors, scratch(vectors.sparkSession, "cells"))
+    kind = queries.schema["query_id"].dataType
+    return nearest_join(queries, index).select(F.col("query_id").cast(kind).alias("query_id"), "id", "score")

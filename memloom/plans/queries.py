@@ -15,8 +15,10 @@ from memloom.functions.vectors import byte_histogram, distance, similarity
 from memloom.operators import drawers as dw
 from memloom.operators import facts as kg
 from memloom.operators import graph, imports, retrieval, taxonomy, tenancy
+from memloom.operators.neighbours import CellIndex, nearest_join
 from memloom.plans.views import read, view, with_views
 from memloom.sources import bundles, vectors
+from memloom.sources.shared import scratch
 from memloom.streaming.ingest import admitted_batch, metered, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -493,6 +495,38 @@ def _(s, d):
     return retrieval.nearest_for_each(queries, view(s, d, "vectors"))
 
 
+def cells(s: SparkSession, d: str) -> CellIndex:
+    """The index of all vectors, in a new folder."""
+    return CellIndex.build(view(s, d, "vectors"), scratch(s, "cells"))
+
+
+@register("s16_indexed_search", f"with {QUERY} select id, score, row_number() over (order by score desc, id)::int as vec_rank from (select v.id, {COSINE} as score from vectors v, q where namespace = '{TEAM}') order by score desc, id limit 25", ("vectors",))
+def _(s, d):
+    """The exact search of the index, opened again from its folder."""
+    return CellIndex.open(s, cells(s, d).path).nearest(TEAM, query_vector(s, d), 25)
+
+
+@register("s16_recall", "select count(*) * 10 as wanted, true as enough from embeddings where vec_id % 100 = 0")
+def _(s, d):
+    """Whether probing the nearest quarter of the cells finds 95 of 100 of the ten best, over the stated queries."""
+    index, queries = cells(s, d), read(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    exact, probed = nearest_join(queries, index, 10), nearest_join(queries, index, 10, probes=-(-len(index.centroids) // 4))
+    found = exact.join(probed.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return found.agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.95 * F.count("*")).alias("enough"))
+
+
+@register("d7_indexed_search", f"{SEARCH} select row_number() over (order by fused desc, vec_rank)::int as rank, id, wing, room, vec_rank::int as vec_rank, round(distance, 9) as distance, round(b, 9) as bm25, round(fused, 9) as fused from f order by fused desc, vec_rank limit 10", ("drawers", "vectors"))
+def _(s, d):
+    hits = retrieval.search(cells(s, d), view(s, d, "drawers"), TEAM, WORDS, query_vector(s, d), limit=10)
+    return hits.select("rank", "id", "wing", "room", "vec_rank", F.round("distance", 9).alias("distance"), F.round("bm25", 9).alias("bm25"), F.round("fused", 9).alias("fused"))
+
+
+@register("d8_neighbour_join", f"select query_id, id, score, place::int as place from (select q.vec_id::varchar as query_id, v.id, {COSINE} as score, row_number() over (partition by q.vec_id order by {COSINE} desc, v.id) as place from vectors v, (select vec_id, embedding as q from embeddings) q) where place <= 3", ("vectors",))
+def _(s, d):
+    """The three nearest vectors of all teams for every embedding."""
+    return nearest_join(read(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), cells(s, d), 3)
+
+
 # --- graph ---
 
 

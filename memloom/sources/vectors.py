@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions.vectors import norm
-from memloom.operators.drawers import kept, keep_latest, without
+from memloom.operators.drawers import keep_latest, without
+from memloom.sources.shared import kept
 
 
 def upsert(vectors: DataFrame, new: DataFrame) -> DataFrame:
