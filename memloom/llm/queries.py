@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm.automaton import decode_documents, encode_documents
+from memloom.llm.automaton import encode_documents
 from memloom.llm.chat import rotate
 from memloom.llm.common import scratch, stored, table
 from memloom.llm.decontam import ANCHORS, SLOP, contaminated, contamination
@@ -97,8 +97,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    out = decode_documents(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    out = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

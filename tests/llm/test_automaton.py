@@ -56,10 +56,14 @@ def test_small_automata_equal_their_merges(tmp_path):
         spec = {"model": {"type": "BPE", "end_of_word_suffix": "</w>", "vocab": {t: i for i, t in enumerate(tokens)}, "merges": merges}, "added_tokens": []}
         path = tmp_path / f"{trial}.json"
         path.write_text(json.dumps(spec))
-        built = automaton.Automaton(str(path))
-        for n in range(1, 9):
-            for word in map("".join, itertools.product(letters, repeat=n)):
-                assert [tokens[i] for i in built.word(word)] == merged(word, merges)
+        spec = automaton.read_spec(str(path))
+        built = automaton.Automaton(spec, automaton.compile_arcs(spec))
+        words = ["".join(w) for n in range(1, 9) for w in itertools.product(letters, repeat=n)]
+        want = [merged(word, merges) for word in words]
+        assert [[tokens[i] for i in built.word(word.encode())] for word in words] == want
+        flat, counts = built.words([word.encode() for word in words])
+        flat = iter(flat.tolist())
+        assert [[tokens[next(flat)] for _ in range(n)] for n in counts.tolist()] == want
 
 
 def test_equals_the_library_on_every_kind_of_character(ours, library):
@@ -93,7 +97,7 @@ def test_cases_of_tables(spark, library):
 
 def test_other_files_are_refused(tmp_path):
     with pytest.raises(ValueError):
-        automaton.Automaton(public_tokenizers.path("byte_bpe_50k.json"))
+        automaton.read_spec(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_query_equals_the_library(spark, sf, library):
