@@ -26,7 +26,8 @@ def keep_latest(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str
     names = [c for c in old.columns if c not in keys]
     given = last_of_each(new.select(*(c for c in old.columns if c in new.columns)), keys, order)
     a, b = old.select(*keys, F.struct(*names).alias("__old")), given.select(*keys, F.struct(*(F.col(c) if c in new.columns else F.lit(None).alias(c) for c in names)).alias("__new"))
-    joined = a.join(b, keys, "full_outer")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]  # a null key is a key like any other
+    joined = a.alias("a").join(b.alias("b"), same, "full_outer").select(*(F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys), "__old", "__new")
 
     def value(c: str) -> Column:
         if c in keep:
@@ -147,11 +148,15 @@ def _absorbable(records: DataFrame, body: str, now: str) -> DataFrame:
     return good.withColumn("filed_at", F.coalesce(F.nullif(trimmed(F.col("filed_at")), F.lit("")), F.lit(now)))
 
 
+def absorbable_drawers(records: DataFrame, now: str) -> DataFrame:
+    """The records that an import takes as drawers, with their ids."""
+    return _absorbable(records, "content", now).withColumn("id", ids.drawer_id(*map(F.col, DRAWER_KEY)))
+
+
 def absorb(drawers: DataFrame, records: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """(drawers, one row with the rows taken) after an import: contents verbatim, blank wings, rooms or contents left out, what
     waits for a vector or has one unchanged."""
-    good = _absorbable(records, "content", now)
-    good = good.withColumn("id", ids.drawer_id(*map(F.col, DRAWER_KEY)))
+    good = absorbable_drawers(records, now)
     return keep_latest(drawers, good, ["team_id", "id"], keep=("embedded_at",), order=("filed_at",)), good.agg(F.count("*").alias("taken"))
 
 

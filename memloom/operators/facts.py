@@ -19,10 +19,10 @@ def end_key(value: Column) -> Column:
     return F.when(F.length(value) == 10, F.concat(value, F.lit("T23:59:59Z"))).otherwise(value)
 
 
-def in_effect(as_of: str, valid_from: Column = None, valid_to: Column = None) -> Column:
+def in_effect(as_of: str | Column, valid_from: Column = None, valid_to: Column = None) -> Column:
     """Whether a fact holds at as_of; a day stands for its first second."""
     begin, end = (F.col("valid_from") if valid_from is None else valid_from), (F.col("valid_to") if valid_to is None else valid_to)
-    at = start_key(F.lit(as_of))
+    at = start_key(as_of if isinstance(as_of, Column) else F.lit(as_of))
     return ((begin == "") | (start_key(begin) <= at)) & ((end == "") | (end_key(end) >= at))
 
 
@@ -70,6 +70,42 @@ def query(facts: DataFrame, entity: str, as_of: str | None = None, direction: st
     return found.where(in_effect(as_of)) if as_of else found
 
 
+#: Days that are told apart, from FIRST_DAY on; a power of two. Earlier and later ones count as the first and the last of them.
+DAYS, FIRST_DAY = 1 << 17, "1800-01-01"
+
+
+def _day(value: Column, unbounded: int) -> Column:
+    number = F.datediff(F.to_date(F.substring(value, 1, 10)), F.to_date(F.lit(FIRST_DAY)))
+    return F.when(value == "", F.lit(unbounded)).otherwise(F.greatest(F.lit(0), F.least(F.lit(DAYS - 1), number)))
+
+
+def _covering(first: Column, last: Column) -> Column:
+    """The fewest nodes of a binary tree over the days that make up first .. last; there are two of a size at most."""
+
+    def step(s: Column, _: Column) -> Column:
+        low, high = s["low"], s["high"]
+        left = F.when((low < high) & (low % 2 == 1), F.array(low)).otherwise(F.array().cast("array<int>"))
+        right = F.when((low < high) & (high % 2 == 1), F.array(high - 1)).otherwise(F.array().cast("array<int>"))
+        return F.struct(((low + 1) / 2).cast("int").alias("low"), (high / 2).cast("int").alias("high"), F.concat(s["nodes"], left, F.filter(right, lambda n: ~F.array_contains(left, n))).alias("nodes"))
+
+    begin = F.struct((first + DAYS).cast("int").alias("low"), (last + DAYS + 1).cast("int").alias("high"), F.array().cast("array<int>").alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DAYS.bit_length())), begin, step, lambda s: s["nodes"])
+
+
+def in_effect_for(facts: DataFrame, questions: DataFrame, side: str = "subject") -> DataFrame:
+    """(question_id, and the columns of facts): for each of any number of questions (question_id, entity, as_of) the facts with that
+    entity on a side that hold then. A fact is dealt to the nodes of a tree of days that make up its time, a question to the nodes
+    above its day, and they meet in one node at most: an equi-join on entity and node, which also parts the facts of a hot
+    entity by time. The bounds themselves are asked last. A null or ill-formed as_of has no facts."""
+    at = temporal(F.col("as_of"))
+    asked = questions.where(at.isNotNull() & (at != "")).select("question_id", entity_id(F.col("entity")).alias("__e"), at.alias("__at"))
+    above = F.transform(F.sequence(F.lit(0), F.lit(DAYS.bit_length() - 1)), lambda k: F.floor((_day(F.col("__at"), 0) + DAYS) / F.pow(F.lit(2.0), k)).cast("int"))
+    asked = asked.withColumn("__n", F.explode(above))
+    name = F.col(f"{side}_id") if f"{side}_id" in facts.columns else entity_id(F.col(side))
+    known = facts.withColumns({"__e": name, "__n": F.explode(_covering(_day(F.col("valid_from"), 0), _day(F.col("valid_to"), DAYS - 1)))})
+    return asked.join(known, ["__e", "__n"]).where(in_effect(F.col("__at"))).select("question_id", *facts.columns)
+
+
 def timeline(facts: DataFrame, entity: str | None = None) -> DataFrame:
     """The first MOST_TIMELINE facts (of an entity, on either side) by start, undated ones last."""
     kept = facts

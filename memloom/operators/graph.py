@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.ids import hallway_id, tunnel_id
+from memloom.sources.buckets import BucketTable
 from memloom.sources.shared import kept
 
 LEAST_TOGETHER, MOST_NODES, TOP_TUNNELS, MOST_HOPS, USUAL_HOPS = 2, 50, 10, 10, 2
@@ -69,16 +70,24 @@ def traverse(drawers: DataFrame, start: str, hops: int = USUAL_HOPS) -> DataFram
     return graph.join(seen, "room").select("room", "wings", "drawers", "hop", F.coalesce("via", F.array().cast("array<string>")).alias("connected_via")).orderBy("hop", F.desc("drawers"), "room").limit(MOST_NODES)
 
 
-def hallways(drawers: DataFrame, prior: DataFrame | None = None, now: str = "") -> DataFrame:
-    """(wing, entity_a, entity_b, together, rooms, id, label, ...): pairs of entities in LEAST_TOGETHER drawers or more of a
-    wing. A pair that was in prior (wing, entity_a, entity_b, strength, stability, last_active, uses) keeps those figures.
-    A drawer has at most a few tens of entities, so its pairs are bounded."""
+def entity_pairs(drawers: DataFrame, *more: str) -> DataFrame:
+    """(wing, room, entity_a, entity_b, and more columns) of every two entities of a drawer, which has a few tens at most."""
     entities = F.sort_array(F.array_distinct(F.filter("entities", lambda e: F.trim(e) != "")))
-    own = drawers.select("wing", "room", entities.alias("e")).where(F.size("e") >= 2)
-    pairs = own.select("wing", "room", "e", F.posexplode("e").alias("i", "entity_a")).select("wing", "room", "entity_a", F.explode(F.expr("slice(e, i + 2, size(e))")).alias("entity_b"))
-    found = pairs.groupBy("wing", "entity_a", "entity_b").agg(F.count("*").alias("together"), F.sort_array(F.collect_set(F.nullif("room", F.lit("")))).alias("rooms")).where(F.col("together") >= LEAST_TOGETHER)
+    own = drawers.select("wing", "room", *more, entities.alias("e")).where(F.size("e") >= 2)
+    firsts = own.select("wing", "room", *more, "e", F.posexplode("e").alias("i", "entity_a"))
+    return firsts.select("wing", "room", *more, "entity_a", F.explode(F.expr("slice(e, i + 2, size(e))")).alias("entity_b"))
+
+
+def _described(found: DataFrame) -> DataFrame:
     label = F.concat("entity_a", F.lit(" ↔ "), "entity_b", F.lit(" (co-occur in "), F.col("together").cast("string"), F.lit(" drawers across "), F.size("rooms").cast("string"), F.lit(" rooms: "), F.array_join("rooms", ", "), F.lit(")"))
-    found = found.withColumns({"id": hallway_id(F.col("wing"), F.col("entity_a"), F.col("entity_b")), "label": label})
+    return found.withColumns({"id": hallway_id(F.col("wing"), F.col("entity_a"), F.col("entity_b")), "label": label})
+
+
+def hallways(drawers: DataFrame, prior: DataFrame | None = None, now: str = "") -> DataFrame:
+    """(wing, entity_a, entity_b, together, rooms, id, label, ...): pairs of entities in LEAST_TOGETHER drawers or more of a
+    wing. A pair that was in prior (wing, entity_a, entity_b, strength, stability, last_active, uses) keeps those figures."""
+    found = entity_pairs(drawers).groupBy("wing", "entity_a", "entity_b").agg(F.count("*").alias("together"), F.sort_array(F.collect_set(F.nullif("room", F.lit("")))).alias("rooms")).where(F.col("together") >= LEAST_TOGETHER)
+    found = _described(found)
     start = {"strength": F.lit(1.0), "stability": F.lit(1.0), "last_active": F.lit(now), "uses": F.lit(0).cast("long")}
     if prior is None:
         return found.withColumns(start)
@@ -87,6 +96,37 @@ def hallways(drawers: DataFrame, prior: DataFrame | None = None, now: str = "")
     return joined.withColumns({c: F.coalesce("__" + c, v) for c, v in start.items()}).drop(*("__" + c for c in start))
 
 
+#: A maintained table of pairs: how many drawers of a room hold both entities.
+PAIR, PAIR_COUNTS = ["wing", "entity_a", "entity_b"], "wing string, entity_a string, entity_b string, room string, n long"
+
+
+def pair_table(spark: SparkSession, path: str, buckets: int = 256) -> BucketTable:
+    """An empty table of pairs, a pair's rooms in one bucket."""
+    return BucketTable.create(spark, path, spark.createDataFrame([], PAIR_COUNTS).schema, [*PAIR, "room"], buckets, by=PAIR)
+
+
+def apply_drawers(table: BucketTable, batch: str, added: DataFrame, removed: DataFrame | None = None) -> int:
+    """Takes drawers (wing, room, entities) that came and went into a table of pairs, once for each batch; only the buckets of
+    their pairs are read and written. Drawers that are removed have to be there. Returns the version."""
+    signed = added.select("wing", "room", "entities", F.lit(1).alias("sign"))
+    if removed is not None:
+        signed = signed.unionByName(removed.select("wing", "room", "entities", F.lit(-1).alias("sign")))
+    sums = lambda rows: rows.groupBy(*PAIR, "room").agg(F.sum("n").alias("n")).where("n <> 0")
+    deltas = sums(entity_pairs(signed, "sign").select(*PAIR, F.coalesce("room", F.lit("")).alias("room"), F.col("sign").cast("long").alias("n")))
+
+    def change(old: DataFrame, new: DataFrame) -> DataFrame:
+        checked = F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("a drawer that isn't there was removed")).cast("long"))
+        return sums(old.unionByName(new)).withColumn("n", checked)
+
+    return table.change(batch, deltas, change)
+
+
+def maintained_hallways(pairs: DataFrame) -> DataFrame:
+    """The hallways of a table of pairs, or of some of its buckets: what `hallways` gives for the drawers that are there."""
+    rooms = F.sort_array(F.collect_set(F.nullif("room", F.lit(""))))
+    return _described(pairs.groupBy(*PAIR).agg(F.sum("n").alias("together"), rooms.alias("rooms")).where(F.col("together") >= LEAST_TOGETHER))
+
+
 def entity_tunnels(halls: DataFrame) -> DataFrame:
     """(id, source_wing, target_wing, room, label): one for each entity and unordered pair of wings where it has hallways."""
     where = halls.select("wing", F.explode(F.array("entity_a", "entity_b")).alias("entity")).distinct()

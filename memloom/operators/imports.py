@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memloom.operators import drawers as dw
 from memloom.operators import facts as kg
 from memloom.operators import graph
+from memloom.sources.buckets import BucketTable
 
 DRAWER_KINDS = ("drawer", "diary")
 
@@ -37,3 +38,9 @@ def routed(records: DataFrame, tables: dict[str, DataFrame], team: str, now: str
 def rebuilt(tables: dict[str, DataFrame], halls: DataFrame, now: str = "") -> tuple[DataFrame, DataFrame]:
     """(hallways, entity tunnels) after an import that asked for it: all wings, none pruned."""
     return graph.recompute(tables["drawers"], halls, now=now)
+
+
+def absorb_into(table: BucketTable, batch: str, records: DataFrame, now: str) -> int:
+    """The rows of `drawers.absorb`, merged into a stored table of drawers once for each batch; only the buckets that they fall in are
+    read and written. For streams: in foreachBatch, with a batch named by its number."""
+    return table.merge(batch, dw.absorbable_drawers(records, now), keep=("embedded_at",), order=("filed_at",))
