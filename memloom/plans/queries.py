@@ -241,6 +241,31 @@ def _(s, d):
     return retrieval.nearest_units(vectors.unit_index(view(s, d, "vectors")), TEAM, query_vector(s, d), 20).select("id", F.round("score", 5).alias("score"))
 
 
+@register("s17_synced_index", "select id, round(sqrt(list_sum(list_transform(vec, lambda x: x::double * x::double))), 6) as norm from vectors", ("vectors",))
+def _(s, d):
+    """An index that lacks some vectors, has others wrong and some that went, after one sync over all namespaces."""
+    rows = view(s, d, "vectors")
+    index = vectors.index_table(s, scratch(s, "index"), buckets=16)
+    stale = rows.where("doc_id % 4 <> 0").withColumn("vec", F.when(F.col("doc_id") % 4 == 1, F.transform("vec", lambda v: v + 1)).otherwise(F.col("vec")))
+    vectors.sync_by_digests(stale.unionByName(rows.where("doc_id % 4 = 3").withColumn("id", F.concat(F.lit("old-"), "id"))), index, "before")
+    vectors.sync_by_digests(rows, index, "now", recreate=True)
+    both = index.read().join(rows, ["namespace", "id"], "left")
+    return both.select("id", F.round(F.aggregate(F.zip_with("vec", "unit", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x), 6).alias("norm"))
+
+
+@register("s9_ordered_bundle", "select count(*) filter (where doc_id <= last) as records, string_agg(distinct case when doc_id <= last then 'drawer' end, ',') as kinds, max(doc_id) filter (where doc_id <= last)::varchar as last_room, 'not a record' as reason from documents, (select max(doc_id) // 2 as last from documents)")
+def _(s, d):
+    """A bundle of all documents in order of doc_id, in several files, with a line in the middle that is no record: what lies before it."""
+    rows = read(s, d, "documents").select("doc_id", F.to_json(F.struct(F.lit("drawer").alias("kind"), F.col("lang").alias("wing"), F.col("doc_id").cast("string").alias("room"), F.col("text").alias("content"))).alias("line"))
+    middle = rows.agg(F.max("doc_id")).first()[0] // 2
+    broken = rows.unionByName(rows.where(F.col("doc_id") == middle + 1).select("doc_id", F.lit('{"kind": "drawer", ').alias("line"))).withColumn("bad", (F.col("line") != '{"kind": "drawer", ').cast("int"))
+    folder = scratch(s, "bundle")
+    broken.repartitionByRange(4, "doc_id", "bad").sortWithinPartitions("doc_id", "bad").select("line").write.text(folder)
+    taken, report = bundles.ordered_bundle(s, folder)
+    found = taken.agg(F.count("*").alias("records"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.max(F.col("room").cast("long")).cast("string").alias("last_room"))
+    return found.crossJoin(report.select("reason"))  # one row each
+
+
 @register("w21_removed_member", "select c_custkey as key_id, case when c_custkey % 5 = 2 and c_custkey % 2 = 0 then null when c_custkey % 5 = 2 then 'now' when c_custkey % 2 = 1 then null else 'then' end as revoked_at from customer where c_custkey % 5 <> 2 or c_custkey % 2 = 1 union all select c_custkey, 'then' from customer where c_custkey % 5 = 2 and c_custkey % 2 = 0")
 def _(s, d):
     """A user's keys of the team that still hold are revoked with the membership; others stay as they are."""

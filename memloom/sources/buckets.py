@@ -9,7 +9,8 @@ Batches have ids, which commits remember: a batch that comes again changes nothi
 the table as it was then, whatever is written meanwhile. The number of buckets is fixed when a table is made, which bounds a commit.
 
 Defined cases: of rows that repeat a key the last by `order` counts, then the greatest; an empty batch is a commit without
-changes; null keys are a key like any other; columns that a table doesn't have are left out, missing ones are null.
+changes; null keys are a key like any other; columns that a table doesn't have are left out, missing ones are null,
+and values are cast to the table's types.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class BucketTable:
         hit = sorted(r.b for r in rows.select(self.bucket().alias("b")).distinct().collect())  # numbers of buckets
         version, held = last["version"] + 1, dict(last["held"])
         if hit:
-            new = change(self._read(held, hit), rows).select(*self.schema.names).withColumn("bucket", self.bucket())
+            new = change(self._read(held, hit), rows).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields)).withColumn("bucket", self.bucket())
             folder = f"{self.path}/data/version={version}"
             new.repartition(len(hit), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
             fs, place = _file_system(self.spark, folder)

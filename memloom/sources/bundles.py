@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = (
@@ -18,6 +18,43 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("_corrupt_record").isNull() & F.col("kind").isin(*KINDS), F.col("kind")).otherwise("skipped")).drop("_corrupt_record")
 
 
+#: Fixed value: the bytes of a bundle that are read at most.
+MOST_BYTES = 256 << 20
+
+
+def ordered_bundle(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(rows, report) of a bundle that is read in order, file by file and line by line, up to the first line that isn't a JSON object or the
+    line in which most_bytes are passed: what lies before that is kept, what follows isn't, however the files are split.
+
+    rows are those of `read_bundle` before that place; the report is one row (records, bytes, bad_file, bad_line, reason), the last three null
+    where all was read, bad_line being the line as it stands. Blank lines are no records.
+
+    A line's place is its file, the start of its split and a number that grows within the split, so lines are never sorted: the first
+    bad place is a minimum, and bytes are summed for each split before they are for the lines of the one split that passes the bound."""
+    place = F.struct("file", "block", "at")
+    read = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = read.withColumns({"at": F.monotonically_increasing_id(), "size": F.octet_length("value") + 1})
+    parsed = lines.withColumn("r", F.from_json("value", RECORD + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    blank = F.trim("value") == ""
+    wrong = ~blank & (F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | ~F.ltrim("value").startswith("{"))
+    # the split in which the bound is passed, from one row for each split
+    blocks = lines.groupBy("file", "block").agg(F.sum("size").alias("own")).withColumn("before", F.sum("own").over(Window.orderBy("file", "block")) - F.col("own"))
+    crossed = blocks.where((F.col("before") <= most_bytes) & (F.col("before") + F.col("own") > most_bytes)).orderBy("file", "block").limit(1)
+    inside = lines.join(F.broadcast(crossed), ["file", "block"]).withColumn("till", F.col("before") + F.sum("size").over(Window.partitionBy("file", "block").orderBy("at")))  # one split
+    over = inside.where(F.col("till") > most_bytes).agg(F.min(F.struct("file", "block", "at", "value")).alias("p")).where("p is not null").select("p", F.lit("too many bytes").alias("reason"))
+    bad = parsed.where(wrong).agg(F.min(F.struct("file", "block", "at", "value")).alias("p")).where("p is not null").select("p", F.lit("not a record").alias("reason"))
+    first = over.unionByName(bad).orderBy("p").limit(1).collect()  # one row at most
+    good = parsed.where(~blank)
+    if first:
+        p = first[0].p
+        good = good.where(place < F.struct(F.lit(p.file).alias("file"), F.lit(p.block).alias("block"), F.lit(p.at).alias("at")))
+    rows = good.select("r.*", "size").withColumn("kind", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("skipped")).drop("_corrupt_record")
+    at = (first[0].p.file, first[0].p.value, first[0].reason) if first else (None, None, None)
+    names = ("bad_file", "bad_line", "reason")
+    report = rows.agg(F.count("*").alias("records"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes")).select("*", *(F.lit(v).cast("string").alias(n) for n, v in zip(names, at, strict=True)))
+    return rows.drop("size"), report
+
+
 def of_kind(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(F.col("kind") == kind)
 

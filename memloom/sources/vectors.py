@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.functions.vectors import norm
 from memloom.operators.drawers import keep_latest, without
+from memloom.sources.buckets import BucketTable
 from memloom.sources.shared import kept
 
 
@@ -62,3 +63,34 @@ def sync(vectors: DataFrame, index: str, recreate: bool = False) -> DataFrame:
             spark._jvm.org.slf4j.LoggerFactory.getLogger("memloom").warn(f"index of {row.namespace}: {error}")
             out.append((row.namespace, True))
     return spark.createDataFrame(out, "namespace string, failed boolean")
+
+
+def index_table(spark: SparkSession, path: str, buckets: int = 256) -> BucketTable:
+    """An empty index of unit vectors by buckets, which `sync_by_digests` keeps."""
+    return BucketTable.create(spark, path, spark.createDataFrame([], "namespace string, id string, unit array<float>").schema, ["namespace", "id"], buckets)
+
+
+def sync_by_digests(vectors: DataFrame, index: BucketTable, batch: str, recreate: bool = False) -> DataFrame:
+    """(namespace, put, gone): brings an index by buckets up to vectors, all namespaces at once, and says what was written of each. With
+    recreate, what the truth no longer has goes. Both sides are summed up to a count and a digest for each bucket; only rows of
+    buckets that differ are compared, and only buckets with changes are written, in one commit, so a sync fails or comes whole."""
+    fresh = unit_index(vectors)
+
+    def digests(rows: DataFrame, name: str) -> DataFrame:
+        one = F.xxhash64("namespace", "id", "unit").cast("decimal(38,0)")
+        return rows.groupBy(index.bucket().alias("bucket")).agg(F.struct(F.count("*").alias("n"), F.sum(one).alias("d")).alias(name))
+
+    there = index.read()
+    sides = digests(fresh, "a").join(digests(there, "b"), "bucket", "full_outer")
+    differ = [r.bucket for r in sides.where(~F.col("a").eqNullSafe(F.col("b"))).select("bucket").collect()]  # numbers of buckets
+    own = lambda rows: rows.where(index.bucket().isin(differ))
+    same = ["namespace", "id", "unit"]
+    put = own(fresh).join(own(there), same, "left_anti").withColumn("gone", F.lit(False))
+    gone = own(there).join(own(fresh), ["namespace", "id"], "left_anti").withColumn("gone", F.lit(True)) if recreate else put.limit(0)
+    changes = kept(put.select(*same, "gone").unionByName(gone.select(*same, "gone")))
+
+    def change(old: DataFrame, new: DataFrame) -> DataFrame:
+        return without(old, new, ["namespace", "id"]).unionByName(new.where(~F.col("gone")).select(*old.columns))
+
+    index.change(batch, changes, change)
+    return changes.groupBy("namespace").agg(F.count_if(~F.col("gone")).alias("put"), F.count_if("gone").alias("gone"))
