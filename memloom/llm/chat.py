@@ -55,16 +55,20 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     said = turns.where(F.col(conv).isNotNull()).select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
     rows = numbered(said, part_turns)
     speakers = said.where(~F.col("role").isin(*FIXED)).select("conv_id", F.col("role").alias("perspective")).distinct()
+    # where each part begins is worked out on numbers alone, so the texts of a long conversation never meet in one task
     as_other = F.length(_opening(F.col("role"), F.lit(None).cast("string")))
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.sum(as_other + F.length("text") + len(END)).alias("size"))  # part_turns at most
+    sizes = rows.groupBy("conv_id", "part").agg(F.sum(as_other + F.length("text") + len(END)).alias("size"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("size").over(earlier.partitionBy("conv_id")), F.lit(0)))
+    bases = sizes.select("conv_id", "part", F.coalesce(F.sum("size").over(earlier.partitionBy("conv_id")), F.lit(0)).alias("base"))
     own = rows.where("role is not null").groupBy("conv_id", "part", F.col("role").alias("perspective")).agg(F.count("*").alias("own"))
-    views = parts.join(speakers, "conv_id").join(own, ["conv_id", "part", "perspective"], "left")
+    places = bases.join(speakers, "conv_id").join(own, ["conv_id", "part", "perspective"], "left")
     # a speaker's own turns open as the assistant's, so they are shorter or longer than as a named user's
     own_before = F.coalesce(F.sum("own").over(earlier.partitionBy("conv_id", "perspective")), F.lit(0))
     change = F.length(_opening(F.col("perspective"), F.col("perspective"))) - F.length(_opening(F.col("perspective"), F.lit(None).cast("string")))
-    views = views.withColumn("from", F.col("base") + own_before * change)
+    places = places.select("conv_id", "part", F.struct("perspective", (F.col("base") + own_before * change).alias("from")).alias("place"))
+    places = places.groupBy("conv_id", "part").agg(F.collect_list("place").alias("places"))  # the participants
+    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))  # part_turns at most
+    views = parts.join(places, ["conv_id", "part"]).select("conv_id", "part", "turns", F.explode("places").alias("place")).select("conv_id", "part", "turns", "place.*")
     pieces = F.transform("turns", lambda t: F.struct(_opening(t["role"], F.col("perspective")).alias("opening"), (F.col("perspective").eqNullSafe(t["role"])).alias("own"), F.concat(t["text"], F.lit(END)).alias("body")))
     views = views.withColumn("pieces", pieces)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
