@@ -33,7 +33,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from memloom.llm.common import held
 
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 64, 48, 8, 8, 8
-SAMPLE, SAMPLE_CHARS, LEAST_DOCS, ROUNDS, BATCH, RATE, DECAY, SEED = 4000, 20_000, 20, 6, 128, 0.01, 0.02, 7
+SAMPLE, SAMPLE_CHARS, LEAST_DOCS, ROUNDS, BATCH, RATE, DECAY, SEED = 4000, 20_000, 5, 6, 128, 0.01, 0.02, 7
 #: Small samples take more rounds, for this many steps at least, and count words of fewer documents.
 LEAST_STEPS = 100
 MOST_TRIGRAMS, ACCEPT = 16, 0.7
