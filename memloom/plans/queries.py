@@ -241,6 +241,21 @@ def _(s, d):
     return retrieval.nearest_units(vectors.unit_index(view(s, d, "vectors")), TEAM, query_vector(s, d), 20).select("id", F.round("score", 5).alias("score"))
 
 
+@register("s13_versioned_archive", f"select 'drawers' as tbl, id, content from drawers where team_id = '{TEAM}' union all select 'vectors', id, '' from vectors where namespace = '{TEAM}'", ("drawers", "vectors"))
+def _(s, d):
+    """An archive of two stored tables as of versions that later writes don't show in, read back against its manifest."""
+    rows, points = view(s, d, "drawers").select("team_id", "id", "content"), view(s, d, "vectors").select("namespace", "id", "vec")
+    tables = {"drawers": (BucketTable.create(s, scratch(s, "drawers"), rows.schema, ["team_id", "id"], 8), "team"), "vectors": (BucketTable.create(s, scratch(s, "vectors"), points.schema, ["namespace", "id"], 8), "namespace")}
+    tables["drawers"][0].merge("all", rows)
+    tables["vectors"][0].merge("all", points)
+    at = bundles.versions_of(tables)
+    tables["vectors"][0].delete("later", points.where(F.substring("id", 1, 1) < "8"))
+    folder = scratch(s, "archive")
+    bundles.write_archive(tables, TEAM, "user", folder, at)
+    read_ = bundles.read_archive(s, folder)
+    return read_["drawers"].select(F.lit("drawers").alias("tbl"), "id", "content").unionByName(read_["vectors"].select(F.lit("vectors").alias("tbl"), "id", F.lit("").alias("content")))
+
+
 @register("s17_synced_index", "select id, round(sqrt(list_sum(list_transform(vec, lambda x: x::double * x::double))), 6) as norm from vectors", ("vectors",))
 def _(s, d):
     """An index that lacks some vectors, has others wrong and some that went, after one sync over all namespaces."""

@@ -62,8 +62,9 @@ class BucketTable:
         return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows as of a version, by default the last."""
-        return self._read((self._last() if version is None else self.commit_of(version))["held"])
+        """The rows as of a version, by default the last; version 0 is the empty table."""
+        commit = self._last() if version is None else self.commit_of(version) if version else {"held": {}}
+        return self._read(commit["held"])
 
     def rewritten(self, version: int) -> DataFrame:
         """The rows, as of a version, of the buckets that its commit wrote."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memloom.sources.buckets import BucketTable
+
 RECORD = (
     "kind string, wing string, room string, source_file string, chunk_index int, content string, document string, entities array<string>, filed_at string, content_date string, agent string, topic string, "
     "subject string, predicate string, object string, valid_from string, valid_to string, source_wing string, source_room string, target_wing string, target_room string, label string, total long"
@@ -136,6 +140,40 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def write_archive(parts: dict[str, DataFrame], folder: str) -> None:
-    for name, rows in parts.items():
+def _digest(rows: DataFrame) -> tuple[Column, Column]:
+    """How many rows there are, and a number that all of them make, in any order."""
+    return F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")
+
+
+def versions_of(tables: dict[str, tuple[BucketTable, str]]) -> dict[str, int]:
+    """The last version of each of some stored tables: what an archive is read at, whatever is written while it is made."""
+    return {name: table.versions()[-1] if table.versions() else 0 for name, (table, _) in tables.items()}
+
+
+def write_archive(tables: dict[str, tuple[BucketTable, str]], team: str, user: str, folder: str, at: dict[str, int] | None = None) -> DataFrame:
+    """Writes a tenant's archive of stored tables (name to table and scope), all as of the versions in `at`, by default the last ones now, and
+    beside it a manifest of one row for each table (name, version, rows, digest), which comes last: an archive without one is not whole."""
+    at = at or versions_of(tables)
+    frames = {name: (table.read(at[name]), scope) for name, (table, scope) in tables.items()}
+    for name, rows in archive(frames, team, user).items():
         rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark = next(iter(tables.values()))[0].spark
+    parts = []
+    for name in tables:  # the tables of an archive are a fixed few
+        rows = spark.read.parquet(f"{folder}/{name}")
+        parts.append(rows.agg(*_digest(rows)).select(F.lit(name).alias("name"), F.lit(at[name]).alias("version"), "rows", "digest"))
+    manifest = reduce(DataFrame.unionByName, parts)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    return spark.read.schema("name string, version int, rows long, digest string").json(f"{folder}/manifest")
+
+
+def read_archive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an archive; one whose rows aren't those of its manifest is an error."""
+    out = {}
+    for line in spark.read.schema("name string, version int, rows long, digest string").json(f"{folder}/manifest").collect():  # a fixed few
+        rows = spark.read.parquet(f"{folder}/{line.name}")
+        found = rows.agg(*_digest(rows)).first()
+        if (found.rows, found.digest) != (line.rows, line.digest):
+            raise ValueError(f"{line.name} isn't what its manifest says")
+        out[line.name] = rows
+    return out

@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 from memloom.sources import bundles, vectors
+from memloom.sources.buckets import BucketTable
 
 
 def written(folder, files):
@@ -68,3 +71,20 @@ def test_sync_writes_only_what_differs(spark, tmp_path):
     assert {tuple(r) for r in vectors.sync_by_digests(frame(), index, "d", recreate=True).collect()} == {("n1", 0, 1)} and gone
     want = vectors.unit_index(frame())
     assert sorted(map(repr, index.read().collect())) == sorted(map(repr, want.select("namespace", "id", "unit").collect()))
+
+
+def test_an_archive_is_of_one_version_and_checked(spark, tmp_path):
+    users = spark.createDataFrame([("u1", "a@x", "hash1", "tok"), ("u2", "b@x", "hash2", "tok")], "id string, email string, password_hash string, token_hash string")
+    notes = spark.createDataFrame([("t", "n1"), ("t", "n2"), ("other", "n3")], "team_id string, id string")
+    tables = {"users": (BucketTable.create(spark, str(tmp_path / "users"), users.schema, ["id"], 4), "user_row"), "notes": (BucketTable.create(spark, str(tmp_path / "notes"), notes.schema, ["id"], 4), "team"), "empty": (BucketTable.create(spark, str(tmp_path / "empty"), notes.schema, ["id"], 4), "team")}
+    tables["users"][0].merge("a", users)
+    tables["notes"][0].merge("a", notes)
+    at = bundles.versions_of(tables)
+    tables["notes"][0].merge("b", spark.createDataFrame([("t", "late")], notes.schema))  # between two tables
+    manifest = bundles.write_archive(tables, "t", "u1", str(tmp_path / "archive"), at)
+    assert {(r.name, r.version, r.rows) for r in manifest.collect()} == {("users", 1, 1), ("notes", 1, 2), ("empty", 0, 0)}
+    parts = bundles.read_archive(spark, str(tmp_path / "archive"))
+    assert [tuple(r) for r in parts["users"].collect()] == [("u1", "a@x", "", "u1")] and sorted(r.id for r in parts["notes"].collect()) == ["n1", "n2"]
+    spark.createDataFrame([("t", "n1"), ("t", "n9")], notes.schema).write.mode("overwrite").parquet(str(tmp_path / "archive" / "notes"))
+    with pytest.raises(ValueError, match="notes"):
+        bundles.read_archive(spark, str(tmp_path / "archive"))
