@@ -213,24 +213,31 @@ def apart_links(known: DataFrame, grouped: DataFrame) -> DataFrame:
 
     Most shingles are one text's own, so keys are counted first and only those that come again are dealt out with their rows;
     of these, keys that only one group has go next. Where a shingle is the first that two texts share, no more than what follows
-    it in both is shared, so a key whose place is too late for both sizes is no candidate; this is asked of whole groups first,
-    then of their rows. Of rows the parities are compared too: similar sets differ in a ninth of both their sizes at most."""
+    it in both is shared, so a key whose place is too late for both sizes is no candidate. Keys are asked of whole groups, so a pair of
+    groups comes once however many keys and texts share them; then each text of the smaller group meets those of the larger one, by their sizes
+    and parities: similar sets differ in a ninth of both their sizes at most. So a pair of texts comes once, and the join on hot
+    groups is one that can be split."""
     every = known.select(F.col("doc_id").alias("rep"), "size", F.posexplode("firsts").alias("at", "key")).select("key", "rep", "size", (F.col("size") - F.col("at")).alias("rest"))
     again = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rows = stored(every.join(again, "key", "left_semi").join(grouped.select("rep", "group").distinct(), "rep"), "rows")
     several = rows.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
     rows = stored(rows.join(several, "key", "left_semi").distinct(), "rows")
     groups = rows.groupBy("key", "group").agg(F.min("size").alias("size"), F.max("rest").alias("rest"))
-    may = lambda x, y: (1 + SIMILAR) * F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest")) >= SIMILAR * (F.col(f"{x}.size") + F.col(f"{y}.size")) - 1e-6
-    met = groups.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & may("x", "y"))
-    met = met.select(F.col("x.key").alias("key"), F.col("x.group").alias("left"), F.col("y.group").alias("right"))
+    may = (1 + SIMILAR) * F.least(F.col("x.rest"), F.col("y.rest")) >= SIMILAR * (F.col("x.size") + F.col("y.size")) - 1e-6
+    met = groups.alias("x").join(groups.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & may)
+    met = met.groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h")).agg(F.count("*").alias("n")).drop("n")
     words = [f"p{k}" for k in range(PARITY_WORDS)]
-    rows = rows.join(known.select(F.col("doc_id").alias("rep"), "size", *(F.get("parity", F.lit(k)).alias(p) for k, p in enumerate(words))).distinct(), ["rep", "size"])
+    bits = known.select(F.col("doc_id").alias("rep"), "size", *(F.get("parity", F.lit(k)).alias(p) for k, p in enumerate(words))).distinct()
+    members = stored(rows.select("rep", "size", "group").distinct().join(bits, ["rep", "size"]), "members")
+    counts = members.groupBy("group").agg(F.count("*").alias("n"))
+    met = met.join(counts.select(F.col("group").alias("g"), F.col("n").alias("ng")), "g").join(counts.select(F.col("group").alias("h"), F.col("n").alias("nh")), "h")
+    swap = F.col("nh") < F.col("ng")
+    sides = met.select(F.when(swap, F.col("h")).otherwise(F.col("g")).alias("group"), F.when(swap, F.col("g")).otherwise(F.col("h")).alias("other"))
+    lefts = sides.join(members, "group").drop("group").withColumnRenamed("other", "group")
     apart = reduce(add, (F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in words))
     # of sizes x + y, sets of similarity s differ in (1 - s) / (1 + s) of them at most
-    alike = (1 + SIMILAR) * apart <= (1 - SIMILAR) * (F.col("x.size") + F.col("y.size")) + 1e-6
-    lefts = met.join(rows.withColumnRenamed("group", "left"), ["key", "left"]).alias("x")
-    return lefts.join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.right") == F.col("y.group")) & may("x", "y") & alike).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
+    alike = (SIMILAR * F.greatest("x.size", "y.size") <= F.least("x.size", "y.size") + 1e-6) & ((1 + SIMILAR) * apart <= (1 - SIMILAR) * (F.col("x.size") + F.col("y.size")) + 1e-6)
+    return lefts.alias("x").join(members.alias("y"), (F.col("x.group") == F.col("y.group")) & alike).select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
