@@ -103,7 +103,8 @@ def in_effect_for(facts: DataFrame, questions: DataFrame, side: str = "subject")
     asked = asked.withColumn("__n", F.explode(above))
     name = F.col(f"{side}_id") if f"{side}_id" in facts.columns else entity_id(F.col(side))
     known = facts.withColumns({"__e": name, "__n": F.explode(_covering(_day(F.col("valid_from"), 0), _day(F.col("valid_to"), DAYS - 1)))})
-    return asked.join(known, ["__e", "__n"]).where(in_effect(F.col("__at"))).select("question_id", *facts.columns)
+    # merged: sizes are guessed from before the nodes, some ten times too small, so a side that isn't small would be broadcast through the driver
+    return asked.join(known.hint("merge"), ["__e", "__n"]).where(in_effect(F.col("__at"))).select("question_id", *facts.columns)
 
 
 def timeline(facts: DataFrame, entity: str | None = None) -> DataFrame:
