@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +34,11 @@ def similarity(distance_: Column) -> Column:
 
 def byte_histogram(text: Column) -> Column:
     """A stand-in embedding of 32 numbers: how many bytes of the UTF-8 text have each value modulo 32."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), 1)
-    slots = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") % 32)
-    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+
+    @F.pandas_udf("array<float>")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.bincount(np.frombuffer(t, np.uint8) & 31, minlength=32).astype(np.float32) for t in texts], index=texts.index, dtype=object)
+
+    none = F.array_repeat(F.lit(None).cast("float"), 32)
+    return F.when(text.isNull(), none).otherwise(counts(F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))))
