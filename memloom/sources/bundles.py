@@ -26,9 +26,9 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
 MOST_BYTES = 256 << 20
 
 
-def ordered_bundle(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+def ordered_bundle(spark: SparkSession, path: str, most_bytes: int | None = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(rows, report) of a bundle that is read in order, file by file and line by line, up to the first line that isn't a JSON object or the
-    line in which most_bytes are passed: what lies before that is kept, what follows isn't, however the files are split.
+    line in which most_bytes (None: no bound) are passed: what lies before that is kept, what follows isn't, however the files are split.
 
     rows are those of `read_bundle` before that place; the report is one row (records, bytes, bad_file, bad_line, reason), the last three null
     where all was read, bad_line being the line as it stands. Blank lines are no records.
@@ -42,12 +42,13 @@ def ordered_bundle(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES)
     blank = F.trim("value") == ""
     wrong = ~blank & (F.col("r").isNull() | F.col("r._corrupt_record").isNotNull() | ~F.ltrim("value").startswith("{"))
     # the split in which the bound is passed, from one row for each split
+    bound = F.lit(most_bytes)
     blocks = lines.groupBy("file", "block").agg(F.sum("size").alias("own")).withColumn("before", F.sum("own").over(Window.orderBy("file", "block")) - F.col("own"))
-    crossed = blocks.where((F.col("before") <= most_bytes) & (F.col("before") + F.col("own") > most_bytes)).orderBy("file", "block").limit(1)
+    crossed = blocks.where((F.col("before") <= bound) & (F.col("before") + F.col("own") > bound)).orderBy("file", "block").limit(1)
     inside = lines.join(F.broadcast(crossed), ["file", "block"]).withColumn("till", F.col("before") + F.sum("size").over(Window.partitionBy("file", "block").orderBy("at")))  # one split
-    over = inside.where(F.col("till") > most_bytes).agg(F.min(F.struct("file", "block", "at", "value")).alias("p")).where("p is not null").select("p", F.lit("too many bytes").alias("reason"))
+    over = inside.where(F.col("till") > bound).agg(F.min(F.struct("file", "block", "at", "value")).alias("p")).where("p is not null").select("p", F.lit("too many bytes").alias("reason"))
     bad = parsed.where(wrong).agg(F.min(F.struct("file", "block", "at", "value")).alias("p")).where("p is not null").select("p", F.lit("not a record").alias("reason"))
-    first = over.unionByName(bad).orderBy("p").limit(1).collect()  # one row at most
+    first = (bad if most_bytes is None else over.unionByName(bad)).orderBy("p").limit(1).collect()  # one row at most
     good = parsed.where(~blank)
     if first:
         p = first[0].p
