@@ -25,6 +25,9 @@ from pyspark.sql.types import StructType
 from memloom.operators.drawers import keep_latest
 from memloom.sources.shared import kept
 
+#: Fixed value: the files of a commit at most, if it writes no more buckets than that.
+MOST_FILES = 512
+
 
 class BucketTable:
     def __init__(self, spark: SparkSession, path: str):
@@ -81,7 +84,9 @@ class BucketTable:
         if hit:
             new = change(self._read(held, hit), rows).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields)).withColumn("bucket", self.bucket())
             folder = f"{self.path}/data/version={version}"
-            new.repartition(len(hit), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+            # a bucket is written in parts by its keys, so that a task's share falls with the number of tasks, not of buckets; small ones are put together
+            part = F.pmod(F.xxhash64(*self.keys, F.lit("part")), F.lit(max(1, MOST_FILES // len(hit))))
+            new.repartition("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(folder)
             fs, place = _file_system(self.spark, folder)
             there = {int(s.getPath().getName().removeprefix("bucket=")) for s in fs.listStatus(place) if s.getPath().getName().startswith("bucket=")}
             for b in hit:  # a bucket whose rows all went has no files
