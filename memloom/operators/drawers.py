@@ -108,7 +108,8 @@ def mine(docs: DataFrame, common: DataFrame | None = None) -> tuple[DataFrame, D
     key = ("team_id", "wing", "room", "source_file")
     place = [F.col(c) for c in key]
     good = minable(docs)
-    cut = good.withColumns({"content_date": content_date(F.col("source_file"), F.col("content")), "__pieces": boundary_pieces(F.col("content"))})
+    # conditions on the pieces, the optimizer's own too, aren't pushed below explode, so a content is cut once
+    cut = good.withColumn("content_date", content_date(F.col("source_file"), F.col("content"))).select("*", F.explode(F.array(boundary_pieces(F.col("content")))).alias("__pieces"))
     own = lambda k: ids.drawer_id(*place, F.lit(k), F.get("__pieces", F.lit(k))["chunk"])
     rest = [c for c in good.columns if c not in ("content", "chunk_index", "id", "parent_id", "entities", "content_date")]
     each = cut.select(*rest, "content_date", own(0).alias("__first"), F.posexplode("__pieces").alias("chunk_index", "__c"))
