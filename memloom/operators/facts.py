@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.functions.ids import entity_id, predicate_id, triple_id
-from memloom.functions.text import temporal, trimmed, valid_fact_value
+from memloom.functions.text import fits, temporal, trimmed, valid_fact_value
 
 MOST_TIMELINE = 100
 
@@ -124,25 +124,39 @@ def stats(facts: DataFrame) -> DataFrame:
 
 def valid(facts: DataFrame) -> Column:
     """Whether a fact may be stored: values and bounds well formed, and no end before its start."""
-    begin, end = temporal(F.col("valid_from")), temporal(F.col("valid_to"))
-    return valid_fact_value(F.col("subject")) & valid_fact_value(F.col("predicate")) & valid_fact_value(F.col("object")) & begin.isNotNull() & end.isNotNull() & ((begin == "") | (end == "") | (end_key(end) >= start_key(begin)))
+    return valid_fact_value(F.col("subject")) & valid_fact_value(F.col("predicate")) & valid_fact_value(F.col("object")) & _in_order(temporal(F.col("valid_from")), temporal(F.col("valid_to")))
+
+
+def _in_order(begin: Column, end: Column) -> Column:
+    """Whether both bounds are well formed and the end isn't before the start."""
+    return begin.isNotNull() & end.isNotNull() & ((begin == "") | (end == "") | (end_key(end) >= start_key(begin)))
 
 
 def add(stored: DataFrame, new: DataFrame, recorded_at: str) -> DataFrame:
     """stored facts and those of new (subject, predicate, object, valid_from, valid_to) that are valid and whose triple has no
     current fact yet, whatever its start. The new facts of a triple are taken ended ones first, by start: all that have ended stay
     (of equal starts the first to end, as an id is made of the start), and of the current ones the first."""
-    key = [entity_id(trimmed(F.col("subject"))), predicate_id(trimmed(F.col("predicate"))), entity_id(trimmed(F.col("object")))]
-    rows = new.where(valid(new)).withColumns({"__s": key[0], "__p": key[1], "__o": key[2], "valid_from": temporal(F.col("valid_from")), "valid_to": temporal(F.col("valid_to"))})
-    spelled = F.struct("subject", "predicate", "object")
-    ended = rows.where("valid_to <> ''").groupBy("__s", "__p", "__o", "valid_from").agg(F.min(F.struct(F.col("valid_to"), spelled.alias("names"))).alias("f"))
-    ended = ended.select("__s", "__p", "__o", "valid_from", "f.valid_to", "f.names.*")
-    opened = rows.where("valid_to = ''").groupBy("__s", "__p", "__o").agg(F.min(F.struct(F.col("valid_from"), spelled.alias("names"))).alias("f"))
-    opened = opened.select("__s", "__p", "__o", "f.valid_from", F.lit("").alias("valid_to"), "f.names.*")
-    opened = opened.join(ended.select("__s", "__p", "__o", "valid_from"), ["__s", "__p", "__o", "valid_from"], "left_anti")
-    now = stored.where("valid_to = ''").select(key[0].alias("__s"), key[1].alias("__p"), key[2].alias("__o")).distinct()
-    fresh = ended.unionByName(opened).join(now, ["__s", "__p", "__o"], "left_anti")
-    return stored.unionByName(fresh.select(triple_id(F.col("__s"), F.col("__p"), F.col("__o"), F.col("valid_from"), F.lit(recorded_at)).alias("id"), "subject", "predicate", "object", "valid_from", "valid_to"))
+    triple, spelled = ["__s", "__p", "__o"], ["subject", "predicate", "object"]
+    key = [entity_id(F.col("__t.subject")), predicate_id(F.col("__t.predicate")), entity_id(F.col("__t.object"))]
+    # what is costly is found once for a fact: what reads the results of explode isn't joined with what they are made of, whose code
+    # would else be repeated until it is too long to be compiled
+    once = lambda *parts: F.explode(F.array(F.struct(*parts)))
+    trims = once(*(trimmed(F.col(c)).alias(c) for c in (*spelled, "valid_from", "valid_to")))
+    rows = new.select(*spelled, F.col("valid_from").alias("__from"), F.col("valid_to").alias("__to"), trims.alias("__t"))
+    rows = rows.where(fits(F.col("__t.subject")) & fits(F.col("__t.predicate")) & fits(F.col("__t.object")))
+    rows = rows.select(*spelled, "__t", once(temporal(F.col("__from"), F.col("__t.valid_from")).alias("begin"), temporal(F.col("__to"), F.col("__t.valid_to")).alias("end")).alias("__f"))
+    rows = rows.where(_in_order(F.col("__f.begin"), F.col("__f.end")))
+    names = F.struct("subject", "predicate", "object")
+    over = F.col("__f.end") != ""
+    each = rows.groupBy(*(c.alias(name) for c, name in zip(key, triple, strict=True)), F.col("__f.begin").alias("valid_from")).agg(F.min(F.when(over, F.struct(F.col("__f.end").alias("valid_to"), names.alias("names")))).alias("ended"), F.min(F.when(~over, names)).alias("opened"))
+    # facts that are current meet the new ones of their triple in one shuffle; a start has one row, so few rows share a triple
+    now = stored.where("valid_to = ''").select(once(*(trimmed(F.col(c)).alias(c) for c in spelled)).alias("__t")).select(*(c.alias(name) for c, name in zip(key, triple, strict=True)), F.lit(True).alias("current"))
+    same = Window.partitionBy(*triple)
+    first = F.min(F.when(F.col("opened").isNotNull(), F.col("valid_from"))).over(same)
+    each = each.unionByName(now.distinct(), allowMissingColumns=True).withColumns({"first": first, "current": F.max("current").over(same)})
+    fresh = each.where(F.col("current").isNull() & (F.col("ended").isNotNull() | (F.col("valid_from") == F.col("first"))))
+    fresh = fresh.withColumn("names", F.coalesce("ended.names", "opened"))
+    return stored.unionByName(fresh.select(triple_id(F.col("__s"), F.col("__p"), F.col("__o"), F.col("valid_from"), F.lit(recorded_at)).alias("id"), "names.*", "valid_from", F.coalesce("ended.valid_to", F.lit("")).alias("valid_to")))
 
 
 def invalidate(stored: DataFrame, subject: str, predicate: str, object_: str, ended: str) -> DataFrame:
