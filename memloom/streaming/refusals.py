@@ -5,9 +5,12 @@ time and id; those within what the cap leaves are admitted and counted, the othe
 watermark has passed the period's end; what comes for that period later isn't admitted (Spark leaves out what is behind the watermark
 itself).
 
+Teams are dealt to SHARDS shards, each with a map of its teams' numbers, and a call takes a period's requests of a shard at once, so
+frames are worked on whole and only the teams of a batch are looked up and written.
+
 Defined cases: a cap of 0 or less refuses none; where the requests have a column `cap` (a team's plan), it goes before the given
 cap; a batch that is delivered again after a failure gives what it gave, as the state is that of its start; at most
-cap requests of a key are held at a time, so a hot team doesn't fill a task.
+cap requests of a team and period are held at a time, so a hot team doesn't fill a task.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Shards of the teams of a period. A stream that was begun with another number can't go on.
+SHARDS = 1024
 
 
 def period_end(period: str) -> int:
@@ -31,38 +37,62 @@ def period_end(period: str) -> int:
 
 
 class Refusals(StatefulProcessor):
-    """Admits the first requests of each (team_id, period), by ts and id, up to the cap."""
+    """Admits the first requests of each team of a (period, shard), by ts and id, up to the cap."""
 
-    def __init__(self, cap: int, columns: list[str]):
-        self.cap, self.columns = cap, columns
+    def __init__(self, cap: int, columns: list[str], team: StructType):
+        self.cap, self.columns, self.team = cap, columns, team
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", "used long")
+        self.used = handle.getMapState("used", self.team, "used long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        closed = timerValues.getCurrentWatermarkInMs() >= period_end(key[1])
-        known = self.used.exists()
-        used, held, cap, count = int(self.used.get()[0]) if known else 0, None, self.cap, 0
+        closed = timerValues.getCurrentWatermarkInMs() >= period_end(key[0])
+        numbers: dict = {}  # of the teams that came, in the order of the lists below
+        used: list[int] = []
+        left: list[float] = []
+        count: list[int] = []
+        held = None
         for frame in rows:
-            cap = int(frame["cap"].iloc[-1]) if "cap" in frame.columns else cap
-            frame = frame[self.columns]
-            if closed or cap <= 0:
-                count += 0 if closed else len(frame)
-                yield frame.assign(admitted=not closed)
+            if closed:
+                yield frame[self.columns].assign(admitted=False)
                 continue
+            codes, names = pd.factorize(frame["team_id"], use_na_sentinel=False)
+            last = np.zeros(len(names), int)
+            np.maximum.at(last, codes, np.arange(len(codes)))
+            caps = frame["cap"].iloc[last].tolist() if "cap" in frame.columns else [self.cap] * len(names)
+            own = np.zeros(len(names), int)
+            for i, (name, cap) in enumerate(zip(names.tolist(), caps, strict=True)):
+                name = None if pd.isna(name) else name
+                if name not in numbers:
+                    numbers[name] = len(used)
+                    known = self.used.getValue((name,))
+                    used.append(int(known[0]) if known else 0)
+                    left.append(0)
+                    count.append(0)
+                own[i] = numbers[name]
+                left[own[i]] = max(0, int(cap) - used[own[i]]) if int(cap) > 0 else np.inf
+            room, frame = np.array(left), frame[self.columns].assign(__team=own[codes])
+            free = np.isinf(room)[frame["__team"]]
+            if free.any():
+                for n, k in frame["__team"][free].value_counts().items():
+                    count[n] += k
+                yield frame[free][self.columns].assign(admitted=True)
+                frame = frame[~free]
             held = (frame if held is None else pd.concat([held, frame])).sort_values(["ts", "id"], kind="stable")
-            left = max(0, cap - used)
-            if len(held) > left:
-                yield held.iloc[left:].assign(admitted=False)
-                held = held.iloc[:left]
+            over = (held.groupby("__team").cumcount() >= room[held["__team"]]).to_numpy()
+            if over.any():
+                yield held[over][self.columns].assign(admitted=False)
+                held = held[~over]
         if held is not None and len(held):
-            count += len(held)
-            yield held.assign(admitted=True)
+            for n, k in held["__team"].value_counts().items():
+                count[n] += k
+            yield held[self.columns].assign(admitted=True)
         if not closed:
-            self.used.update((used + count,))
-            if not known:
-                self.handle.registerTimer(period_end(key[1]))
+            for name, n in numbers.items():
+                if count[n]:
+                    self.used.updateValue((name,), (int(used[n] + count[n]),))
+            self.handle.registerTimer(period_end(key[0]))
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         self.used.clear()
@@ -78,7 +108,9 @@ def admitted_stream(requests: DataFrame, cap: int, late: str = "1 day") -> DataF
     named = requests.withColumn("period", F.date_format("ts", "yyyy-MM")).withWatermark("ts", late)
     out = StructType([f for f in named.schema.fields if f.name != "cap"]).add("admitted", "boolean")
     columns = [f.name for f in out.fields if f.name != "admitted"]
-    return named.groupBy("team_id", "period").transformWithStateInPandas(Refusals(cap, columns), out, "Append", "EventTime")
+    team = StructType([named.schema["team_id"]])
+    dealt = named.withColumn("__shard", F.pmod(F.xxhash64("team_id"), F.lit(SHARDS)).cast("int"))
+    return dealt.groupBy("period", "__shard").transformWithStateInPandas(Refusals(cap, columns, team), out, "Append", "EventTime")
 
 
 def with_store(spark: object) -> None:
