@@ -14,11 +14,12 @@ have a cell of their own; zero queries score 0 everywhere; an empty table has no
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ SAMPLE, ROUNDS, MOST_CELLS = 20_000, 8, 4096
 #: The cell of vectors without a direction that can be compared.
 ODD = -1
 #: Vectors and queries that meet in one block.
-BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 1024
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 16_384
+#: Products, and numbers of vectors, that a block is worked on at once.
+AT_ONCE = 1 << 21
 #: What rounding may move an angle, and a cosine, by.
 SLACK = 1e-6
 
@@ -177,47 +180,92 @@ def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def singles(column: pa.Array) -> np.ndarray:
+    """A column of equally long vectors as rows of 32-bit floats."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
+
+
+def norms_and_units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms as the column expression has them, and unit vectors as 32-bit floats; some rows at once."""
+    norms, unit = np.zeros(len(rows)), np.zeros_like(rows)
+    step = max(1, AT_ONCE // max(1, rows.shape[1]))
+    for a in range(0, len(rows), step):
+        part = rows[a : a + step].astype(np.float64)
+        norms[a : a + step] = np.sqrt(in_order(part, part))
+        unit[a : a + step] = units(part)
+    return norms, unit
+
+
 def best_of_block(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
-    """(query_id, id, score): the k best of a block of vectors for each of a block of queries. A matrix product finds what may be among
-    them; their scores are then worked out in the order of the column expression, so they are the same to the last bit."""
+    """(query_id, id, score): the k best of a block of vectors for each of a block of queries, of those with a score of `least` or more
+    where a query has that. Products of 32-bit floats find what may be among them, some queries at once, so memory is bounded;
+    scores are then worked out in the order of the column expression, so they are the same to the last bit."""
     schema = pa.schema([("query_id", pa.string()), ("id", pa.string()), ("score", pa.float32())])
-    if not queries.num_rows or not vectors.num_rows:
+    if not queries.num_rows or not vectors.num_rows or k < 1:
         return schema.empty_table()
-    names = np.array(vectors.column("id").to_pylist(), object)
-    asked = queries.column("query_id").to_pylist()
+    names = vectors.column("id").combine_chunks()
+    rank = np.zeros(len(names), np.int64)
+    rank[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
     ask, have = (t.column(c).combine_chunks() for t, c in ((queries, "qvec"), (vectors, "vec")))
     wide, long = (c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in (ask, have))
+    least = queries.column("least").to_numpy().astype(np.float32) if "least" in queries.column_names else np.full(len(ask), np.nan, np.float32)
     out: list[list] = [[], [], []]
     for width in np.unique(wide).tolist():
         rows, own = np.flatnonzero(wide == width), np.flatnonzero(long == width)
         zero = np.flatnonzero(long != width)
-        zero = zero[np.argsort(names[zero], kind="stable")[:k]]  # these score 0
-        q = matrix(ask.take(pa.array(rows)))
-        v = matrix(have.take(pa.array(own))) if len(own) else np.zeros((0, width))
-        norms, sizes = np.sqrt(in_order(q, q)), np.sqrt(in_order(v, v))
-        rough = units(q) @ units(v).T if width else np.zeros((len(q), len(v)))
-        least = np.partition(rough, -k, 1)[:, -k] if k < len(own) else np.full(len(rows), -2.0)
-        for i, row in enumerate(rows.tolist()):
-            may = np.flatnonzero(rough[i] >= least[i] - SLACK)
-            whole = norms[i] * sizes[may]
-            exact = np.where(whole > 0, in_order(np.broadcast_to(q[i], (len(may), width)), v[may]) / np.where(whole > 0, whole, 1), 0).astype(np.float32)
-            at, scores = np.concatenate([own[may], zero]), np.concatenate([exact, np.zeros(len(zero), np.float32)])
-            top = np.lexsort((names[at], -scores))[:k]
-            out[0] += [asked[row]] * len(top)
-            out[1] += names[at[top]].tolist()
-            out[2].append(scores[top])
-    return pa.Table.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(np.concatenate([np.zeros(0, np.float32), *out[2]]))], schema=schema)
-
-
-def _blocks(index: CellIndex, namespace: str | None, asked: DataFrame, k: int) -> DataFrame:
-    """The k best for asked (query_id, qvec, cell) in each block of its cell: vectors and queries of a cell are dealt to as many parts as
-    their numbers need, and every part of the one meets every part of the other once, so no group grows with the data."""
-    facts = index.spark.createDataFrame([(f.cell, -(-f.rows // BLOCK_VECTORS)) for f in index._facts(namespace)], "cell int, vparts long")
-    sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("qparts")).join(F.broadcast(facts), "cell")  # a row for each cell
-    left = asked.join(F.broadcast(sizes), "cell").withColumn("qpart", F.pmod(F.xxhash64("query_id"), F.col("qparts"))).withColumn("vpart", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vparts") - 1)))
-    right = index.cells(namespace).join(F.broadcast(sizes), "cell").withColumn("vpart", F.pmod(F.xxhash64("id"), F.col("vparts"))).withColumn("qpart", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qparts") - 1)))
-    block = ("cell", "vpart", "qpart")
-    left, right = left.select(*block, "query_id", "qvec"), right.select(*block, "id", "vec")
+        zero = zero[np.argsort(rank[zero])[:k]]  # these score 0
+        q, v = (singles(c.take(pa.array(n))).reshape(len(n), width) for c, n in ((ask, rows), (have, own)))
+        (q_norm, q_unit), (v_norm, v_unit) = norms_and_units(q), norms_and_units(v)
+        slack = SLACK + (width + 4) * 2.0**-23  # what rounding to 32 bits may move a product by, twice over
+        step, pairs = max(1, AT_ONCE // max(1, len(own))), max(1, AT_ONCE // max(1, width))
+        for a in range(0, len(rows), step):
+            part = rows[a : a + step]
+            rough = q_unit[a : a + step] @ v_unit.T
+            floor = np.where(np.isnan(least[part]), np.float32(-2), least[part])
+            unknown = np.flatnonzero(floor == -2)
+            if k < len(own) and len(unknown):
+                floor[unknown] = np.partition(rough[unknown], -k, 1)[:, -k]
+            i, j = np.nonzero(rough >= (floor - slack).astype(np.float32)[:, None])
+            exact = np.zeros(len(i), np.float32)
+            for b in range(0, len(i), pairs):
+                at, to = i[b : b + pairs] + a, j[b : b + pairs]
+                whole = q_norm[at] * v_norm[to]
+                exact[b : b + pairs] = np.where(whole > 0, in_order(q[at].astype(np.float64), v[to].astype(np.float64)) / np.where(whole > 0, whole, 1), 0)
+            i, at = np.concatenate([i, np.repeat(np.arange(len(part)), len(zero))]), np.concatenate([own[j], np.tile(zero, len(part))])
+            scores = np.concatenate([exact, np.zeros(len(at) - len(exact), np.float32)])
+            order = np.lexsort((rank[at], -scores, i))
+            i, at, scores = i[order], at[order], scores[order]
+            good = (np.arange(len(i)) - np.searchsorted(i, i) < k) & ~(scores < least[part][i])
+            out[0].append(part[i[good]])
+            out[1].append(at[good])
+            out[2].append(scores[good])
+    asked, found, scores = (np.concatenate(x) for x in out)
+    return pa.Table.from_arrays([queries.column("query_id").combine_chunks().take(pa.array(asked)), names.take(pa.array(found)), pa.array(scores)], schema=schema)
+
+
+def bundled(rows: dict[int, int]) -> dict[int, int]:
+    """For each of some cells, given their rows, the first cell of its bundle: cells in a row that fill a block together."""
+    out, first, held = {}, None, 0
+    for cell in sorted(rows):
+        if first is None or held + rows[cell] > BLOCK_VECTORS:
+            first, held = cell, 0
+        out[cell], held = first, held + rows[cell]
+    return out
+
+
+def _blocks(index: CellIndex, namespace: str | None, asked: DataFrame, k: int, rows: dict[int, int], bundle: dict[int, int]) -> DataFrame:
+    """The k best for asked (query_id, qvec, least, bundle) in each block of a bundle of cells: vectors and queries of a bundle are dealt to
+    as many parts as their numbers need, and every part of the one meets every part of the other once, so no group grows with the data."""
+    held: dict[int, int] = {}
+    for cell, b in bundle.items():
+        held[b] = held.get(b, 0) + rows[cell]
+    cells = index.spark.createDataFrame(sorted(bundle.items()), "cell int, bundle int")  # a row for each cell, as the next
+    parts = index.spark.createDataFrame([(b, -(-n // BLOCK_VECTORS)) for b, n in held.items()], "bundle int, vparts long")
+    sizes = asked.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("qparts")).join(F.broadcast(parts), "bundle")
+    left = asked.join(F.broadcast(sizes), "bundle").withColumn("qpart", F.pmod(F.xxhash64("query_id"), F.col("qparts"))).withColumn("vpart", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vparts") - 1)))
+    right = index.cells(namespace).join(F.broadcast(cells), "cell").join(F.broadcast(sizes), "bundle").withColumn("vpart", F.pmod(F.xxhash64("id"), F.col("vparts"))).withColumn("qpart", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qparts") - 1)))
+    block = ("bundle", "vpart", "qpart")
+    left, right = left.select(*block, "query_id", "qvec", "least"), right.select(*block, "id", "vec")
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(lambda a, b: best_of_block(a, b, k), "query_id string, id string, score float")
 
 
@@ -228,43 +276,47 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 def nearest_join(queries: DataFrame, index: CellIndex, k: int = 1, namespace: str | None = None, probes: int | None = None) -> DataFrame:
     """(query_id, id, score, place): the k best vectors of an index, or of a namespace of it, for each of any number of queries (query_id,
-    qvec; distinct ids), ties by id. Queries go to their nearest cells first, then, with what they found there, to the cells whose
-    bound reaches that. With probes, only the nearest cells are read."""
+    qvec; distinct ids), ties by id. Queries go to their nearest cells first, then, with the least score they found there, to all cells
+    whose bound reaches that; these are bundled, so a query goes to a block of vectors once, not for each of its cells. With
+    probes, only the nearest cells are read."""
     facts = index._facts(namespace)
     angles = {f.cell: f.angle for f in facts}
     rows = {f.cell: f.rows for f in facts}
-    shared = index.spark.sparkContext.broadcast((index.centroids, angles, rows))
-    plain = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("qvec").cast("array<float>").alias("qvec"))
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query once for each cell that it has to meet. Without `least`: the nearest cells; with it: the others that may matter."""
-        centroids, angles, rows = shared.value
-        cells = np.array(sorted(angles), int)
-        for batch in batches:
-            column, take, to = batch.column("qvec"), [], []
-            least = batch.column("least").to_pylist() if "least" in batch.schema.names else None
-            for i, query in enumerate(column.to_pylist()):
-                q = units(np.array([query or []], float))
-                fits = q.shape[1] == centroids.shape[1]
-                near = np.where(cells == ODD, 0.0, centroids[np.maximum(cells, 0)] @ q[0]) if fits and len(centroids) else np.zeros(len(cells))
-                order = cells[np.lexsort((cells, -near))]
-                if probes is not None:
-                    first = order[:probes]
-                else:
-                    held = np.cumsum([rows[int(c)] for c in order])
-                    first = order[: int(np.searchsorted(held, k)) + 1]
-                if least is not None:
-                    bound = upper_bounds(q, centroids, angles)[0]
-                    first = [c for c in order[len(first) :] if least[i] is None or bound[int(c)] >= least[i] - SLACK]
-                take += [i] * len(first)
-                to += [int(c) for c in first]
-            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(take, pa.int64())), column.take(pa.array(take, pa.int64())), pa.array(to, pa.int32())], ["query_id", "qvec", "cell"])
-
-    schema = "query_id string, qvec array<float>, cell int"
-    found = _blocks(index, namespace, plain.mapInArrow(dealt, schema), k)
-    if probes is None:
-        found = kept(_top(found, k).drop("place"))  # k rows for each query, read twice
-        least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-        again = plain.join(least, "query_id", "left").select("query_id", "qvec", "least").mapInArrow(dealt, schema)
-        found = found.unionByName(_blocks(index, namespace, again, k))
-    return _top(found, k)
+    alone, bundle = {c: c for c in rows}, bundled(rows)
+    shared = index.spark.sparkContext.broadcast((index.centroids, angles, rows, bundle))
+    plain = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("qvec").cast("array<float>").alias("qvec"), F.lit(None).cast("float").alias("least"))
+
+    def dealt(again: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Each query once for each cell that it has to meet: the nearest cells; or, again, once for each bundle with cells that may matter."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centroids, angles, rows, bundle = shared.value
+            cells = np.array(sorted(angles), int)
+            for batch in batches:
+                column, take, to = batch.column("qvec"), [], []
+                least = batch.column("least").to_pylist()
+                for i, query in enumerate(column.to_pylist()):
+                    q = units(np.array([query or []], float))
+                    if again:
+                        bound = upper_bounds(q, centroids, angles)[0]
+                        go = sorted({bundle[int(c)] for c in cells if least[i] is None or bound[int(c)] >= least[i] - SLACK})
+                    else:
+                        fits = q.shape[1] == centroids.shape[1]
+                        near = np.where(cells == ODD, 0.0, centroids[np.maximum(cells, 0)] @ q[0]) if fits and len(centroids) else np.zeros(len(cells))
+                        order = cells[np.lexsort((cells, -near))]
+                        held = np.cumsum([rows[int(c)] for c in order])
+                        go = order[: int(np.searchsorted(held, k)) + 1 if probes is None else probes].tolist()
+                    take += [i] * len(go)
+                    to += go
+                at = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("query_id", "qvec", "least")), pa.array(to, pa.int32())], ["query_id", "qvec", "least", "bundle"])
+
+        return run
+
+    schema = "query_id string, qvec array<float>, least float, bundle int"
+    found = _top(_blocks(index, namespace, plain.mapInArrow(dealt(False), schema), k, rows, alone), k)
+    if probes is not None:
+        return found
+    least = kept(found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least")))  # a number for each query
+    again = plain.drop("least").join(least, "query_id", "left").select("query_id", "qvec", "least")
+    return _top(_blocks(index, namespace, again.mapInArrow(dealt(True), schema), k, rows, bundle), k)
