@@ -18,17 +18,33 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from memloom.operators.drawers import keep_latest
 from memloom.sources.shared import kept
 
 #: Fixed value: the files of a commit at most, if it writes no more buckets than that.
 MOST_FILES = 512
 
 
+def put_in(old: DataFrame, new: DataFrame, keys: list[str], places: dict[str, Column], keep: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """What `drawers.keep_latest` gives, of an old table that has each key once, with columns for places, which keys determine. Rows of both
+    sides are dealt by their places once, meet there by their keys, and stay there."""
+    names = [c for c in old.columns if c not in keys]
+    given = [*order, *(c for c in names if c in new.columns and c not in order)]
+    both = old.select(*keys, F.struct(*names).alias("__old")).unionByName(new.select(*keys, F.struct(*given).alias("__new")), allowMissingColumns=True)
+    dealt = both.withColumns(places).repartition(*places)
+    met = dealt.groupBy(*places, *keys).agg(F.max("__old").alias("__old"), F.max("__new").alias("__new"))
+
+    def value(c: str) -> Column:
+        fresh = F.col("__new")[c] if c in given else F.lit(None).cast(old.schema[c].dataType)
+        first, other, there = (F.col("__old")[c], fresh, "__old") if c in keep else (fresh, F.col("__old")[c], "__new")
+        return F.when(F.col(there).isNotNull(), first).otherwise(other)
+
+    return met.select(*(c if c in keys else value(c).alias(c) for c in old.columns), *places)
+
+
 class BucketTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -74,19 +90,24 @@ class BucketTable:
         commit = self.commit_of(version)
         return self._read(commit["held"], commit["rewritten"])
 
-    def _commit(self, batch: str, rows: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+    def _commit(self, batch: str, rows: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame] | None, keep: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> int:
+        """Without change, rows are put in by their keys."""
         last = self._last()
         if batch in last["batches"]:
             return last["version"]
+        rows = rows.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in self.schema.fields if f.name in rows.columns})  # a bucket goes by a key as it is stored
         rows = kept(rows)  # read for its buckets and for its rows
         hit = sorted(r.b for r in rows.select(self.bucket().alias("b")).distinct().collect())  # numbers of buckets
         version, held = last["version"] + 1, dict(last["held"])
         if hit:
-            new = change(self._read(held, hit), rows).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields)).withColumn("bucket", self.bucket())
-            folder = f"{self.path}/data/version={version}"
+            old, folder = self._read(held, hit), f"{self.path}/data/version={version}"
             # a bucket is written in parts by its keys, so that a task's share falls with the number of tasks, not of buckets; small ones are put together
             part = F.pmod(F.xxhash64(*self.keys, F.lit("part")), F.lit(max(1, MOST_FILES // len(hit))))
-            new.repartition("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+            if change is None:
+                new = put_in(old, rows, self.keys, {"__bucket": self.bucket(), "__part": part}, keep, order).withColumnRenamed("__bucket", "bucket").drop("__part")
+            else:
+                new = change(old, rows).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields)).withColumn("bucket", self.bucket()).repartition("bucket", part)
+            new.write.mode("overwrite").partitionBy("bucket").parquet(folder)
             fs, place = _file_system(self.spark, folder)
             there = {int(s.getPath().getName().removeprefix("bucket=")) for s in fs.listStatus(place) if s.getPath().getName().startswith("bucket=")}
             for b in hit:  # a bucket whose rows all went has no files
@@ -100,7 +121,7 @@ class BucketTable:
     def merge(self, batch: str, rows: DataFrame, keep: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> int:
         """Puts rows in by their keys; columns in keep stay as the table has them. Returns the version that has the batch, or the last
         one where it came before."""
-        return self._commit(batch, rows, lambda old, new: keep_latest(old, new, self.keys, keep, order))
+        return self._commit(batch, rows, None, keep, order)
 
     def change(self, batch: str, rows: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
         """Puts how(rows of the buckets, rows) in place of the buckets that rows fall in; how keeps every row in its bucket."""
