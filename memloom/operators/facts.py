@@ -138,8 +138,8 @@ def add(stored: DataFrame, new: DataFrame, recorded_at: str) -> DataFrame:
     (of equal starts the first to end, as an id is made of the start), and of the current ones the first."""
     triple, spelled = ["__s", "__p", "__o"], ["subject", "predicate", "object"]
     key = [entity_id(F.col("__t.subject")), predicate_id(F.col("__t.predicate")), entity_id(F.col("__t.object"))]
-    # what is costly is found once for a fact: what reads the results of explode isn't joined with what they are made of, whose code
-    # would else be repeated until it is too long to be compiled
+    # what is costly is found once for a fact: what reads the results of explode isn't joined with what they are made of, which
+    # would else be found again for every condition
     once = lambda *parts: F.explode(F.array(F.struct(*parts)))
     trims = once(*(trimmed(F.col(c)).alias(c) for c in (*spelled, "valid_from", "valid_to")))
     rows = new.select(*spelled, F.col("valid_from").alias("__from"), F.col("valid_to").alias("__to"), trims.alias("__t"))
